@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.session import ship
+
 #: Word characters of the contracts are everything but these.
 SPACE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,20 +23,6 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
-def ship(spark: SparkSession) -> None:
-    """Send the package to the Python workers, once a Spark application: executors need no copy of the repository."""
-    sc = spark.sparkContext
-    if getattr(sc, "_brindle_shipped", None) == sc.applicationId:
-        return
-    top = Path(__file__).resolve().parent.parent
-    path = os.path.join(tempfile.mkdtemp(prefix="brindle-"), "brindle_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f"{top.name}/{f.relative_to(top)}")
-    sc.addPyFile(path)
-    sc._brindle_shipped = sc.applicationId
-
-
 def durable(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared folder of ``spark.checkpoint.dir``: lineage is cut, and no executor's loss costs them."""
     sc = df.sparkSession.sparkContext

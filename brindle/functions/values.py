@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 # arrays
@@ -116,12 +117,12 @@ def equal_ignoring_case(a: Column, b: Column) -> Column:
     return F.collate(a, "UTF8_LCASE") == F.collate(b, "UTF8_LCASE")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x.casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unaccent(s: pd.Series) -> pd.Series:
     def plain(x):
         return None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
@@ -130,9 +131,10 @@ def unaccent(s: pd.Series) -> pd.Series:
 
 
 def size_pretty(n: Column) -> Column:
+    """Bytes in the largest unit of which there are ten or more."""
     out = F.concat(n.cast("string"), F.lit(" bytes"))
     for i, unit in enumerate(("kB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 10 * 1024**i, F.concat(F.round(n / 1024**i).cast("long").cast("string"), F.lit(f" {unit}"))).otherwise(out) if i == 1 else F.when(n >= 10 * 1024**i, F.concat(F.round(n / 1024**i).cast("long").cast("string"), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= 10 * 1024**i, F.concat(F.round(n / 1024**i).cast("long").cast("string"), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
@@ -178,7 +180,7 @@ def json_contains(doc: Column, literal: str) -> Column:
             return isinstance(have, list) and all(any(inside(h, p) for h in have) for p in part)
         return type(have) is type(part) and have == part
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def test(s: pd.Series) -> pd.Series:
         def one(x):
             try:
@@ -192,7 +194,7 @@ def json_contains(doc: Column, literal: str) -> Column:
 
 
 def json_set(doc: Column, path: tuple[str, ...], value) -> Column:
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def put(s: pd.Series) -> pd.Series:
         def one(x):
             if x is None:
@@ -213,7 +215,7 @@ def json_merge(doc: Column, literal: str, drop: tuple[str, ...] = ()) -> Column:
     """(doc - keys) || literal at the top level."""
     more = json.loads(literal)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def put(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else json.dumps({k: v for k, v in json.loads(x).items() if k not in drop} | more, separators=(",", ":"), ensure_ascii=False))
 
@@ -223,7 +225,7 @@ def json_merge(doc: Column, literal: str, drop: tuple[str, ...] = ()) -> Column:
 def json_kind(doc: Column) -> Column:
     """object, array or scalar; null if it is no JSON. Repeated keys are JSON here."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def kind(s: pd.Series) -> pd.Series:
         def one(x):
             try:

@@ -1,6 +1,519 @@
-"""The engine's queries over the driver's tables, and their SQL, by name."""
+"""The engine's queries over the driver's tables, and their SQL, by name. Names begin with the area; the comment above each
+group names the inventory lines it stands for."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from brindle.functions import fts, ranges, values
+from brindle.operators import authz, graph, telemetry, writes
+from brindle.session import configure, ship
+from brindle.sources import logstore, tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+T = Callable[[str], DataFrame]
+
+
+def query(oracle: str | None = None):
+    """Register a function of a table loader under its name."""
+
+    def add(f: Callable[[T], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            configure(spark)
+            ship(spark)
+            return f(lambda name: tables.table(spark, sf_dir, name))
+
+        run.__doc__ = f.__doc__
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def both(name: str, sql: str, oracle: str | None = None, use: tuple[str, ...] = ("customer", "orders", "nation", "region", "events", "lineitem", "part", "supplier")) -> None:
+    """A query whose text Spark and DuckDB share, or nearly."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        configure(spark)
+        return spark.sql(sql, **{t: tables.table(spark, sf_dir, t) for t in use if "{" + t + "}" in sql})
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = (oracle or sql).replace("{", "").replace("}", "")
+
+
+# First row per key, in two formulations
+@query("SELECT DISTINCT ON (user_id) user_id, event_id, event_type, value FROM events ORDER BY user_id, ts DESC, event_id DESC")
+def first_per_key(t):
+    return writes.first_per_key(t("events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type", "value")
+
+
+@query(ORACLE_SQL["first_per_key"])
+def first_per_key_max_by(t):
+    return t("events").groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), F.struct("ts", "event_id")).alias("x")).select("user_id", "x.*")
+
+
+# A1-A5 P2 P4 P9 P10 P28 F60 F61
+both("conditional_aggregates", "SELECT event_type, count(*) AS total, count(*) FILTER (WHERE value > 50) AS high, round(avg(value) FILTER (WHERE value > 50), 6) AS avg_high, count(props) AS n_props FROM {events} GROUP BY event_type")
+# Date spine
+both(
+    "date_spine",
+    "WITH s AS (SELECT explode(sequence((SELECT min(to_date(ts)) FROM {events}), (SELECT max(to_date(ts)) FROM {events}) + 2, interval 1 day)) AS day) SELECT CAST(day AS string) AS day, count(event_id) AS n FROM s LEFT JOIN {events} ON to_date(ts) = day GROUP BY day",
+    "WITH s AS (SELECT unnest(generate_series((SELECT min(ts::DATE) FROM events)::TIMESTAMP, (SELECT max(ts::DATE) + 2 FROM events)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day) SELECT day::VARCHAR AS day, count(event_id) AS n FROM s LEFT JOIN events ON ts::DATE = day GROUP BY day",
+)
+# P1 P3 J1 L1
+both("join_filter_sort", "SELECT o_orderkey, c_name, o_totalprice FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 1000")
+# P6 J17
+both("in_subquery", "SELECT c_custkey, c_name FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 100000)")
+# Anti join
+both("not_exists", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)")
+# P5 P8
+both("null_and_prefix", "SELECT event_id, value IS NULL AS no_value, props IS NOT NULL AS has_props FROM {events} WHERE event_type LIKE 'c%' OR event_type LIKE 'p%'")
+# Scalar subqueries
+both("scalar_subqueries", "SELECT (SELECT count(*) FROM {orders}) AS orders, (SELECT count(DISTINCT o_custkey) FROM {orders}) AS buyers, (SELECT max(o_orderkey) FROM {orders}) AS top")
+# View of four projections
+both("union_all", "SELECT 'region' AS kind, CAST(r_regionkey AS bigint) AS id FROM {region} UNION ALL SELECT 'nation', CAST(n_nationkey AS bigint) FROM {nation} UNION ALL SELECT 'customer', c_custkey FROM {customer} UNION ALL SELECT 'supplier', s_suppkey FROM {supplier}")
+# L2: top-k with a tie-breaker (the limit is the feature)
+both("top_k", "SELECT o_orderkey, o_custkey, o_orderdate FROM {orders} ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
+# S3 P11
+both("inline_values", "SELECT n_name, label FROM {nation} JOIN (VALUES (0, 'zero'), (1, 'one'), (2, 'two')) AS v(k, label) ON n_nationkey = k")
+# A2 D24 count per group
+both("count_per_nation", "SELECT n_name, count(*) AS customers FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name")
+# S6
+both("integer_series", "SELECT id AS n FROM range(1, 101)", "SELECT unnest(generate_series(1, 100)) AS n")
+# Left lookup with a default
+both("left_lookup_default", "SELECT c_custkey, coalesce(CAST(max(o_orderkey) AS string), '-') AS last_order FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey", "SELECT c_custkey, coalesce(CAST(max(o_orderkey) AS VARCHAR), '-') AS last_order FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+# Ordinality; windows, grouping sets and session gaps are extras beyond the inventory
+both("row_numbers", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM {events}")
+both("rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 4) AS qty FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+both("pricing_summary", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM {lineitem} WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus")
+
+
+# arrays
+@query("SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds, count(DISTINCT event_type) AS n FROM events GROUP BY user_id")
+def ordered_distinct(t):
+    return t("events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"), F.count_distinct("event_type").alias("n"))
+
+
+@query("""SELECT vec_id, e[1]::DOUBLE AS first, e[len(e)]::DOUBLE AS last, len(e)::BIGINT AS n, round(list_sum(list_transform(e[1:4], lambda x: x::DOUBLE)), 5) AS sum4,
+    list_contains(k, label) AS has_label, list_has_any(k, [label + 1, label + 2]) AS any_next, list_has_all(k, [1, label]) AS has_all FROM (SELECT vec_id, embedding AS e, label, [1, 2, 3] AS k FROM embeddings)""")
+def array_functions(t):
+    k = F.array(F.lit(1), F.lit(2), F.lit(3))
+    e = F.col("embedding")
+    return t("embeddings").select(
+        "vec_id", F.element_at(e, 1).cast("double").alias("first"), values.last(e).cast("double").alias("last"), values.length(e).cast("long").alias("n"),
+        F.round(F.aggregate(values.head(e, 4), F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("sum4"),
+        F.array_contains(k, F.col("label")).alias("has_label"), values.overlap(k, F.array(F.col("label") + 1, F.col("label") + 2)).alias("any_next"), values.contains_all(k, F.array(F.lit(1), F.col("label"))).alias("has_all"),
+    )
+
+
+@query("SELECT vec_id, i::BIGINT AS place, e::DOUBLE AS x FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings)")
+def unnest_with_ordinality(t):
+    return t("embeddings").select("vec_id", F.posexplode("embedding").alias("p", "x")).select("vec_id", (F.col("p") + 1).cast("long").alias("place"), F.col("x").cast("double").alias("x"))
+
+
+@query("SELECT n_nationkey, array_to_string(list_reverse(list_sort([n_name, 'm', 'a'])), '+') AS sorted, array_to_string(list_concat(['x'], [n_name]), '+') AS joined FROM nation")
+def array_build(t):
+    a = F.array(F.col("n_name"), F.lit("m"), F.lit("a"))
+    return t("nation").select("n_nationkey", F.array_join(F.reverse(F.array_sort(a)), "+").alias("sorted"), F.array_join(F.concat(F.array(F.lit("x")), F.array("n_name")), "+").alias("joined"))
+
+
+# J23 F12 F33 L5
+@query("SELECT user_id, i AS place, upper(l[i]) AS kind, v[i] AS id FROM (SELECT user_id, list(event_type ORDER BY event_id) AS l, list(event_id ORDER BY event_id)[1:3] AS v FROM events GROUP BY user_id), (SELECT unnest([1, 2, 3]) AS i) WHERE i <= least(len(l), len(v))")
+def lockstep_zip(t):
+    g = t("events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("a"))
+    z = g.select("user_id", F.transform("a", lambda x: x["event_type"]).alias("l"), values.head(F.transform("a", lambda x: x["event_id"]), 3).alias("v"))
+    return z.select("user_id", F.posexplode(values.zip_shortest(F.col("l"), F.col("v"))).alias("p", "z")).select("user_id", (F.col("p") + 1).alias("place"), F.upper("z.0").alias("kind"), F.col("z.1").alias("id"))
+
+
+# JSON
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, (json_extract(props, '$.k')::INT) AS k_int, json_exists(props, '$.k') AS has_k, json_exists(props, '$.zz') AS has_zz, coalesce(json_extract_string(props, '$.zz'), 'fallback') AS zz, json_valid(props) AS ok FROM events")
+def json_paths(t):
+    p = F.col("props")
+    return t("events").select(
+        "event_id", values.json_text(p, "$.k").alias("k"), values.json_value(p, "$.k", "int").alias("k_int"), values.json_exists(p, "$.k").alias("has_k"), values.json_exists(p, "$.zz").alias("has_zz"),
+        values.json_value(p, "$.zz", "string", "fallback").alias("zz"), F.try_parse_json(p).isNotNull().alias("ok"),
+    )
+
+
+@query("SELECT count(*) AS n, sum((json_extract(props, '$.k')::INT > 50)::BIGINT) AS over FROM events")
+def json_path_filter(t):
+    return t("events").agg(F.count(F.lit(1)).alias("n"), F.sum((values.json_value(F.col("props"), "$.k", "int") > 50).cast("long")).alias("over"))
+
+
+@query("SELECT r_name, string_agg(n_nationkey || ':' || n_name, ',' ORDER BY n_nationkey) AS members, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def json_aggregate(t):
+    """Rows to a JSON array (A8, A9), read back as a table (S8) and joined to text."""
+    j = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))))).alias("doc"))
+    rows = j.select("r_name", values.json_table(F.col("doc"), "id int, name string"))
+    return rows.groupBy("r_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.col("col.id").cast("string"), F.lit(":"), "col.name").alias("x")))), lambda e: e["x"]), ",").alias("members"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT r_name, n_name, n_nationkey AS v FROM nation JOIN region ON n_regionkey = r_regionkey")
+def json_object_aggregate(t):
+    """json_objectagg (A10) and back by keys."""
+    m = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", "n_nationkey")))).alias("doc"))
+    return m.select("r_name", F.explode(F.from_json("doc", "map<string,int>")).alias("n_name", "v"))
+
+
+@query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"active\":true}' AS merged, true AS holds FROM events")
+def json_mutation(t):
+    """Set, remove, merge and containment of documents."""
+    p = F.col("props")
+    d = t("events").select("event_id", values.json_merge(values.json_set(p, ("seen",), 1), '{"active":true}', ("seen",)).alias("merged"))
+    return d.withColumn("holds", values.json_contains(F.col("merged"), '{"active": true}'))
+
+
+# text
+@query("SELECT p_partkey, upper(p_name) AS u, left(p_name, 5) AS l, contains(lower(p_name), 'a') AS has_a, trim(p_name) AS t, length(p_name)::BIGINT AS n, sha256(p_name) AS digest FROM part")
+def string_functions(t):
+    return t("part").select("p_partkey", F.upper("p_name").alias("u"), F.left("p_name", F.lit(5)).alias("l"), F.contains(F.lower("p_name"), F.lit("a")).alias("has_a"), F.trim("p_name").alias("t"), F.length("p_name").cast("long").alias("n"), values.sha256_hex(F.col("p_name")).alias("digest"))
+
+
+TRIGRAM = """WITH w AS (SELECT {k} AS k, list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws FROM {t}),
+    g AS (SELECT k, list_distinct(flatten(list_transform(ws, lambda x: list_transform(generate_series(1, length(x) + 1), lambda i: substr('  ' || x || ' ', i::INT, 3))))) AS g FROM w),
+    q AS (SELECT ['  p', ' po', 'pos', 'ost', 'st '] AS q)"""
+
+
+@query(TRIGRAM.format(k="c_custkey", c="c_name", t="customer").replace("['  p', ' po', 'pos', 'ost', 'st ']", "['  c', ' cu', 'cus', 'ust', 'sto', 'tom', 'ome', 'mer', 'er ', '  1', ' 1 ']") + " SELECT k AS c_custkey, round(len(list_intersect(g, q))::DOUBLE / (len(g) + len(q) - len(list_intersect(g, q))), 6) AS similarity FROM g, q WHERE len(list_intersect(g, q))::DOUBLE / (len(g) + len(q) - len(list_intersect(g, q))) >= 0.3")
+def trigram_search(t):
+    s = values.similarity(F.col("c_name"), F.lit("customer 1"))
+    return t("customer").select("c_custkey", s.alias("s")).where(F.col("s") >= 0.3).select("c_custkey", F.round("s", 6).alias("similarity"))
+
+
+@query("SELECT doc_id, strip_accents(left(text, 200)) AS plain FROM documents WHERE lang IN ('fr', 'es')")
+def unaccented(t):
+    return t("documents").where(F.col("lang").isin("fr", "es")).select("doc_id", values.unaccent(F.left("text", F.lit(200))).alias("plain"))
+
+
+@query("SELECT n_nationkey, p, string_split(p, '.')[1] || '.' || string_split(p, '.')[2] AS sub, len(string_split(p, '.'))::INT AS depth, starts_with(p, 'world.') AS inside FROM (SELECT n_nationkey, 'world.' || r_name || '.' || n_name AS p FROM nation JOIN region ON n_regionkey = r_regionkey)")
+def label_paths(t):
+    p = F.concat(F.lit("world."), "r_name", F.lit("."), "n_name")
+    d = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", p.alias("p"))
+    return d.select("n_nationkey", "p", values.subpath(F.col("p"), 0, 2).alias("sub"), values.nlevel(F.col("p")).alias("depth"), values.path_matches(F.col("p"), "world.*").alias("inside"))
+
+
+@query("SELECT n_nationkey, n_name AS name, 'r' || n_regionkey AS b, 2::BIGINT AS n FROM nation")
+def maps(t):
+    m = values.merged(values.hstore(F.concat(F.lit("name=>x, b=>r"), F.col("n_regionkey").cast("string"))), F.create_map(F.lit("name"), F.col("n_name")))
+    return t("nation").select("n_nationkey", m.alias("m")).select("n_nationkey", values.lookup(F.col("m"), "name").alias("name"), values.lookup(F.col("m"), "b").alias("b"), F.size(F.map_keys("m")).cast("long").alias("n"))
+
+
+@query("SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building'")
+def case_insensitive(t):
+    return t("customer").where(values.equal_ignoring_case(F.col("c_mktsegment"), F.lit("Building"))).select("c_custkey")
+
+
+# Write algebra on customer, with a delta of every seventh row and new keys
+DELTA = "SELECT c_custkey + CASE WHEN c_custkey % 14 = 0 THEN 1000000 ELSE 0 END AS k, 1 AS hits FROM customer WHERE c_custkey % 7 = 0"
+
+
+def _delta(t):
+    k = F.col("c_custkey") + F.when(F.col("c_custkey") % 14 == 0, 1000000).otherwise(0)
+    return t("customer").where("c_custkey % 7 = 0").select(k.alias("k"), F.lit(1).alias("hits"))
+
+
+def _totals(t):
+    return t("customer").select(F.col("c_custkey").alias("k"), F.lit(1).alias("hits"))
+
+
+@query(f"WITH d AS ({DELTA}) SELECT coalesce(c.c_custkey, d.k) AS k, CASE WHEN c.c_custkey IS NULL THEN d.hits WHEN d.k IS NULL THEN 1 ELSE 2 END AS hits FROM customer c FULL JOIN d ON c.c_custkey = d.k")
+def upsert(t):
+    return writes.upsert(_totals(t), _delta(t), ["k"], {"hits": lambda o, n: o("hits") + 1})[0]
+
+
+@query(f"WITH d AS ({DELTA}) SELECT k, CASE WHEN c_custkey IS NULL THEN 1 ELSE 2 END AS hits FROM d LEFT JOIN customer ON c_custkey = k")
+def upsert_returning(t):
+    return writes.upsert(_totals(t), _delta(t), ["k"], {"hits": lambda o, n: o("hits") + 1})[1]
+
+
+@query(f"WITH d AS ({DELTA}) SELECT coalesce(c.c_custkey, d.k) AS k, CASE WHEN c.c_custkey IS NULL THEN 1 WHEN d.k IS NULL THEN 0 ELSE 2 END AS hits, CASE WHEN c.c_custkey IS NULL THEN 'INSERT' ELSE 'UPDATE' END AS merge_action FROM customer c FULL JOIN d ON c.c_custkey = d.k")
+def merge_with_orphans(t):
+    return writes.merge(_totals(t), _delta(t), ["k"], {"hits": lambda o, n: o("hits") + n("hits")}, True, {"hits": F.lit(0)})[1]
+
+
+@query("SELECT c_custkey AS old_k, c_acctbal AS old_bal, c_custkey AS new_k, c_acctbal * 2 AS new_bal FROM customer WHERE c_acctbal < 0")
+def before_after(t):
+    rows = t("customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal"))
+    return writes.update_returning(rows, F.col("bal") < 0, {"bal": F.col("bal") * 2})[1]
+
+
+@query("SELECT 'kept' AS side, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'moved', count(*), sum(o_orderkey)::BIGINT FROM orders WHERE o_orderstatus = 'F'")
+def move_rows(t):
+    src = t("orders").select("o_orderkey", "o_orderstatus")
+    kept, _, moved = writes.move_rows(src, src.limit(0), F.col("o_orderstatus") == "F")
+    side = lambda d, s: d.agg(F.lit(s).alias("side"), F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+    return side(kept, "kept").union(side(moved, "moved"))
+
+
+@query("WITH p AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 <> 0 ORDER BY o_orderdate, o_orderkey LIMIT 25) SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM p) THEN 'running' ELSE o_orderstatus END AS state FROM orders")
+def claim_jobs(t):
+    """The claim CTE over jobs that no one holds."""
+    jobs = t("orders").select("o_orderkey", "o_orderdate", F.col("o_orderstatus").alias("state"))
+    held = jobs.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("held"))
+    free = writes.skip_locked(jobs.where("state = 'O'"), held.withColumnRenamed("held", "o_orderkey"), "o_orderkey")
+    picked = free.orderBy("o_orderdate", "o_orderkey").limit(25).select(F.col("o_orderkey").alias("p"))
+    return jobs.join(F.broadcast(picked), F.col("o_orderkey") == F.col("p"), "left").select("o_orderkey", F.when(F.col("p").isNotNull(), "running").otherwise(F.col("state")).alias("state"))
+
+
+@query("WITH w AS (SELECT DISTINCT c_mktsegment AS name FROM customer), o AS (SELECT name, row_number() OVER (ORDER BY name) AS id FROM w WHERE name < 'C'), m AS (SELECT name, (SELECT coalesce(max(id), 0) FROM o) + row_number() OVER (ORDER BY name) AS id FROM w WHERE name NOT IN (SELECT name FROM o)) SELECT name, id::BIGINT AS id FROM o UNION ALL SELECT name, id::BIGINT FROM m")
+def get_or_create(t):
+    w = t("customer").select(F.col("c_mktsegment").alias("name")).distinct()
+    old = writes.with_identity(w.where("name < 'C'"), "id", [F.col("name")])
+    return writes.get_or_create(old, w, "name", "id")[1]
+
+
+# Temporal slices and overlaps
+RANGED = "SELECT o_orderkey AS k, o_custkey AS c, o_orderdate::DATE AS lo, o_orderdate::DATE + 90 AS hi FROM orders"
+
+
+def _ranged(t):
+    return t("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.to_date("o_orderdate").alias("lo"), F.date_add(F.to_date("o_orderdate"), 90).alias("hi"))
+
+
+@query(f"""WITH r AS ({RANGED}), w AS (SELECT DATE '1995-01-01' AS a, DATE '1995-07-01' AS b), p AS (
+    SELECT k, lo, hi, 1 AS price FROM r, w WHERE NOT (lo < b AND hi > a) UNION ALL SELECT k, lo, least(hi, a), 1 FROM r, w WHERE lo < b AND hi > a
+    UNION ALL SELECT k, greatest(lo, a), least(hi, b), 2 FROM r, w WHERE lo < b AND hi > a UNION ALL SELECT k, greatest(lo, b), hi, 1 FROM r, w WHERE lo < b AND hi > a) SELECT k, lo, hi, price FROM p WHERE lo < hi""")
+def portion_update(t):
+    d = _ranged(t).select("k", "lo", "hi", F.lit(1).alias("price"))
+    return writes.portion_update(d, "lo", "hi", F.lit("1995-01-01").cast("date"), F.lit("1995-07-01").cast("date"), {"price": F.lit(2)})
+
+
+@query(f"WITH r AS ({RANGED}), w AS (SELECT DATE '1995-01-01' AS a, DATE '1995-07-01' AS b), p AS (SELECT k, lo, hi FROM r, w WHERE NOT (lo < b AND hi > a) UNION ALL SELECT k, lo, least(hi, a) FROM r, w WHERE lo < b AND hi > a UNION ALL SELECT k, greatest(lo, b), hi FROM r, w WHERE lo < b AND hi > a) SELECT k, lo, hi FROM p WHERE lo < hi")
+def portion_delete(t):
+    return writes.portion_update(_ranged(t).select("k", "lo", "hi"), "lo", "hi", F.lit("1995-01-01").cast("date"), F.lit("1995-07-01").cast("date"), None)
+
+
+@query(f"WITH r AS ({RANGED}) SELECT DISTINCT c FROM (SELECT c, lo, max(hi) OVER (PARTITION BY c ORDER BY lo, hi, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM r) WHERE h > lo")
+def overlap_violations(t):
+    return writes.overlapping(_ranged(t), ["c"], "lo", "hi").select("c").distinct()
+
+
+@query(f"WITH r AS ({RANGED}) SELECT DISTINCT a.k FROM r a JOIN r b ON a.c = b.c AND a.k % 10 = 0 AND b.k % 10 <> 0 AND a.lo < b.hi AND b.lo < a.hi")
+def exclusion_conflicts(t):
+    r = _ranged(t)
+    return writes.conflicts(r.where("k % 10 = 0"), r.where("k % 10 <> 0"), ["c"], "lo", "hi").select("k").distinct()
+
+
+# constraints
+@query("SELECT 'unique' AS broken, count(*) AS n FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1) UNION ALL SELECT 'foreign key', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) UNION ALL SELECT 'not null', count(*) FROM events WHERE value IS NULL")
+def constraints(t):
+    n = lambda d, s: d.agg(F.lit(s).alias("broken"), F.count(F.lit(1)).alias("n"))
+    u = n(writes.duplicate_keys(t("orders"), ["o_custkey"]), "unique")
+    return u.union(n(writes.orphans(t("orders"), t("customer").where("c_custkey % 2 = 0"), "o_custkey", "c_custkey"), "foreign key")).union(n(writes.missing(t("events"), ["value"]), "not null"))
+
+
+# Ranges, addresses
+@query(f"WITH r AS (SELECT o_orderkey AS k, (o_orderkey % 50)::BIGINT AS lo, (o_orderkey % 50 + 20)::BIGINT AS hi FROM orders) SELECT k, 30 >= lo AND 30 < hi AS has30, lo < 40 AND 25 < hi AS meets, CASE WHEN lo < 40 AND 25 < hi THEN greatest(lo, 25) END AS a, CASE WHEN lo < 40 AND 25 < hi THEN least(hi, 40) END AS b, CASE WHEN NOT (lo < 40 AND 25 < hi) THEN 1 ELSE (lo < 25)::INT + (hi > 40)::INT END AS pieces, '[' || lo || ',' || hi || ')' AS shown FROM r")
+def range_functions(t):
+    lo = (F.col("o_orderkey") % 50).cast("long")
+    r, s = ranges.make(lo, lo + 20), ranges.make(F.lit(25).cast("long"), F.lit(40).cast("long"))
+    d = t("orders").select(F.col("o_orderkey").alias("k"), r.alias("r"), s.alias("s"))
+    r, s = F.col("r"), F.col("s")
+    x = ranges.intersection(r, s)
+    return d.select("k", ranges.contains(r, F.lit(30)).alias("has30"), ranges.overlaps(r, s).alias("meets"), x["lo"].alias("a"), x["hi"].alias("b"), F.size(ranges.multi_difference(F.array(r), F.array(s))).alias("pieces"), ranges.render(r).alias("shown"))
+
+
+@query("SELECT c_custkey, (c_custkey % 256) < 128 AS inside, '10.0.' || (c_custkey // 256 % 256) || '.' || (c_custkey % 256) || '/24' AS masked FROM customer")
+def network_addresses(t):
+    c = F.col("c_custkey")
+    base = F.concat(F.lit("10.0."), (F.floor(c / 256) % 256).cast("string"), F.lit("."))
+    a = ranges.inet(F.concat(base, (c % 256).cast("string")))
+    net = ranges.inet(F.concat(base, F.lit("0/25")))
+    return t("customer").select("c_custkey", (ranges.within(a, net) & ranges.contains_or_equals(net, a)).alias("inside"), ranges.inet_text(ranges.set_masklen(a, 24)).alias("masked"))
+
+
+# Property graph of customers and suppliers, an edge for each pair that traded
+def _trade(t):
+    v = t("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")).union(t("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), "s_name", "s_nationkey"))
+    e = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"), "l_quantity")
+    return graph.PropertyGraph(v, e.groupBy("src", "dst").agg(F.sum("l_quantity").alias("qty")))
+
+
+EDGES = "e AS (SELECT o_custkey AS c, l_suppkey AS s, sum(l_quantity) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"
+
+
+@query(f"WITH {EDGES} SELECT c_name AS buyer, s_name AS seller, qty FROM e JOIN customer ON c = c_custkey JOIN supplier ON s = s_suppkey WHERE c_nationkey = 3 AND qty > 20")
+def graph_one_hop(t):
+    p = graph.Pattern((graph.Hop("out", F.col("qty") > 20),), {0: F.col("nation") == 3})
+    return graph.graph_table(_trade(t), p, {"buyer": "v0.name", "seller": "v1.name", "qty": "e1.qty"})
+
+
+@query(f"WITH {EDGES} SELECT a.c_name AS buyer, s_name AS through, b.c_name AS peer FROM e x JOIN e y ON x.s = y.s JOIN customer a ON x.c = a.c_custkey JOIN supplier ON x.s = s_suppkey JOIN customer b ON y.c = b.c_custkey WHERE a.c_custkey = 1")
+def graph_two_hops(t):
+    p = graph.Pattern((graph.Hop(), graph.Hop("in")), {0: F.col("id") == "c1"})
+    return graph.graph_table(_trade(t), p, {"buyer": "v0.name", "through": "v1.name", "peer": "v2.name"})
+
+
+@query(f"WITH {EDGES} SELECT s_name AS one, c_name AS other FROM e JOIN customer ON c = c_custkey JOIN supplier ON s = s_suppkey WHERE s_suppkey = 1")
+def graph_undirected(t):
+    p = graph.Pattern((graph.Hop("any"),), {0: F.col("id") == "s1"})
+    return graph.graph_table(_trade(t), p, {"one": "v0.name", "other": "v1.name"})
+
+
+def _places(t):
+    r = t("region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("name"))
+    n = t("nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"))
+    c = t("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"))
+    e = t("nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("dst"))
+    return graph.PropertyGraph(r.union(n).union(c), e.union(t("customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.concat(F.lit("c"), F.col("c_custkey").cast("string")))))
+
+
+def _nested(t):
+    return graph.nested(_places(t), F.col("id").startswith("r"), {"name": {}, "holds": {"name": {}, "holds": {"name": {}}}}, "holds", "name")
+
+
+@query("SELECT r_name, n_name, count(c_custkey) AS n, min(c_name) AS first FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name, n_name")
+def nested_walk(t):
+    """The pushed nested walk (J9, A24, P16), flattened again for comparison."""
+    w = _nested(t).select("node.name", F.explode_outer("node.holds").alias("n"))
+    return w.select(F.col("name").alias("r_name"), F.col("n.name").alias("n_name"), F.size("n.holds").cast("long").alias("n"), F.try_element_at("n.holds", F.lit(1))["name"].alias("first"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return graph.response(_nested(lambda n: tables.table(spark, sf_dir, n)), "region")
+
+
+# Object graph
+@query("SELECT c_custkey AS id, c_name AS name, count(o_orderkey) AS books, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) FILTER (WHERE o_orderdate < TIMESTAMP '1995-01-01'), '') AS before FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
+def resolver_join(t):
+    o = t("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderdate"))).alias("books"))
+    j = t("customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    early = F.filter(F.coalesce("books", F.array().cast("array<struct<o_orderkey:bigint,o_orderdate:timestamp>>")), lambda b: b["o_orderdate"] < F.lit("1995-01-01").cast("timestamp"))
+    return j.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.coalesce(F.size("books"), F.lit(0)).cast("long").alias("books"), F.array_join(F.transform(early, lambda b: b["o_orderkey"].cast("string")), ",").alias("before")).withColumn("books", F.greatest("books", F.lit(0)))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ar')")
+def search_ignoring_case(t):
+    return t("part").where(F.contains(F.lower("p_name"), F.lower(F.lit("AR")))).select("p_partkey", "p_name")
+
+
+# Permissions; nations are teams, customers users, orders documents
+def _tuples(t):
+    s = lambda c: F.col(c).cast("string")
+    owner = t("orders").select(F.lit("document").alias("object_type"), s("o_orderkey").alias("object_id"), F.lit("owner").alias("relation"), F.lit("user").alias("subject_type"), s("o_custkey").alias("subject_id"))
+    member = t("customer").select(F.lit("team"), s("c_nationkey"), F.lit("member"), F.lit("user"), s("c_custkey"))
+    shared = t("orders").where("o_orderkey % 100 = 0").select(F.lit("document"), s("o_orderkey"), F.lit("viewer"), F.lit("team"), (F.col("o_orderkey") % 25).cast("string"))
+    return owner.union(member).union(shared)
+
+
+@query("WITH p AS (SELECT o_orderkey AS d, o_custkey AS u FROM orders UNION SELECT o_orderkey, c_custkey FROM orders JOIN customer ON c_nationkey = o_orderkey % 25 WHERE o_orderkey % 100 = 0) SELECT u::VARCHAR AS user_id, count(*) AS n FROM p GROUP BY u")
+def permission_viewers(t):
+    return authz.permissions(_tuples(t)).where("relation = 'viewer'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS object_id, '1' AS user_id, r AS relation, (o_custkey = 1 OR (r = 'viewer' AND o_orderkey % 100 = 0 AND o_orderkey % 25 = (SELECT c_nationkey FROM customer WHERE c_custkey = 1))) AS allowed FROM orders, (SELECT unnest(['viewer', 'editor']) AS r)")
+def permission_checks(t):
+    q = t("orders").select(F.lit("document").alias("object_type"), F.col("o_orderkey").cast("string").alias("object_id"), F.lit("1").alias("user_id"), F.explode(F.array(F.lit("viewer"), F.lit("editor"))).alias("relation"))
+    return authz.check(q, _tuples(t)).select("object_id", "user_id", "relation", "allowed")
+
+
+# P12-P15 D25
+@query("SELECT 'owner' AS who, count(*) AS n FROM orders UNION ALL SELECT '7', count(*) FROM orders WHERE o_custkey = 7 UNION ALL SELECT '8', count(*) FROM orders WHERE o_custkey = 8")
+def row_security(t):
+    p = authz.Policy(lambda name: F.col("o_custkey").cast("string") == name)
+    n = lambda who: p.read(t("orders"), who).agg(F.lit(who.name).alias("who"), F.count(F.lit(1)).alias("n"))
+    reader = frozenset({"select"})
+    return n(authz.Principal("owner", owner=True)).union(n(authz.Principal("7", privileges=reader))).union(n(authz.Principal("8", privileges=reader)))
+
+
+# The events as a log of four partitions; a tenth of the batches aborted
+LOG = "l AS (SELECT user_id % 4 AS partition, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS o, event_id, user_id, event_type, event_id % 10 = 0 AS aborted FROM events)"
+
+
+def _log(t):
+    p = (F.col("user_id") % 4).alias("partition")
+    d = t("events").select(p, "event_id", "user_id", "event_type", (F.col("event_id") % 10 == 0).alias("aborted"))
+    return d.withColumn("offset", (F.row_number().over(Window.partitionBy("partition").orderBy("event_id")) - 1).cast("long"))
+
+
+@query(f"WITH {LOG} SELECT partition, min(o) AS first, max(o) + 1 AS next, count(*) AS n, count(*) FILTER (WHERE NOT aborted) AS committed, (max(o) + 1 - 10) AS lag FROM l GROUP BY partition")
+def log_bounds(t):
+    r = _log(t).groupBy("partition").agg(F.min("offset").alias("first"), (F.max("offset") + 1).alias("next"), F.count(F.lit(1)).alias("n"), F.count_if(~F.col("aborted")).alias("committed"))
+    commits = r.select("partition", F.lit(10).alias("committed"))
+    return r.join(logstore.lag(r, commits).select("partition", "lag"), "partition")
+
+
+@query(f"WITH {LOG} SELECT partition, min(o) AS first, max(o) AS last, md5(string_agg(event_type, '' ORDER BY o)) AS digest FROM l WHERE NOT aborted AND o >= 50 GROUP BY partition")
+def log_replay(t):
+    r = logstore.replay_summary(_log(t).where("NOT aborted AND offset >= 50").withColumnRenamed("event_type", "value"))
+    return r.select("partition", "first", "last", F.md5("values").alias("digest"))
+
+
+@query("SELECT user_id AS key, user_id % 4 AS partition, true AS one_home FROM events GROUP BY ALL")
+def log_homes(t):
+    return logstore.homes(_log(t).withColumnRenamed("user_id", "key"))
+
+
+# State from events: last value a key, versions counted
+@query("SELECT user_id, arg_max(value, event_id) AS value, count(*) AS version FROM events GROUP BY user_id")
+def keyed_state(t):
+    return t("events").groupBy("user_id").agg(F.max_by("value", "event_id").alias("value"), F.count(F.lit(1)).alias("version"))
+
+
+@query("SELECT user_id::VARCHAR AS key, count(*) = 0 AS accepted FROM events WHERE false GROUP BY ALL UNION ALL SELECT user_id::VARCHAR, user_id % 2 = 0 FROM (SELECT DISTINCT user_id FROM events)")
+def compare_and_set(t):
+    users = t("events").select("user_id").distinct()
+    state = users.select(F.col("user_id").cast("string").alias("key"), F.lit("v").alias("value"), F.lit(1).cast("long").alias("version"))
+    asks = users.select(F.col("user_id").cast("string").alias("key"), F.lit("w").alias("value"), (F.col("user_id") % 2 + 1).cast("long").alias("expected"))
+    return writes.compare_and_set(state, asks)[1].select("key", "accepted")
+
+
+# Dual write without atomicity
+@query("SELECT count(*) AS orders, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS sent, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS lost FROM orders")
+def lost_events(t):
+    o, e = t("orders").select("o_orderkey"), t("orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("e"))
+    return o.join(e, F.col("o_orderkey") == F.col("e"), "left").agg(F.count(F.lit(1)).alias("orders"), F.count("e").alias("sent"), F.count_if(F.col("e").isNull()).alias("lost"))
+
+
+# telemetry
+@query("SELECT event_type, count(value) AS n, round(sum(value), 6) AS total, count(*) FILTER (WHERE value <= 5) AS b0, count(*) FILTER (WHERE value > 5 AND value <= 25) AS b1, count(*) FILTER (WHERE value > 25 AND value <= 100) AS b2, count(*) FILTER (WHERE value > 100) AS b3 FROM events GROUP BY event_type")
+def metric_histogram(t):
+    h = telemetry.histogram(t("events"), "value", ["event_type"])
+    return h.select("event_type", F.col("count").alias("n"), F.round("sum", 6).alias("total"), *[F.col("buckets")[i].alias(f"b{i}") for i in range(4)])
+
+
+@query("SELECT event_type, arg_max(value, struct_pack(ts := ts, id := event_id)) AS last, count(DISTINCT user_id) AS traces FROM events GROUP BY event_type")
+def metric_gauge(t):
+    return t("events").groupBy("event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("last"), F.count_distinct("user_id").alias("traces"))
+
+
+@query("SELECT event_id, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), '(root)') AS parent_name FROM events")
+def span_parents(t):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    spans = t("events").select(F.col("event_id").alias("span_id"), F.lag("event_id").over(w).alias("parent_id"), F.col("user_id").alias("trace_id"), F.col("event_type").alias("name"))
+    return telemetry.with_parent_name(spans).select(F.col("span_id").alias("event_id"), "parent_name")
+
+
+@query("SELECT n_nationkey, 'n=' || n_name || ',r=' || n_regionkey AS labels FROM nation")
+def label_keys(t):
+    m = F.create_map(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("n"), F.col("n_name"))
+    return t("nation").select("n_nationkey", values.label_key(m).alias("labels"))
+
+
+# No SQL to compare with; held against fixtures in tests
+@query()
+def full_text(t):
+    q = fts.to_tsquery("table | mind")
+    d = t("documents").where("lang = 'en'").select("doc_id", fts.to_tsvector(F.col("text")).alias("v"))
+    return d.where(fts.matches(F.col("v"), q)).select("doc_id", F.round(fts.rank(F.col("v"), q), 6).alias("rank"))
+
+
+# S12 S37-S39
+@query("SELECT count(*) AS n, sum(n_nationkey)::BIGINT AS keys FROM nation")
+def json_export(t):
+    j = tables.as_json_array(t("nation"))
+    return j.select(F.explode(F.from_json("json", "array<struct<n_nationkey:int,n_name:string>>")).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum("x.n_nationkey").alias("keys"))
+
+
+# Identifiers and literals
+@query("SELECT 47 AS hex, 15 AS oct, 11 AS bin, 1000000 AS big, 7 AS version, count(*) AS n FROM nation")
+def identifiers(t):
+    u = t("nation").select(values.uuid7().alias("u")).agg(F.max(values.uuid_version(F.col("u"))).alias("version"), F.count(F.lit(1)).alias("n"))
+    return u.select(values.integer_literal("0x2f").alias("hex"), values.integer_literal("0o17").alias("oct"), values.integer_literal("0b1011").alias("bin"), values.integer_literal("1_000_000").alias("big"), "version", "n")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Fixed: dates are those of UTC, overlapping maps keep the right side's value.
@@ -25,3 +30,17 @@ def build(app: str = "brindle", master: str | None = None, **conf: str) -> Spark
     for k, v in (SETTINGS | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once a Spark application: executors need no copy of the repository."""
+    sc = spark.sparkContext
+    if getattr(sc, "_brindle_shipped", None) == sc.applicationId:
+        return
+    top = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="brindle-"), "brindle_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f"{top.name}/{f.relative_to(top)}")
+    sc.addPyFile(path)
+    sc._brindle_shipped = sc.applicationId

@@ -10,8 +10,9 @@ What is searched where is found in steps, none of which can lose a link:
 1. Equal sets are one class.
 2. In one global order (the hash), linked sets share members among their first floor(n/4) + n/8 ones. Sets whose first
    members are hardly shared with any other class are done. This exchange moves 6 bytes a member, by member.
-3. Of the rest, classes that share a minimum of one of four hashes are searched against the least class of that group, in
-   blocks. Its links contract large groups of near copies into components early.
+3. Of the rest, classes that share a minimum of one of four hashes are searched against the most typical class of that group
+   (the largest share of shared members: an original rather than its altered copies), in blocks. These links contract large
+   groups of near copies into components early.
 4. Only members that another component also has can still matter. Sets with fewer than T of them are done. The last ones are
    joined on their rarest members (n - T + 1, members that no other component has included), between components only, and
    each is searched against its candidates, in blocks.
@@ -254,11 +255,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the rows whose text has the expected digest: the set, and its minima under four hashes."""
     for b in batches:
         rows = []
-        for t, d in zip(b.column("text"), b.column("digest").to_pylist()):
+        for t, d, share in zip(b.column("text"), b.column("digest").to_pylist(), b.column("share").to_pylist()):
             s = shingles(t.as_py())
             if len(s) and digest(s) == d:
-                rows.append((ref(d), len(s), s.tobytes(), [int((s * np.uint64(o) ^ (s >> np.uint64(31))).min().astype(np.int64)) for o in ODD[:4]]))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["ref", "n", "set", "minima"])
+                rows.append((ref(d), len(s), s.tobytes(), [int((s * np.uint64(o) ^ (s >> np.uint64(31))).min().astype(np.int64)) for o in ODD[:4]], share))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.float64())], names=["ref", "n", "set", "minima", "share"])
 
 
 def _component_blobs(parts: int):
@@ -313,19 +314,20 @@ def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = meta.where("n > 0").groupBy("digest", "ref", "n").agg(F.min("doc_id").alias("one"))
     shared = d.select("text").mapInArrow(_prefixes(parts), "part int, blob binary").groupBy("part").applyInArrow(_shared, "ref bigint, c bigint").groupBy("ref").agg(F.sum("c").alias("c"))
     need = F.greatest(F.lit(1), F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / 8)) - 2 - F.shiftright("n", 16))
-    left = durable(classes.join(shared, "ref").where(F.col("c") >= need).select("digest", F.col("one").alias("doc_id")))
+    left = durable(classes.join(shared, "ref").where(F.col("c") >= need).select("digest", F.col("one").alias("doc_id"), (F.col("c") / F.least("n", F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + F.greatest(F.lit(1), F.floor(F.col("n") / 8)))).alias("share")))
     # rows without an id are found by their text's class; the others by their id
-    named = d.where("doc_id IS NOT NULL").join(left.where("doc_id IS NOT NULL"), "doc_id").select("text", "digest")
-    nameless = d.where("doc_id IS NULL").select("text").mapInArrow(_with_digest, "text string, digest binary").join(left.where("doc_id IS NULL").select("digest"), "digest").select("text", "digest")
-    sets = durable(named.union(nameless).mapInArrow(_sets, "ref bigint, n bigint, set binary, minima array<bigint>"))
+    named = d.where("doc_id IS NOT NULL").join(left.where("doc_id IS NOT NULL"), "doc_id").select("text", "digest", "share")
+    nameless = d.where("doc_id IS NULL").select("text").mapInArrow(_with_digest, "text string, digest binary").join(left.where("doc_id IS NULL").select("digest", "share"), "digest").select("text", "digest", "share")
+    sets = durable(named.union(nameless).mapInArrow(_sets, "ref bigint, n bigint, set binary, minima array<bigint>, share double"))
     # step 3
-    mins = sets.select("ref", F.posexplode("minima").alias("i", "m"))
-    pivots = mins.groupBy("i", "m").agg(F.min("ref").alias("a"), F.max("ref").alias("most")).where("a <> most").drop("most")
+    mins = sets.select("ref", "share", F.posexplode("minima").alias("i", "m"))
+    pivots = mins.groupBy("i", "m").agg(F.max(F.struct("share", "ref"))["ref"].alias("a"), (F.min("ref") < F.max("ref")).alias("many")).where("many").drop("many")
     pairs = durable(mins.join(pivots, ["i", "m"]).where("ref <> a").select("a", F.col("ref").alias("b")).distinct())
     links = durable(_links(pairs, sets))
     first = components(links)
-    marked = sets.drop("minima").join(first.withColumnRenamed("id", "ref"), "ref", "left").withColumn("component", F.coalesce("component", "ref"))
+    marked = sets.drop("minima", "share").join(first.withColumnRenamed("id", "ref"), "ref", "left").withColumn("component", F.coalesce("component", "ref"))
     # step 4
+    parts = max(8, (sets.agg(F.sum("n")).first()[0] or 0) // PART_MEMBERS)
     crossing = marked.mapInArrow(_component_blobs(parts), "part int, blob binary").groupBy("part").applyInArrow(_crossing, "ref bigint, c bigint").groupBy("ref").agg(F.sum("c").alias("c"))
     slack = 2 + F.shiftright("n", 16)
     open_sets = durable(marked.join(crossing, "ref").where(F.col("c") + slack >= F.ceil(F.col("n") * PERCENT / 100)).select("ref", "n", "component", "set").dropDuplicates(["ref"]))

@@ -54,23 +54,27 @@ def scaled(rows: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(rows: np.ndarray, langs: list[str]) -> tuple[list[str], np.ndarray]:
-    """Languages and a (TOTAL, languages) matrix that maps scaled presence rows to scores."""
+def fit(bits: np.ndarray, langs: list[str]) -> tuple[list[str], np.ndarray]:
+    """Languages and a (TOTAL, languages) matrix that maps scaled presence rows to scores. ``bits`` are packed presence rows;
+    only the landmarks and one batch are ever held as floats."""
+
+    def unpacked(some: np.ndarray) -> np.ndarray:
+        return scaled(np.unpackbits(some, axis=1, count=TOTAL))
+
     names = sorted(set(langs))
-    x = scaled(rows)
-    marks = x[:: max(1, -(-len(x) // LANDMARKS))]
+    marks = unpacked(bits[:: max(1, -(-len(bits) // LANDMARKS))])
     kmm = (marks @ marks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(kmm)
     good = values > 1e-8 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])
-    z = (x @ marks.T) @ root
+    z = np.vstack([unpacked(bits[i : i + BATCH]) @ marks.T for i in range(0, len(bits), BATCH)]) @ root
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     # each language weighs the same, however many of its rows are in the sample
     w = 1 / np.array([langs.count(n) for n in langs])
     z1 = np.hstack([z, np.ones((len(z), 1))])
     a = (z1 * w[:, None]).T @ z1 + RIDGE * np.eye(z1.shape[1]) * w.sum() / len(w)
     solved = np.linalg.solve(a, (z1 * w[:, None]).T @ y)
-    return names, np.vstack([(marks.T @ (root @ solved[:-1])), solved[-1:]]).astype(np.float32)
+    return names, np.vstack([marks.T @ (root @ solved[:-1]).astype(np.float32), solved[-1:].astype(np.float32)])
 
 
 def _sample_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +100,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray] | None:
     rows = picked.mapInArrow(_sample_bits, "lang string, h bigint, bits binary").collect()
     rows.sort(key=lambda r: (r["h"], r["lang"], bytes(r["bits"])))
     bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), np.uint8).reshape(len(rows), -1)
-    return fit(np.unpackbits(bits, axis=1), [r["lang"] for r in rows])
+    return fit(bits, [r["lang"] for r in rows])
 
 
 def _predict(model, schema_names: list[str]):

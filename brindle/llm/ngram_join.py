@@ -16,9 +16,14 @@ What is searched where is found in steps, none of which can lose a link:
 4. Only members that another component also has can still matter. Sets with fewer than T of them are done. The last ones are
    joined on their rarest members (n - T + 1, members that no other component has included), between components only, and
    each is searched against its candidates, in blocks.
+5. A rarest member that more than COMMON of the last sets have is not joined on. The sets that such members connect are a
+   family: altered copies of one text that mostly do not link with each other, or documents made of one passage. A family is
+   cut by size into levels, so that links are within a level or to the next, and levels into blocks; each set is searched
+   against each block, as a stated query set is. What comes out are links that join components, fewer than there are sets
+   in the two blocks.
 
-Hot members - of a passage that many documents share - are rare in no document that is not mostly made of them, and groups of
-near copies are one component by step 3, so no step makes all pairs of a group.
+Hot members - of a passage that many documents share - are rare in no document that is not mostly made of them, groups of
+near copies are one component by step 3, and families give no candidates, so no step makes all pairs of a group.
 
 Defined results: a null or empty text has no shingles and links with nothing, and is its own component; fewer words than five
 are one shingle; repeated rows and equal texts are linked (if they have a shingle); rows with a null doc_id link like others
@@ -44,7 +49,8 @@ from .components import components
 N, PERCENT = 5, 75
 #: Members that a task of step 2 or 4 gets, about.
 PART_MEMBERS = 1_500_000
-BLOCK = 256
+BLOCK, BLOCK_MEMBERS = 256, 1_000_000
+COMMON = 32
 MEMO_WORDS = 1 << 19
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
@@ -293,6 +299,54 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return asked.union(others).groupBy("a", "block").applyInArrow(_search_block, "a bigint, b bigint")
 
 
+def _block_links(group: pa.Table) -> pa.Table:
+    """Links between two blocks of a family, or within one, that join components which no link before has joined here."""
+    a, b = group.column("block").to_pylist()[0], group.column("other").to_pylist()[0]
+    refs, sets = group.column("ref").to_pylist(), [np.frombuffer(s, np.uint64) for s in group.column("set").to_pylist()]
+    comps = np.unique(group.column("component").to_numpy(), return_inverse=True)[1]
+    asks = np.array(group.column("asks").to_pylist())
+    queries = np.flatnonzero(asks)
+    targets = queries if a == b else np.flatnonzero(~asks)
+    out: list[tuple[int, int]] = []
+    if len(queries) and len(targets):
+        sizes = [len(sets[t]) for t in targets]
+        flat, owner = np.concatenate([sets[t] for t in targets]), np.repeat(np.arange(len(targets)), sizes)
+        order = np.lexsort((owner, flat))
+        members, begin = np.unique(flat[order], return_index=True)
+        lists = np.split(owner[order], begin[1:])
+        for k, q in enumerate(queries):
+            allowed = comps[targets] != comps[q]
+            if a == b:
+                allowed[k:] = False
+            if not allowed.any():
+                continue
+            at = np.searchsorted(members, sets[q])
+            at[at == len(members)] = 0
+            mine = [x for x in (lists[i][allowed[lists[i]]].tolist() for i in at[members[at] == sets[q]]) if x]
+            for t in divide_skip(mine, sizes, len(sets[q])):
+                t = targets[t]
+                if comps[t] != comps[q]:
+                    out.append((refs[q], refs[t]))
+                    comps[comps == comps[t]] = comps[q]
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+
+def _family_links(sets: DataFrame) -> DataFrame:
+    """(a, b) that join components, of sets (ref, n, component, set) that have a family."""
+    # links are between sizes of at least PERCENT of each other: of one level, or of neighbouring ones
+    leveled = sets.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(100 / PERCENT) * (1 + 1e-9))))
+    levels = durable(leveled.groupBy("family", "level").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_MEMBERS)).cast("int").alias("blocks")))
+    dealt = leveled.join(levels, ["family", "level"]).withColumn("block", F.struct("level", F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int").alias("i"))).drop("level", "blocks")
+    up = levels.select("family", (F.col("level") - 1).alias("level"), F.col("blocks").alias("more"))
+    low, high = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("more") - 1)
+    within = levels.select("family", F.explode(low).alias("i"), "level", "blocks").select("family", F.struct("level", "i").alias("block"), F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"), "level").select("family", "block", F.struct("level", F.col("j").alias("i")).alias("other"))
+    between = levels.join(up, ["family", "level"]).select("family", "level", F.explode(low).alias("i"), high.alias("js")).select("family", F.struct("level", "i").alias("block"), "level", F.explode("js").alias("j")).select("family", "block", F.struct((F.col("level") + 1).alias("level"), F.col("j").alias("i")).alias("other"))
+    both = within.union(between)
+    asked = both.join(dealt, ["family", "block"]).select("family", "block", "other", F.lit(True).alias("asks"), "ref", "component", "set")
+    rest = both.where("block <> other").join(dealt.withColumnRenamed("block", "other"), ["family", "other"]).select("family", "block", "other", F.lit(False).alias("asks"), "ref", "component", "set")
+    return asked.union(rest).groupBy("family", "block", "other").applyInArrow(_block_links, "a bigint, b bigint")
+
+
 def _explode_sets(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -336,11 +390,17 @@ def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranked = members.join(lists, "member").withColumn("r", F.row_number().over(Window.partitionBy("ref").orderBy("df", "member"))).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("ref")))
     # n - T + 1 rarest members; those in no other component are rarer than all of these
     rare = durable(ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.col("all"))).select("member", "ref", "n", "component"))
+    # step 5
+    common = rare.groupBy("member").agg(F.count(F.lit(1)).alias("df"), F.min("ref").alias("first")).where(F.col("df") > COMMON).select("member", "first")
+    marked = durable(rare.join(common, "member", "left"))
+    family = components(marked.where("first IS NOT NULL").select(F.col("ref").alias("a"), F.col("first").alias("b")).distinct())
+    inside = _family_links(open_sets.join(family.withColumnRenamed("id", "ref").withColumnRenamed("component", "family"), "ref"))
+    rare = marked.where("first IS NULL").drop("first")
     other = rare.select("member", F.col("ref").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     fits = (F.greatest("n", "nb") * PERCENT <= F.least("n", "nb") * 100) & (F.col("ref") < F.col("b")) & (F.col("component") != F.col("cb"))
     candidates = durable(rare.join(other, "member").where(fits).select(F.col("ref").alias("a"), "b").distinct())
     last = _links(candidates, open_sets)
-    return meta.select("doc_id", "n", "ref"), components(links.union(last))
+    return meta.select("doc_id", "n", "ref"), components(links.union(last).union(inside))
 
 
 def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -154,6 +154,25 @@ def test_divide_skip():
         assert sorted(ngram_join.search(q, sets)) == want
 
 
+def test_ngram_join_families(spark, monkeypatch):
+    """Altered copies of few texts, most of which do not link with each other, in blocks of three."""
+    for name, value in (("COMMON", 2), ("BLOCK", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    r = random.Random(11)
+    rows = []
+    for base, length in enumerate((60, 75, 90)):
+        words = [f"b{base}w{i}" for i in range(length)]
+        for _ in range(30):
+            copy = list(words)
+            for at in r.sample(range(length), r.randint(1, 4)):
+                copy[at] = f"x{r.randrange(10**9)}"
+            rows.append((len(rows), " ".join(copy[: length - r.randint(0, 6)])))
+    want = brute_links(rows)
+    got = {x.doc_id: x.component_id for x in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: c for i, (_, c) in want.items()}
+    assert 3 < len(set(got.values())) < 90
+
+
 def test_urls(spark):
     cases = {
         "http://Foo.EXAMPLE.com/en/1?x": ("foo.example.com", "/en/1", "example.com/en/", "block"),

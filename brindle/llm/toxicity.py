@@ -30,7 +30,9 @@ FOLDS, HELD_OUT = 5, 0
 FIT_ROWS, FIT_WORDS, BLOCK = 1000, 2000, 50
 WINDOW = 6
 BUCKETS, DIM, GRAMS = 1 << 18, 4, (4, 5, 6)
-ROUNDS, STEPS, DECAY, SCALE = 14, 10, 1e-6, 4.0
+ROUNDS, MOST_ROUNDS, STEPS, DECAY, SCALE = 30, 60, 10, 1e-6, 4.0
+#: Rounds go on until at most this share of the fit's clean documents has a window called toxic.
+WRONG = 0.001
 FIRST_ROWS, FIRST_STEPS = 400, 8
 RATES = (0.3, 0.05, 0.05)
 MEMO_WORDS = 1 << 19
@@ -114,7 +116,8 @@ class _Model:
 
 def fit(bags: list[list[str]], labels: list[int]) -> tuple[np.ndarray, float]:
     """Value of each bucket and the bias, from documents' words. First whole documents are the examples; then each toxic
-    document's worst window is one, and every window of a clean one that has been its worst."""
+    document's worst window is one, and every window of a clean one that has been its worst. Samples differ in how many rounds
+    they take, so the rounds end by what is still called wrong."""
     vocab: dict[str, int] = {}
     docs = [np.array([vocab.setdefault(w, len(vocab)) for w in d], np.int32) for d in bags if d]
     y = np.array([c for d, c in zip(bags, labels) if d])
@@ -128,10 +131,14 @@ def fit(bags: list[list[str]], labels: list[int]) -> tuple[np.ndarray, float]:
     few = [i for c in (0, 1) for i in np.flatnonzero(y == c)[:FIRST_ROWS]]
     model.train([docs[i] for i in few], y[few], flat, begins, sizes, FIRST_STEPS)
     negatives: dict[tuple[int, int], np.ndarray] = {}
-    for _ in range(ROUNDS):
-        value, _ = model.values()
+    for done in range(MOST_ROUNDS):
+        value, bias = model.values()
         word = np.add.reduceat(value[flat], begins) / sizes
-        top = [int(means(word[d]).argmax()) for d in docs]
+        scores = [means(word[d]) for d in docs]
+        top = [int(s.argmax()) for s in scores]
+        worst = np.array([s[t] for s, t in zip(scores, top)]) + bias
+        if done >= ROUNDS and (worst[y == 0] >= 0).mean() <= WRONG:
+            break
         window = [d[t : t + WINDOW] for d, t in zip(docs, top)]
         negatives |= {(i, top[i]): window[i] for i in np.flatnonzero(y == 0)}
         positives = [window[i] for i in np.flatnonzero(y == 1)]

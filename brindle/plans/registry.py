@@ -191,6 +191,12 @@ def unaccented(t):
     return t("documents").where(F.col("lang").isin("fr", "es")).select("doc_id", values.unaccent(F.left("text", F.lit(200))).alias("plain"))
 
 
+@query("SELECT doc_id, strip_accents(text) AS plain FROM documents")
+def unaccented_documents(t):
+    """Whole texts of all documents; ``unaccented`` is the beginnings of some."""
+    return t("documents").select("doc_id", values.unaccent(F.col("text")).alias("plain"))
+
+
 @query("SELECT n_nationkey, p, string_split(p, '.')[1] || '.' || string_split(p, '.')[2] AS sub, len(string_split(p, '.'))::INT AS depth, starts_with(p, 'world.') AS inside FROM (SELECT n_nationkey, 'world.' || r_name || '.' || n_name AS p FROM nation JOIN region ON n_regionkey = r_regionkey)")
 def label_paths(t):
     p = F.concat(F.lit("world."), "r_name", F.lit("."), "n_name")

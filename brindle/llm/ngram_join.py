@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, durable, session
+from .common import WORD, documents, durable, session
 from .components import components
 
 N, PERCENT = 5, 75
@@ -357,12 +357,13 @@ def _explode_sets(sets: DataFrame) -> DataFrame:
     return sets.select("ref", "n", "component", "set").mapInArrow(run, "member bigint, ref bigint, n bigint, component bigint")
 
 
-def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, ref) of every document, ref null without shingles; and (ref, component) of the classes that link."""
+def class_components(docs: DataFrame, marks: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, marks, n, ref) of every document, ref null without shingles; and (ref, component) of the classes that link.
+    marks: columns of whole numbers."""
     session(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     d = docs.select("doc_id", "text")
-    meta = durable(d.mapInArrow(_meta, f"doc_id {kind}, n bigint, digest binary, ref bigint"))
+    meta = durable(docs.select("doc_id", "text", *marks).mapInArrow(_meta, ", ".join([f"doc_id {kind}", *(f"{m} bigint" for m in marks), "n bigint, digest binary, ref bigint"])))
     total = meta.agg(F.sum("n")).first()[0] or 0
     parts = max(8, total * 3 // 8 // PART_MEMBERS)
     classes = meta.where("n > 0").groupBy("digest", "ref", "n").agg(F.min("doc_id").alias("one"))
@@ -400,7 +401,7 @@ def class_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     fits = (F.greatest("n", "nb") * PERCENT <= F.least("n", "nb") * 100) & (F.col("ref") < F.col("b")) & (F.col("component") != F.col("cb"))
     candidates = durable(rare.join(other, "member").where(fits).select(F.col("ref").alias("a"), "b").distinct())
     last = _links(candidates, open_sets)
-    return meta.select("doc_id", "n", "ref"), components(links.union(last).union(inside))
+    return meta.select("doc_id", *marks, "n", "ref"), components(links.union(last).union(inside))
 
 
 def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,10 +419,34 @@ def join(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def _first_of_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's rows with the same two marks, the first: copies in all columns, so that a hot row leaves a task once."""
+    seen: set[tuple[int, int]] = set()
+    for b in batches:
+        at = []
+        for i, key in enumerate(zip(b.column("__one").to_pylist(), b.column("__two").to_pylist())):
+            if key not in seen:
+                seen.add(key)
+                at.append(i)
+        yield b.take(pa.array(at, pa.int64()))
+
+
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents without those that link, over others, to one of a smaller doc_id; of rows sharing text and id, one."""
-    found = join(docs).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.join(found.withColumnRenamed("doc_id", "__kept"), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    """Of each group of linked rows one, the least by doc_id (nulls last), then by hashes of the whole row; of rows that are
+    equal in every column, one. Rows without shingles link with nothing and all stay."""
+    session(docs)
+    # both hashes are of all columns: they name a row up to its copies, whatever its id
+    columns = [F.col(c) for c in docs.columns]
+    named = docs.withColumns({"__one": F.xxhash64(F.lit(1), *columns), "__two": F.xxhash64(F.lit(2), *columns)})
+    meta, linked = class_components(named, ("__one", "__two"))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__one", "__two")
+    # one row a class before the join, so that no class is hot in it
+    classes = meta.where("ref IS NOT NULL").groupBy("ref").agg(F.min(order).alias("least"))
+    found = classes.join(linked.withColumnRenamed("id", "ref"), "ref", "left").groupBy(F.coalesce("component", "ref").alias("component")).agg(F.min("least").alias("least")).select("least.__one", "least.__two")
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    once = named.where(worded).mapInArrow(_first_of_equal, named.schema)
+    kept = once.join(found, ["__one", "__two"], "left_semi").dropDuplicates(["__one", "__two"])
+    return kept.select(*docs.columns).union(docs.where(~worded))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -145,6 +145,34 @@ def test_ngram_join(spark, docs, texts):
     assert ngram_join.keep(docs).count() == len({c for _, c in brute_links(texts.items()).values()})
 
 
+def test_ngram_join_keep_repeated_ids(spark):
+    """One row a component, whatever ids are null, repeated or hot; also as the pipeline's stage."""
+    import corpus_pipeline
+
+    r = random.Random(17)
+    base = [" ".join(f"k{b}w{i}" for i in range(40)) for b in range(8)]
+    texts = [t.replace(f"w{r.randrange(40)}", "w99") if r.random() < 0.5 else t for t in r.choices(base, k=120)]
+    rows = [(r.choice([None, None, 3, 3, 7, i]), t, r.choice("ab")) for i, t in enumerate(texts)]
+    rows += [(None, base[0], "a")] * 40 + [(3, base[1], "b")] * 40 + [(3, "of its own text only here", "a"), (1, base[2], "a"), (3, base[2], "b"), (None, "alone without any id at all", "b")]
+    blank = [(3, None, "a"), (3, "", "a"), (None, " \n", "b"), (None, " \n", "b")]
+    links = brute_links([(i, t) for i, (_, t, _) in enumerate(rows)])
+    groups = {}
+    for i, row in enumerate(rows):
+        groups.setdefault(links[i][1], []).append(row)
+    df = spark.createDataFrame(rows + blank, "doc_id long, text string, source string")
+    got = [tuple(x) for x in corpus_pipeline.near_duplicates(spark, df.repartition(6), "").collect()]
+    assert got.count(blank[2]) == 2 and Counter(x for x in got if not (x[1] or "").strip()) == Counter(blank)
+    left = [x for x in got if (x[1] or "").strip()]
+    assert len(left) == len(groups)
+    for g in groups.values():
+        mine = [x for x in left if x in g]
+        assert len(mine) == 1
+        ids = [i for i, _, _ in g if i is not None]
+        assert mine[0][0] == (min(ids) if ids else None)
+    again = [tuple(x) for x in ngram_join.keep(df.repartition(3)).collect()]
+    assert Counter(again) == Counter(got)
+
+
 def test_divide_skip():
     random.seed(4)
     for _ in range(300):

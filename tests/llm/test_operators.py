@@ -228,6 +228,17 @@ def test_language(docs, odd, texts):
     assert language.identify(empty(docs)).count() == 0
 
 
+def test_language_learns_every_one(spark):
+    """Seventy languages, the rarest among them."""
+    r = random.Random(23)
+    words = {n: ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8)] for n in (f"l{i:02}" for i in range(70))}
+    langs = [n for i, n in enumerate(words) for _ in range(12 if i < 65 else 8)]
+    rows = [(i, " ".join(r.choices(words[n], k=12)), n) for i, n in enumerate(langs)]
+    got = {x.doc_id: x for x in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {x.lang_pred for x in got.values()} == set(words)
+    assert sum(got[i].lang_pred == n for i, _, n in rows) >= 0.95 * len(rows)
+
+
 def test_quality(docs, odd):
     for df in (docs, odd):
         got = Counter((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.measure(df).collect())

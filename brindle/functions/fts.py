@@ -10,6 +10,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,9 +65,15 @@ def lexemes(text: str | None) -> dict[str, list[int]]:
     return out
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
-def to_tsvector(s: pd.Series) -> pd.Series:
-    return s.map(lexemes)
+@F.arrow_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
+def to_tsvector(texts: pa.Array) -> pa.Array:
+    # few texts at a time: a batch's lexemes as Python objects take many times their text
+    kind, few = pa.map_(pa.string(), pa.list_(pa.int32())), 256
+    return pa.concat_arrays([pa.array([list(lexemes(t.as_py()).items()) for t in texts.slice(i, few)], kind) for i in range(0, max(len(texts), 1), few)])
+
+
+# a filter on the vector would else be pushed below it and compute it again
+to_tsvector = to_tsvector.asNondeterministic()
 
 
 @dataclass(frozen=True)

@@ -507,7 +507,7 @@ def label_keys(t):
 @query()
 def full_text(t):
     q = fts.to_tsquery("table | mind")
-    d = t("documents").where("lang = 'en'").select("doc_id", fts.to_tsvector(F.col("text")).alias("v"))
+    d = t("documents").select("doc_id", fts.to_tsvector(F.col("text")).alias("v"))
     return d.where(fts.matches(F.col("v"), q)).select("doc_id", F.round(fts.rank(F.col("v"), q), 6).alias("rank"))
 
 

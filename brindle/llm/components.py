@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import apart, removed, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -16,23 +16,29 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges
     least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = both.join(least, both["u"] == least["w"])
+    # the least node of a large component meets all of its nodes
+    joined = both.join(least, apart(both["u"]) == apart(least["w"]))
     out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
     return out.where(F.col("u") > F.col("v")).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of every node that a link (a, b) has; component is its least reachable node. Links may repeat, point
-    either way, or join a node to itself, which then has no row unless another link has it."""
+    either way, or join a node to itself, which then has no row unless another link has it. Rounds grow with the logarithm of
+    the longest path; links that are not settled after so many are an error, never a result."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") > F.col("v")).distinct()
-    e = durable(e)
+    e, folder = written(e, "links")
     before = None
     for _ in range(most_rounds):
-        e = durable(_star(_star(e, True), False))
+        old = folder
+        e, folder = written(_star(_star(e, True), False), "links")
+        removed(edges.sparkSession, old)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"links are not settled after {most_rounds} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 

@@ -8,8 +8,8 @@ often enough there is probed for in the long ones by binary search (``divide_ski
 What is searched where is found in steps, none of which can lose a link:
 
 1. Equal sets are one class.
-2. In one global order (the hash), linked sets share members among their first floor(n/4) + n/8 ones. Sets whose first
-   members are hardly shared with any other class are done. This exchange moves 6 bytes a member, by member.
+2. In one global order (the hash), linked sets share members among their first floor(n/4) + n/8 ones (``least_shared``). Sets
+   whose first members are hardly shared with any other class are done. This exchange moves 10 bytes a member, by member.
 3. Of the rest, classes that share a minimum of one of four hashes are searched against the most typical class of that group
    (the largest share of shared members: an original rather than its altered copies), in blocks. These links contract large
    groups of near copies into components early.
@@ -23,7 +23,11 @@ What is searched where is found in steps, none of which can lose a link:
    in the two blocks.
 
 Hot members - of a passage that many documents share - are rare in no document that is not mostly made of them, groups of
-near copies are one component by step 3, and families give no candidates, so no step makes all pairs of a group.
+near copies are one component by step 3, and families give no candidates, so no step makes all pairs of a group. Joins on a
+key that may be hot have two sides that are both exchanged for the join (``apart``), so that adaptive execution splits it.
+
+Words and shingles are named by 64 bits. Classes are told apart by 128-bit digests of their whole sets; those that reach step 3
+are numbered, and no number stands for two.
 
 Defined results: a null or empty text has no shingles and links with nothing, and is its own component; fewer words than five
 are one shingle; repeated rows and equal texts are linked (if they have a shingle); rows with a null doc_id link like others
@@ -40,50 +44,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, durable, session
+from .common import WORD, apart, documents, durable, packed, session, unpacked
 from .components import components
+from .flat import ODD, buffer, slices
+from .flat import shingles as flat_shingles
 
 N, PERCENT = 5, 75
 #: Members that a task of step 2 or 4 gets, about.
-PART_MEMBERS = 1_500_000
+PART_MEMBERS = 750_000
 BLOCK, BLOCK_MEMBERS = 256, 1_000_000
 COMMON = 32
-MEMO_WORDS = 1 << 19
-ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_hashes = _Hashes()
+#: Members that a task of the first exchange gathers before it deals them out, and digests of classes that it remembers.
+FLUSH_MEMBERS, SEEN = 1_000_000, 1 << 16
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(ODD[4])
-    return x ^ (x >> np.uint64(29))
-
-
-def shingles(text: str | None, n: int = N) -> np.ndarray:
-    """Sorted distinct hashes of the text's word n-grams."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    k = min(n, len(words))
-    total = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        total = mixed(total * np.uint64(ODD[i % 4]) + h[i : len(h) - k + 1 + i])
-    return np.unique(total)
+def sets_of(column: pa.Array, n: int = N) -> Iterator[np.ndarray]:
+    """Each row's sorted distinct shingles."""
+    for a, b in slices(column):
+        found, first = flat_shingles(*buffer(column.slice(a, b - a)), n)
+        for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
+            yield found[i:j]
 
 
 def least_overlap(n: int, percent: int = PERCENT) -> int:
@@ -159,77 +142,96 @@ def digest(s: np.ndarray) -> bytes:
 
 
 def ref(d: bytes) -> int:
-    return int.from_bytes(d[:8], "little", signed=True)
+    return int.from_bytes(d[:8], "big", signed=True)
 
 
-def prefix_size(n: int) -> int:
-    return min(n, n - least_overlap(n) + max(1, n // 8))
+def prefix_size(n):
+    """First members of a set of n that step 2 looks at; also of an array of sizes."""
+    return np.minimum(n, n - least_overlap(n) + np.maximum(1, n // 8))
 
 
 def least_shared(n: int) -> int:
-    """Members among the first prefix_size(n) that a linked set has among its own first ones, at least. The partner may be as
-    small as three quarters of n, and its prefix as much shorter; 32-bit names of members may coincide, which the last term
-    allows for."""
-    smallest = least_overlap(n)
-    return max(1, max(1, smallest // 8) - 2 - (n >> 16))
+    """Members among the first prefix_size(n) that a linked set has among its own first ones, at least. Of the two prefixes
+    take the one that ends first, of a set of m: what both sets have beyond it is at most m less its size, and they share
+    least_overlap(m), so max(1, m // 8) are in both. The partner may be as small as three quarters of n."""
+    return max(1, least_overlap(n) // 8)
 
 
 def _meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingles(t.as_py()) for t in b.column("text")]
-        names = [digest(s) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in b.schema.names if c != "text"], pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array([None if x is None else ref(x) for x in names], pa.int64())], names=[*[c for c in b.schema.names if c != "text"], "n", "digest", "ref"])
+        found = [(len(s), digest(s) if len(s) else None) for s in sets_of(b.column("text"))]
+        plain = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in plain], pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], pa.binary())], names=[*plain, "n", "digest"])
 
 
-def _blobs(sets: list[np.ndarray], tags: list[tuple[int, ...]], parts: int) -> Iterator[tuple[int, bytes]]:
-    """Members by part: 32-bit names, the number of the set in the blob's table, and that table of tags (64-bit numbers)."""
-    lens = [len(s) for s in sets]
-    if not sum(lens):
+def _blobs(flat: np.ndarray, lens: np.ndarray, tags: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """Members by part: their names, the number of the set in the blob's table, and that table of tags (64-bit numbers)."""
+    if not len(flat):
         return
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), lens)
+    owner = np.repeat(np.arange(len(lens), dtype=np.uint32), lens)
     part = ((flat >> np.uint64(8)) % np.uint64(parts)).astype(np.int32)
-    names = (mixed(flat) >> np.uint64(32)).astype(np.uint32)
     order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[order])) + 1
-    table = np.array(tags, np.int64)
     for idx in np.split(order, cuts):
         used, local = np.unique(owner[idx], return_inverse=True)
         head = np.array([len(idx), len(used)], np.uint32)
-        yield int(part[idx[0]]), head.tobytes() + names[idx].tobytes() + local.astype(np.uint16 if len(used) <= 65536 else np.uint32).tobytes() + table[used].tobytes()
+        yield int(part[idx[0]]), head.tobytes() + flat[idx].tobytes() + local.astype(np.uint16 if len(used) <= 65536 else np.uint32).tobytes() + tags[used].tobytes()
 
 
 def _read(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     n, used = (int(x) for x in np.frombuffer(blob, np.uint32, 2))
-    at = 8 + 4 * n
+    at = 8 + 8 * n
     kind = np.uint16 if used <= 65536 else np.uint32
     local = np.frombuffer(blob, kind, n, at)
     table = np.frombuffer(blob, np.int64, used * width, at + local.nbytes).reshape(used, width)
-    return np.frombuffer(blob, np.uint32, n, 8), table[local]
+    return np.frombuffer(blob, np.uint64, n, 8), table[local]
+
+
+def _part_batch(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["part", "blob"])
 
 
 def _prefixes(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for b in batches:
-            sets, tags = [], []
-            for t in b.column("text"):
-                s = shingles(t.as_py())
-                d = digest(s)
-                if len(s) and d not in seen:  # copies in one task go once
-                    if len(seen) < 1 << 20:
-                        seen.add(d)
-                    sets.append(s[: prefix_size(len(s))])
-                    tags.append((ref(d),))
-            out = list(_blobs(sets, tags, parts))
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        members = 0
+
+        def flush():
+            out = list(_blobs(*[np.concatenate(x) for x in zip(*held)], parts)) if held else []
+            held.clear()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["part", "blob"])
+                yield _part_batch(out)
+
+        for batch in batches:
+            column = batch.column("text")
+            for a, b in slices(column):
+                found, first = flat_shingles(*buffer(column.slice(a, b - a)), N)
+                size = np.diff(first)
+                names = [found[i:j].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
+                names = [hashlib.blake2b(x, digest_size=16).digest() for x in names]
+                some = np.zeros(len(size), bool)
+                for i, d in enumerate(names):  # copies in one task go once
+                    if size[i] and d not in seen:
+                        some[i] = True
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(d)
+                take = np.where(some, prefix_size(size), 0)
+                within = np.arange(len(found)) - np.repeat(first[:-1], size)
+                held.append((found[within < np.repeat(take, size)], take[some], np.array([ref(names[i]) for i in np.flatnonzero(some)], np.int64).reshape(-1, 1)))
+                members += int(take.sum())
+                if members >= FLUSH_MEMBERS:
+                    yield from flush()
+                    members = 0
+        yield from flush()
 
     return run
 
 
 def _shared(group: pa.Table) -> pa.Table:
     """How many of its members in this part each class shares with another class."""
-    names, tags = zip(*[_read(b, 1) for b in group.column("blob").to_pylist()])
+    names, tags = zip(*[_read(b.as_py(), 1) for b in group.column("blob")])
     names, refs = np.concatenate(names), np.concatenate(tags)[:, 0]
     order = np.lexsort((refs, names))
     names, refs = names[order], refs[order]
@@ -245,15 +247,14 @@ def _shared(group: pa.Table) -> pa.Table:
 
 def _crossing(group: pa.Table) -> pa.Table:
     """As _shared, for members that another component has as well; tags are (class, component)."""
-    names, tags = zip(*[_read(b, 2) for b in group.column("blob").to_pylist()])
+    names, tags = zip(*[_read(b.as_py(), 2) for b in group.column("blob")])
     names, tags = np.concatenate(names), np.concatenate(tags)
     order = np.argsort(names, kind="stable")
     names, refs, comps = names[order], tags[order, 0], tags[order, 1]
     begin = np.concatenate([[0], np.flatnonzero(np.diff(names)) + 1])
     low, high = np.minimum.reduceat(comps, begin), np.maximum.reduceat(comps, begin)
     many = np.repeat(low != high, np.diff(np.append(begin, len(names))))
-    pairs = np.unique(np.stack([names[many].astype(np.int64), refs[many]], 1), axis=0)
-    found, counts = np.unique(pairs[:, 1], return_counts=True)
+    found, counts = np.unique(refs[many], return_counts=True)
     return pa.table({"ref": pa.array(found), "c": pa.array(counts.astype(np.int64))})
 
 
@@ -261,19 +262,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the rows whose text has the expected digest: the set, and its minima under four hashes."""
     for b in batches:
         rows = []
-        for t, d, share in zip(b.column("text"), b.column("digest").to_pylist(), b.column("share").to_pylist()):
-            s = shingles(t.as_py())
+        for s, d, share in zip(sets_of(b.column("text")), b.column("digest").to_pylist(), b.column("share").to_pylist()):
             if len(s) and digest(s) == d:
-                rows.append((ref(d), len(s), s.tobytes(), [int((s * np.uint64(o) ^ (s >> np.uint64(31))).min().astype(np.int64)) for o in ODD[:4]], share))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.float64())], names=["ref", "n", "set", "minima", "share"])
+                rows.append((d, len(s), s.tobytes(), [int((s * np.uint64(o) ^ (s >> np.uint64(31))).min().astype(np.int64)) for o in ODD[:4]], share))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.float64())], names=["digest", "n", "set", "minima", "share"])
 
 
 def _component_blobs(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = list(_blobs([np.frombuffer(s, np.uint64) for s in b.column("set").to_pylist()], list(zip(b.column("ref").to_pylist(), b.column("component").to_pylist())), parts))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["part", "blob"])
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in b.column("set")]
+            if sets:
+                tags = np.stack([b.column("ref").to_numpy(zero_copy_only=False), b.column("component").to_numpy(zero_copy_only=False)], 1)
+                yield _part_batch(list(_blobs(np.concatenate(sets), np.array([len(s) for s in sets]), tags, parts)))
 
     return run
 
@@ -358,42 +359,44 @@ def _explode_sets(sets: DataFrame) -> DataFrame:
 
 
 def class_components(docs: DataFrame, marks: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, marks, n, ref) of every document, ref null without shingles; and (ref, component) of the classes that link.
-    marks: columns of whole numbers."""
+    """(doc_id, marks, n, digest) of every document, digest null without shingles; and (digest, component) of the classes that
+    link, component being the digest of one of them. marks: columns of whole numbers."""
     session(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     d = docs.select("doc_id", "text")
-    meta = durable(docs.select("doc_id", "text", *marks).mapInArrow(_meta, ", ".join([f"doc_id {kind}", *(f"{m} bigint" for m in marks), "n bigint, digest binary, ref bigint"])))
+    meta = durable(docs.select("doc_id", "text", *marks).mapInArrow(_meta, ", ".join([f"doc_id {kind}", *(f"{m} bigint" for m in marks), "n bigint, digest binary"])))
     total = meta.agg(F.sum("n")).first()[0] or 0
     parts = max(8, total * 3 // 8 // PART_MEMBERS)
-    classes = meta.where("n > 0").groupBy("digest", "ref", "n").agg(F.min("doc_id").alias("one"))
+    classes = meta.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.min("doc_id").alias("one")).withColumn("ref", _ref(F.col("digest")))
+    # step 2; two digests that begin alike only add up their counts here, and more is looked at
     shared = d.select("text").mapInArrow(_prefixes(parts), "part int, blob binary").groupBy("part").applyInArrow(_shared, "ref bigint, c bigint").groupBy("ref").agg(F.sum("c").alias("c"))
-    need = F.greatest(F.lit(1), F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / 8)) - 2 - F.shiftright("n", 16))
+    need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / 8))
     left = durable(classes.join(shared, "ref").where(F.col("c") >= need).select("digest", F.col("one").alias("doc_id"), (F.col("c") / F.least("n", F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + F.greatest(F.lit(1), F.floor(F.col("n") / 8)))).alias("share")))
     # rows without an id are found by their text's class; the others by their id
     named = d.where("doc_id IS NOT NULL").join(left.where("doc_id IS NOT NULL"), "doc_id").select("text", "digest", "share")
     nameless = d.where("doc_id IS NULL").select("text").mapInArrow(_with_digest, "text string, digest binary").join(left.where("doc_id IS NULL").select("digest", "share"), "digest").select("text", "digest", "share")
-    sets = durable(named.union(nameless).mapInArrow(_sets, "ref bigint, n bigint, set binary, minima array<bigint>, share double"))
+    whole = named.union(nameless).mapInArrow(_sets, "digest binary, n bigint, set binary, minima array<bigint>, share double")
+    # rows that share an id and a text are one class; its number is its place
+    sets = durable(whole.dropDuplicates(["digest"]).withColumn("ref", F.monotonically_increasing_id()))
     # step 3
     mins = sets.select("ref", "share", F.posexplode("minima").alias("i", "m"))
-    pivots = mins.groupBy("i", "m").agg(F.max(F.struct("share", "ref"))["ref"].alias("a"), (F.min("ref") < F.max("ref")).alias("many")).where("many").drop("many")
-    pairs = durable(mins.join(pivots, ["i", "m"]).where("ref <> a").select("a", F.col("ref").alias("b")).distinct())
+    pivots = mins.groupBy("i", "m").agg(F.max(F.struct("share", "ref"))["ref"].alias("a"), (F.min("ref") < F.max("ref")).alias("many")).where("many").select(F.col("i").alias("pi"), apart(F.col("m")).alias("pm"), "a")
+    pairs = durable(mins.join(pivots, (F.col("i") == F.col("pi")) & (apart(F.col("m")) == F.col("pm"))).where("ref <> a").select("a", F.col("ref").alias("b")).distinct())
     links = durable(_links(pairs, sets))
     first = components(links)
-    marked = sets.drop("minima", "share").join(first.withColumnRenamed("id", "ref"), "ref", "left").withColumn("component", F.coalesce("component", "ref"))
+    marked = sets.drop("minima", "share", "digest").join(first.withColumnRenamed("id", "ref"), "ref", "left").withColumn("component", F.coalesce("component", "ref"))
     # step 4
     parts = max(8, (sets.agg(F.sum("n")).first()[0] or 0) // PART_MEMBERS)
     crossing = marked.mapInArrow(_component_blobs(parts), "part int, blob binary").groupBy("part").applyInArrow(_crossing, "ref bigint, c bigint").groupBy("ref").agg(F.sum("c").alias("c"))
-    slack = 2 + F.shiftright("n", 16)
-    open_sets = durable(marked.join(crossing, "ref").where(F.col("c") + slack >= F.ceil(F.col("n") * PERCENT / 100)).select("ref", "n", "component", "set").dropDuplicates(["ref"]))
+    open_sets = durable(marked.join(crossing, "ref").where(F.col("c") >= F.ceil(F.col("n") * PERCENT / 100)).select("ref", "n", "component", "set"))
     members = _explode_sets(open_sets)
-    lists = members.groupBy("member").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("member", "df")
-    ranked = members.join(lists, "member").withColumn("r", F.row_number().over(Window.partitionBy("ref").orderBy("df", "member"))).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("ref")))
+    lists = members.groupBy("member").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(apart(F.col("member")).alias("list"), "df")
+    ranked = members.join(lists, apart(F.col("member")) == F.col("list")).withColumn("r", F.row_number().over(Window.partitionBy("ref").orderBy("df", "member"))).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("ref")))
     # n - T + 1 rarest members; those in no other component are rarer than all of these
     rare = durable(ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.col("all"))).select("member", "ref", "n", "component"))
     # step 5
-    common = rare.groupBy("member").agg(F.count(F.lit(1)).alias("df"), F.min("ref").alias("first")).where(F.col("df") > COMMON).select("member", "first")
-    marked = durable(rare.join(common, "member", "left"))
+    common = rare.groupBy("member").agg(F.count(F.lit(1)).alias("df"), F.min("ref").alias("first")).where(F.col("df") > COMMON).select(apart(F.col("member")).alias("list"), "first")
+    marked = durable(rare.join(common, apart(F.col("member")) == F.col("list"), "left").drop("list"))
     family = components(marked.where("first IS NOT NULL").select(F.col("ref").alias("a"), F.col("first").alias("b")).distinct())
     inside = _family_links(open_sets.join(family.withColumnRenamed("id", "ref").withColumnRenamed("component", "family"), "ref"))
     rare = marked.where("first IS NULL").drop("first")
@@ -401,22 +404,32 @@ def class_components(docs: DataFrame, marks: tuple[str, ...] = ()) -> tuple[Data
     fits = (F.greatest("n", "nb") * PERCENT <= F.least("n", "nb") * 100) & (F.col("ref") < F.col("b")) & (F.col("component") != F.col("cb"))
     candidates = durable(rare.join(other, "member").where(fits).select(F.col("ref").alias("a"), "b").distinct())
     last = _links(candidates, open_sets)
-    return meta.select("doc_id", *marks, "n", "ref"), components(links.union(last).union(inside))
+    linked = components(links.union(last).union(inside))
+    of = sets.select("ref", "digest")
+    linked = linked.join(of, linked["id"] == of["ref"]).select("component", "digest")
+    return meta, linked.join(of.withColumnRenamed("digest", "of"), linked["component"] == of["ref"]).select("digest", F.col("of").alias("component"))
+
+
+def _ref(digest: Column) -> Column:
+    """As ref(): the first eight bytes as a whole number."""
+    return F.conv(F.hex(F.substring(digest, 1, 8)), 16, -10).cast("long")
 
 
 def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("text"), pa.array([digest(shingles(t.as_py())) for t in b.column("text")], pa.binary())], names=["text", "digest"])
+        yield pa.RecordBatch.from_arrays([b.column("text"), pa.array([digest(s) for s in sets_of(b.column("text"))], pa.binary())], names=["text", "digest"])
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     meta, linked = class_components(docs)
-    named = meta.join(linked.withColumnRenamed("id", "ref"), "ref", "left").withColumn("component", F.coalesce("component", "ref"))
-    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
-    # salted keys for rows without a set: nulls would meet in one task
-    out = named.join(least, "component", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    # one row a class before any join, so that no class is hot in it
+    classes = meta.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"))
+    named = classes.join(linked, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = named.join(least, "component").select(F.col("digest").alias("class"), "component_id")
+    out = meta.join(found, meta["digest"] == found["class"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _first_of_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,8 +437,10 @@ def _first_of_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     seen: set[tuple[int, int]] = set()
     for b in batches:
         at = []
-        for i, key in enumerate(zip(b.column("__one").to_pylist(), b.column("__two").to_pylist())):
+        for i, key in enumerate(zip(b.column("one").to_pylist(), b.column("two").to_pylist())):
             if key not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(key)
                 at.append(i)
         yield b.take(pa.array(at, pa.int64()))
@@ -433,20 +448,22 @@ def _first_of_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def keep(docs: DataFrame) -> DataFrame:
     """Of each group of linked rows one, the least by doc_id (nulls last), then by hashes of the whole row; of rows that are
-    equal in every column, one. Rows without shingles link with nothing and all stay."""
+    equal in every column, one. Rows without shingles link with nothing and all stay. Columns keep their names, whatever
+    these are."""
     session(docs)
     # both hashes are of all columns: they name a row up to its copies, whatever its id
-    columns = [F.col(c) for c in docs.columns]
-    named = docs.withColumns({"__one": F.xxhash64(F.lit(1), *columns), "__two": F.xxhash64(F.lit(2), *columns)})
-    meta, linked = class_components(named, ("__one", "__two"))
-    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__one", "__two")
+    whole = packed(docs, "doc_id", "text")
+    columns = [F.to_json(F.col(f"row.`{c}`")) if "map<" in kind else F.col(f"row.`{c}`") for c, kind in docs.dtypes]
+    named = whole.withColumns({"one": F.xxhash64(F.lit(1), *columns), "two": F.xxhash64(F.lit(2), *columns)})
+    meta, linked = class_components(named, ("one", "two"))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "one", "two")
     # one row a class before the join, so that no class is hot in it
-    classes = meta.where("ref IS NOT NULL").groupBy("ref").agg(F.min(order).alias("least"))
-    found = classes.join(linked.withColumnRenamed("id", "ref"), "ref", "left").groupBy(F.coalesce("component", "ref").alias("component")).agg(F.min("least").alias("least")).select("least.__one", "least.__two")
+    classes = meta.where("n > 0").groupBy("digest").agg(F.min(order).alias("least"))
+    found = classes.join(linked, "digest", "left").groupBy(F.coalesce("component", "digest").alias("component")).agg(F.min("least").alias("least")).select("least.one", "least.two")
     worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     once = named.where(worded).mapInArrow(_first_of_equal, named.schema)
-    kept = once.join(found, ["__one", "__two"], "left_semi").dropDuplicates(["__one", "__two"])
-    return kept.select(*docs.columns).union(docs.where(~worded))
+    kept = once.join(found, ["one", "two"], "left_semi").dropDuplicates(["one", "two"])
+    return unpacked(kept.select("row").union(named.where(~worded).select("row")))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
@@ -454,4 +471,15 @@ def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_ngram_join": op3_ngram_join}
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs that share a shingle, for tables small enough.
+ORACLE = r"""
+WITH RECURSIVE a AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) END AS s FROM a),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM u x JOIN u y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+r AS (SELECT doc_id AS id, doc_id AS root FROM s UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN c ON id = doc_id
+"""
+ORACLE_SQL = {"op3_ngram_join": ORACLE}

@@ -3,56 +3,88 @@ r"""Toxicity: subword-bag embeddings, averaged into a linear softmax.
 A word is the bag of its character n-grams, hashed to rows of an embedding table; a window of words is the mean of its words'
 vectors; a softmax over it is toxic or not. Table and softmax are trained jointly in numpy. Unseen misspellings and endings
 share n-grams with words that were seen. A document's score is that of its worst window: some insults in a long text are not
-averaged away. For training, each document's worst window under the current model stands for it, again and again.
+averaged away. For training, each document's worst window under the current model stands for it, again and again. With one
+average over the whole text instead, the same embeddings call far more clean documents toxic (figures in the README).
 
-The fit reads at most ``FIT_ROWS`` labelled documents of each label, chosen by the hash of their id, and of each at most
-``FIT_WORDS`` words, in blocks spread evenly. Scores read whole texts.
+The fit reads at most ``FIT_ROWS`` labelled documents (clean, toxic), chosen by the hash of their id among those that are there,
+and all of their texts; its first steps, on whole documents, take the first ``FIRST_ROWS`` of each label. Scores read whole texts.
 
 Defined results: a null or empty text has the score of an empty window; without both labels among the rows to learn from the
-score is 0; labels other than 0 and 1 are not learned from; repeated rows score alike; extra columns are not looked at by
-``score`` and kept by ``keep``.
+score is 0; labels other than 0 and 1 are not learned from; of rows that share an id the fit takes the first text; a document
+that has both labels is learned from with each; repeated rows score alike; extra columns, whatever their names,
+are not looked at by ``score`` and kept by ``keep``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, remainder, session
+from .common import documents, packed, remainder, session, unpacked
+from .flat import NUMBER, ODD, buffer, mixed, names, runs, slices
 
 FOLDS, HELD_OUT = 5, 0
-FIT_ROWS, FIT_WORDS, BLOCK = 1000, 2000, 50
+FIT_ROWS = (2000, 1000)
 WINDOW = 6
 BUCKETS, DIM, GRAMS = 1 << 18, 4, (4, 5, 6)
 ROUNDS, STEPS, DECAY, SCALE = 14, 10, 1e-6, 4.0
 FIRST_ROWS, FIRST_STEPS = 400, 8
+#: Words whose n-grams the fit makes at once.
+GRAMS_AT_ONCE = 20_000
 RATES = (0.3, 0.05, 0.05)
-MEMO_WORDS = 1 << 19
-WORDS = re.compile(r"\w+")
-
-
-def grams(word: str) -> list[int]:
-    """Buckets of a word's n-grams and of the word itself."""
-    b = f"<{word}>"
-    out = [zlib.crc32(b.encode()) & (BUCKETS - 1)]
-    if len(b) <= 64:
-        return out + [zlib.crc32(b[i : i + n].encode()) & (BUCKETS - 1) for n in GRAMS for i in range(len(b) - n + 1)]
-    return out + sorted({zlib.crc32(b[i : i + n].encode()) & (BUCKETS - 1) for n in GRAMS for i in range(len(b) - n + 1)})
-
-
-def means(values: np.ndarray) -> np.ndarray:
-    """The mean of each window of WINDOW words, one at each word; a shorter text is one window, an empty one has the mean 0."""
-    n = len(values)
-    if n <= WINDOW:
-        return np.array([values.sum() / max(n, 1)])
+#: Bytes of words: letters, digits, _ and all that is not ASCII. Texts are taken in lower case.
+IN_WORD = np.zeros(256, bool)
+IN_WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
+
+
+def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, begin, end, first): the words of a column of texts, and each row's first one."""
+    buf, at = buffer(pc.utf8_lower(column))
+    return buf, *runs(IN_WORD[buf], at)
+
+
+def grams(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, sizes): of each word <word>, the buckets of its n-grams of bytes and of the word itself, one after the other."""
+    if not len(begin):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = end - begin
+    wide = size + 2
+    first = np.cumsum(wide) - wide
+    n = int(wide.sum())
+    text = np.full(n, ord("<"), np.uint8)
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    text[within + np.repeat(first + 1, size)] = buf[within + np.repeat(begin, size)]
+    text[first + wide - 1] = ord(">")
+    owner, stop, place = np.repeat(np.arange(len(begin)), wide), np.repeat(first + wide, wide), np.arange(n)
+    number, rolled, power = NUMBER[text], np.zeros(n, np.uint64), 1
+    found, owners = [names(buf, begin, end)], [np.arange(len(begin))]
+    for j in range(max(GRAMS)):
+        rolled[: n - j] += number[j:] * np.uint64(power)
+        power = power * ODD[0] % (1 << 64)
+        if j + 1 in GRAMS:
+            whole = place + j + 1 <= stop
+            found.append(mixed(rolled[whole] + np.uint64((j + 1) * ODD[1] % (1 << 64))))
+            owners.append(owner[whole])
+    owners = np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return (np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.int64)[order], np.bincount(owners, minlength=len(begin))
+
+
+def windows(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(means, places, begins): the mean of each window of WINDOW words and its first word, and each row's first window. A shorter
+    text is one window, an empty one has none."""
+    count = np.diff(first)
+    each = np.where(count > 0, np.maximum(count - WINDOW + 1, 1), 0)
+    begins = np.cumsum(each) - each
+    place = np.arange(int(each.sum())) - np.repeat(begins - first[:-1], each)
+    stop = np.minimum(place + WINDOW, np.repeat(first[1:], each))
     total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return (total[WINDOW:] - total[:-WINDOW]) / WINDOW
+    return (total[stop] - total[place]) / (stop - place), place, begins
 
 
 def _groups(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,108 +144,94 @@ class _Model:
         return (table @ (soft[:, 1] - soft[:, 0])).astype(np.float64) * SCALE, float(bias[1] - bias[0])
 
 
-def fit(bags: list[list[str]], labels: list[int]) -> tuple[np.ndarray, float]:
-    """Value of each bucket and the bias, from documents' words. First whole documents are the examples; then each toxic
+def fit(column: pa.Array, labels: list[int]) -> tuple[np.ndarray, float]:
+    """Value of each bucket and the bias, from texts and labels. First whole documents are the examples; then each toxic
     document's worst window is one, and every window of a clean one that has been its worst."""
-    vocab: dict[str, int] = {}
-    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in d], np.int32) for d in bags if d]
-    y = np.array([c for d, c in zip(bags, labels) if d])
+    buf, begin, end, first = words(column)
+    some = np.flatnonzero(np.diff(first) > 0)
+    y = np.asarray(labels)[some]
     if set(y.tolist()) != {0, 1}:
         return np.zeros(BUCKETS), 0.0
-    lists = [grams(w) for w in vocab]
-    flat = np.fromiter((g for x in lists for g in x), np.int32)
-    sizes = np.array([len(x) for x in lists])
+    _, one, number = np.unique(names(buf, begin, end), return_index=True, return_inverse=True)
+    parts = [grams(buf, begin[i], end[i]) for i in np.split(one, range(GRAMS_AT_ONCE, len(one), GRAMS_AT_ONCE))]
+    flat, sizes = np.concatenate([f.astype(np.int32) for f, _ in parts]), np.concatenate([n for _, n in parts])
+    del parts
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     model = _Model()
-    few = [i for c in (0, 1) for i in np.flatnonzero(y == c)[:FIRST_ROWS]]
-    model.train([docs[i] for i in few], y[few], flat, begins, sizes, FIRST_STEPS)
+    few = np.array([i for c in (0, 1) for i in np.flatnonzero(y == c)[:FIRST_ROWS]])
+    model.train([number[first[i] : first[i + 1]] for i in some[few]], y[few], flat, begins, sizes, FIRST_STEPS)
     negatives: dict[tuple[int, int], np.ndarray] = {}
     for _ in range(ROUNDS):
         value, _ = model.values()
-        word = np.add.reduceat(value[flat], begins) / sizes
-        top = [int(means(word[d]).argmax()) for d in docs]
-        window = [d[t : t + WINDOW] for d, t in zip(docs, top)]
+        mean, place, at = windows((np.add.reduceat(value.astype(np.float32)[flat], begins) / sizes)[number], first)
+        top = [int(place[a + mean[a:b].argmax()]) for a, b in zip(at[some].tolist(), [*at[some[1:]].tolist(), len(mean)])]
+        window = [number[t : min(t + WINDOW, first[i + 1])] for t, i in zip(top, some)]
         negatives |= {(i, top[i]): window[i] for i in np.flatnonzero(y == 0)}
         positives = [window[i] for i in np.flatnonzero(y == 1)]
         model.train(positives + list(negatives.values()), np.array([1] * len(positives) + [0] * len(negatives)), flat, begins, sizes, STEPS)
     return model.values()
 
 
-def spread(words: list[str]) -> list[str]:
-    """At most FIT_WORDS words: of a longer text, blocks spread evenly over the whole."""
-    blocks = FIT_WORDS // BLOCK
-    if len(words) <= FIT_WORDS:
-        return words
-    begins = [i * (len(words) - BLOCK) // (blocks - 1) for i in range(blocks)]
-    return [w for a in begins for w in words[a : a + BLOCK]]
-
-
-def _fit_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = [" ".join(w[:64] for w in spread(WORDS.findall((t.as_py() or "").lower()))) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("toxic"), pa.array(out, pa.string())], names=["h", "toxic", "words"])
-
-
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
     """Fit on labelled documents that are not held out; null without both labels."""
-    known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
-    h = F.xxhash64("doc_id", F.lit("toxicity fit"))
-    # ids of two labels, FIT_ROWS each at most: small enough to broadcast whatever the table's size
-    chosen = [known.where(F.col("toxic") == c).select("doc_id", "toxic", h.alias("h")).distinct().orderBy("h", "doc_id").limit(FIT_ROWS) for c in (0, 1)]
-    ids = F.broadcast(chosen[0].union(chosen[1]))
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").mapInArrow(_fit_words, "h bigint, toxic int, words string").collect()
-    if {r["toxic"] for r in rows} != {0, 1}:
+    known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (remainder(F.col("doc_id"), FOLDS) != HELD_OUT)).distinct()
+    # ids first, so that no text is exchanged; rows of one id are numbered by the order of their texts
+    there = known.join(docs.select("doc_id").distinct(), "doc_id").select(F.xxhash64("doc_id", F.lit("toxicity fit")).alias("h"), "doc_id", "toxic")
+    chosen = [there.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(FIT_ROWS[c]) for c in (0, 1)]
+    ids = F.broadcast(chosen[0].union(chosen[1]))  # the sum of FIT_ROWS
+    named = docs.select("doc_id", "text").join(ids, "doc_id")
+    rows = named.groupBy("h", "doc_id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending"), ("toxic", "ascending")])
+    found = rows.column("toxic").to_pylist()
+    if set(found) != {0, 1}:
         return None
-    rows.sort(key=lambda r: (r["h"], r["toxic"], r["words"]))
-    return fit([r["words"].split() for r in rows], [r["toxic"] for r in rows])
+    return fit(rows.column("text").combine_chunks(), found)
+
+
+def scores(column: pa.Array, value: np.ndarray, bias: float) -> np.ndarray:
+    """The score of each text of a column."""
+    out = []
+    for a, b in slices(column):
+        buf, begin, end, first = words(column.slice(a, b - a))
+        z = np.zeros(b - a)
+        if len(begin):
+            _, one, number = np.unique(names(buf, begin, end), return_index=True, return_inverse=True)
+            flat, sizes = grams(buf, begin[one], end[one])
+            word = np.add.reduceat(value[flat], np.cumsum(sizes) - sizes) / sizes
+            mean, _, at = windows(word[number], first)
+            some = np.diff(first) > 0
+            z[some] = np.maximum.reduceat(mean, at[some])
+        out.append(1 / (1 + np.exp(-np.clip(z + bias, -500, 500))))
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 def _score(model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value, bias = model.value if model is not None else (np.zeros(BUCKETS), None)
-
-        class Memo(dict):
-            def __missing__(self, word):
-                v = float(value[grams(word)].mean())
-                if len(self) >= MEMO_WORDS:
-                    self.clear()
-                if len(word) <= 64:
-                    self[word] = v
-                return v
-
-        memo = Memo()
         for batch in batches:
-            out = []
-            for t in batch.column("text"):
-                words = WORDS.findall((t.as_py() or "").lower())
-                z = float(means(np.fromiter(map(memo.__getitem__, words), np.float64, len(words))).max())
-                out.append(0.0 if bias is None else float(1 / (1 + np.exp(-np.clip(z + bias, -500, 500)))))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(out, pa.float64())], names=[*names, "score"])
+            found = scores(batch.column("text"), *model.value) if model is not None else np.zeros(len(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(found)], names=[*names, "score"])
 
     return run
 
 
-def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents with a last column ``score``."""
+def _scored(docs: DataFrame, plain: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``plain``, which has the documents' text, with a last column ``score``."""
     from pyspark.sql.types import DoubleType, StructType
 
     spark = session(docs)
     model = train(docs, labels)
     shared = spark.sparkContext.broadcast(model) if model else None  # BUCKETS doubles
-    return docs.mapInArrow(_score(shared, docs.columns), StructType([*docs.schema.fields]).add("score", DoubleType()))
+    return plain.mapInArrow(_score(shared, plain.columns), StructType([*plain.schema.fields]).add("score", DoubleType()))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    d = docs.select("doc_id", "text")
-    s = _scored(d, labels)
+    s = _scored(docs, docs.select("doc_id", "text"), labels)
     return s.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their columns as they came."""
-    plain = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text")
-    return _scored(plain, labels).where(F.col("score") < 0.5).select("__row.*")
+    return unpacked(_scored(docs, packed(docs, "text"), labels).where(F.col("score") < 0.5).select("row"))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

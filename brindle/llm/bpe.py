@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, session
 
-CHUNK, OVERLAP = 1 << 16, 1 << 10
+CHUNK, OVERLAP = 1 << 14, 1 << 9
 #: Characters that a pre-token's match reads past its own end, at most.
 LOOKAHEAD = 3
 #: The file of ranks; any path that the executors can read.
@@ -162,13 +162,12 @@ def _stitch(group: pa.Table) -> pa.Table:
     return pa.table({"__row": group.column("__row").take(list(range(1)) * n), "i": pa.array(range(n), pa.int64()), "piece": pa.array(pieces, pa.string())})
 
 
-def encode(docs: DataFrame, path: str | None = None, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id and ids (array<int>) for every document."""
+def _parts(docs: DataFrame, path: str, size: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """Texts of one chunk (doc_id, text), and all others encoded (doc_id, ids)."""
     session(docs)
-    path = path or vocabulary()
     d = docs.select("doc_id", "text")
     kind = d.schema["doc_id"].dataType.simpleString()
-    short = d.where(F.coalesce(F.length("text"), F.lit(0)) <= size).mapInArrow(_encode_batches(path, ["doc_id"]), f"doc_id {kind}, ids array<int>")
+    short = d.where(F.coalesce(F.length("text"), F.lit(0)) <= size)
     # a row's place in the scan is its key here: ids may be null or repeat
     long = d.where(F.length("text") > size).withColumn("__row", F.monotonically_increasing_id())
     named = long.select(F.struct("__row", "doc_id").alias("__row"), "text")
@@ -178,20 +177,39 @@ def encode(docs: DataFrame, path: str | None = None, size: int = CHUNK, overlap:
     pieces = parts.groupBy("__row").applyInArrow(_stitch, f"__row {key}, i bigint, piece string")
     encoded = pieces.withColumnRenamed("piece", "text").repartition("__row", "i").mapInArrow(_encode_batches(path, ["__row", "i"]), f"__row {key}, i bigint, ids array<int>")
     whole = encoded.groupBy("__row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return short.union(whole.select("__row.doc_id", "ids"))
+    return short, whole.select("__row.doc_id", "ids")
+
+
+def encode(docs: DataFrame, path: str | None = None, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """doc_id and ids (array<int>) for every document."""
+    path = path or vocabulary()
+    short, long = _parts(docs, path, size, overlap)
+    return short.mapInArrow(_encode_batches(path, ["doc_id"]), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>").union(long)
+
+
+def _digested(doc_ids: pa.Array, lists: list[np.ndarray], table: list[bytes]) -> pa.RecordBatch:
+    flat = [np.asarray(x, "<u4") for x in lists]
+    ids_sha = [hashlib.sha256(x.tobytes()).hexdigest() for x in flat]
+    text_sha = [hashlib.sha256(decode_ids(x.tolist(), table)).hexdigest() for x in flat]
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array([len(x) for x in flat], pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def _digest_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, table = encoder(path)
         for batch in batches:
-            lists = batch.column("ids")
-            ids_sha, text_sha = [], []
-            for x in lists:
-                flat = x.values.to_numpy().astype("<u4")
-                ids_sha.append(hashlib.sha256(flat.tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(decode_ids(flat.tolist(), table)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in lists], pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield _digested(batch.column("doc_id"), [x.values.to_numpy() for x in batch.column("ids")], table)
+
+    return run
+
+
+def _encode_and_digest(path: str):
+    """As _encode_batches and _digest_batches: the ids never leave the worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, _, table = encoder(path)
+        for batch in batches:
+            yield _digested(batch.column("doc_id"), [np.array(enc.encode_ordinary(t.as_py() or ""), "<u4") for t in batch.column("text")], table)
 
     return run
 
@@ -213,15 +231,25 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, decoded binary")
 
 
+DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+
 def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the bytes that they decode to."""
     session(encoded)
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(_digest_batches(path or vocabulary()), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(_digest_batches(path or vocabulary()), f"doc_id {kind}, {DIGESTS}")
+
+
+def round_trip(docs: DataFrame, path: str | None = None, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """The digests of the encoded documents, ids of short texts being made and decoded in one step."""
+    path = path or vocabulary()
+    short, long = _parts(docs, path, size, overlap)
+    return short.mapInArrow(_encode_and_digest(path), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {DIGESTS}").union(digests(long, path))
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
-    return digests(encode(documents(spark, sf_dir)))
+    return round_trip(documents(spark, sf_dir))
 
 
 QUERIES = {"op1_bpe": op1_bpe}

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, durable, n_words
+from .common import documents, durable, n_words, packed, unpacked
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -101,10 +101,11 @@ def mix(docs: DataFrame) -> DataFrame:
 def resample(docs: DataFrame) -> DataFrame:
     """The mixed corpus itself: each document as often as the mix takes it, with all its columns."""
     _, plan = copies(docs)
-    plan = plan.select(F.struct("source", "base", "threshold", "budget").alias("__plan"))
-    joined = docs.join(plan, docs["source"].cast("string").eqNullSafe(F.col("__plan.source")))
-    times = _times(F.col("__plan.base"), F.col("__plan.budget"), unit_hash(docs["doc_id"]), F.col("__plan.threshold"))
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(True), times.cast("int")))).select(*[docs[c] for c in docs.columns])
+    plan = plan.select(F.struct("source", "base", "threshold", "budget").alias("plan"))
+    rows = packed(docs, "doc_id", F.col("source").cast("string").alias("source"))
+    joined = rows.join(plan, rows["source"].eqNullSafe(F.col("plan.source")))
+    times = _times(F.col("plan.base"), F.col("plan.budget"), unit_hash(rows["doc_id"]), F.col("plan.threshold"))
+    return unpacked(joined.select("row", F.explode(F.array_repeat(F.lit(True), times.cast("int")))))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -85,7 +85,8 @@ class Counter:
         self.rank = {p: rank_of[s] for p, s, k in pieces if k in (NORMAL, UNUSED)}
         if any(k == UNUSED for _, _, k in pieces):
             raise ValueError("unused pieces would be taken apart again; this model has some")
-        self.fallback = any(k == BYTE for _, _, k in pieces)
+        if not any(k == BYTE for _, _, k in pieces):
+            raise ValueError("without byte fallback neighbouring unknown symbols would be one token; this model has none")
         self.by_word = not any(MARK in p.lstrip(MARK) for p in self.rank)
         self.memo: dict[str, int] = {}
         self.word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -119,11 +120,7 @@ class Counter:
                 r = rank.get(text[h] + pair)
                 if r is not None:
                     heapq.heappush(heap, (r, h, text[h] + pair))
-        count = n - merges
-        if self.fallback:
-            # without fallback, neighbouring unknown symbols are still one token each here
-            count += sum(len(t.encode()) - 1 for t in text if len(t) == 1 and t not in rank)
-        return count
+        return n - merges + sum(len(t.encode()) - 1 for t in text if len(t) == 1 and t not in rank)
 
     def count(self, text: str) -> int:
         if self.trim:

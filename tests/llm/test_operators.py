@@ -10,9 +10,11 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from brindle.llm import bpe, embeddings, language, lm_score, mixing, ngram_join, quality, token_counts, toxicity, urls
+from brindle.llm import bpe, embeddings, flat, language, lm_score, mixing, ngram_join, quality, token_counts, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,7 +55,8 @@ def test_bpe(spark, docs, odd, texts):
     got = sorted(tuple(r)[1:] for r in bpe.digests(bpe.encode(odd, size=100, overlap=10)).collect())
     assert got == sorted(want(r.text) for r in odd.collect())
     assert bpe.decode(bpe.encode(odd)).where("doc_id = 8").first().decoded.decode() == ODD_TEXTS[8]
-    assert bpe.digests(bpe.encode(empty(docs))).count() == 0
+    assert Counter(bpe.round_trip(odd, size=100, overlap=10).collect()) == Counter(bpe.digests(bpe.encode(odd)).collect())
+    assert bpe.round_trip(empty(docs)).count() == 0
     random.seed(5)
     for _ in range(500):
         t = "".join(random.choice("ab  '\n\ts1é漢!l") for _ in range(random.randint(0, 120)))
@@ -173,6 +176,30 @@ def test_ngram_join_keep_repeated_ids(spark):
     assert Counter(again) == Counter(got)
 
 
+def test_ngram_join_sql(docs):
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = duck.sql(ngram_join.ORACLE)
+    assert Counter(tuple(r) for r in ngram_join.join(docs).select(*want.columns).collect()) == Counter(want.fetchall())
+
+
+def test_flat_words():
+    """Words and shingles of batches against plain Python."""
+    r = random.Random(13)
+    texts = [None, "", " ", "a", *["".join(r.choice("aB \n\t é漢😀") for _ in range(r.randint(0, 60))) for _ in range(200)], "z" * 3000, "w " * 400]
+    buf, at = flat.buffer(pa.array(texts + ["tail"]).slice(0, len(texts)))
+    begin, end, first = flat.words(buf, at)
+    for i, t in enumerate(texts):
+        assert [buf[a:b].tobytes() for a, b in zip(begin[first[i] : first[i + 1]], end[first[i] : first[i + 1]])] == (t or "").encode().split()
+    names, at = flat.shingles(*flat.buffer(pa.array(texts)), 5)
+    want = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()} for w in ((t or "").encode().lower().split() for t in texts)]
+    assert np.diff(at).tolist() == [len(x) for x in want]
+    for i, x in enumerate(want):
+        for j in range(i):
+            assert len(np.intersect1d(names[at[i] : at[i + 1]], names[at[j] : at[j + 1]])) == len(x & want[j])
+    assert [b - a for a, b in flat.slices(pa.array(texts), 100)] and sum(b - a for a, b in flat.slices(pa.array(texts), 100)) == len(texts)
+
+
 def test_divide_skip():
     random.seed(4)
     for _ in range(300):
@@ -218,6 +245,50 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_mined(spark):
+    """Verdicts of unruled urls against rules that are listed and counted one by one in SQL; labelled ones are predicted, too."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    duck = duckdb.connect()
+    duck.sql("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.01/pages.parquet'")
+    want = duck.sql(urls.ORACLE)
+    got = urls.judge(pages)
+    assert got.columns == want.columns
+    assert Counter((*r[:6], r[6] and round(r[6], 9)) for r in got.collect()) == Counter((*r[:6], r[6] and round(r[6], 9)) for r in want.fetchall())
+    d = urls.parsed(pages).where("fit IS NOT NULL").select(urls.tokens(F.col("host"), F.col("path")).alias("tokens"), "fit.verdict")
+    rules = urls.mine(d).collect()
+    assert rules and all(any(t.startswith("h") for t in r.tokens) and r.confidence >= urls.MIN_CONFIDENCE for r in rules)
+
+
+def test_urls_awkward(spark):
+    """Repeated rows, null ids and urls, very long and odd ones: one row each, in any order."""
+    rows = [(1, "http://a.org/x"), (1, "http://a.org/x"), (None, "http://a.org/x"), (None, None), (2, ""), (3, "://"), (4, "http://" + "a." * 3000 + "org/" + "p/" * 5000), (5, "http:///?#"), (6, "a://b://c/d")] + [(7, "http://hot.org/")] * 50
+    got = Counter(tuple(r)[:5] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string").repartition(4)).collect())
+    assert sum(got.values()) == len(rows) and got[(7, "hot.org", "/", None, "allow")] == 50 and got[(6, "b:", "//c/d", None, "allow")] == 1 and got[(3, "", "", None, "allow")] == 1
+
+
+def test_language_kernel():
+    """The kernel by sets of n-grams, and the folded matrix by the kernels themselves."""
+    some = ["the cat sat on the mat", "le chat est sur la table", "die Katze sitzt hier", "a", "", "el gato está aquí"]
+    rows = np.zeros((len(some), language.TOTAL), np.uint8)
+    for row, t in zip(rows, some):
+        language.presence(t, row)
+    sets = [[{i for i in range(a, b) if row[i]} for a, b in ((0, 1 << 8), (1 << 8, (1 << 8) + (1 << 16)), ((1 << 8) + (1 << 16), language.TOTAL))] for row in rows]
+    k = np.array([[sum(len(p & q) / math.sqrt(max(len(p), 1) * max(len(q), 1)) for p, q in zip(x, y)) / 3 for y in sets] for x in sets])
+    bits = np.packbits(rows, axis=1)
+    assert np.allclose(language.kernels(bits, bits[:4]), k[:, :4], atol=1e-5)
+    names, of = ["de", "en", "fr"], np.array([1, 2, 0, 1, 1, 2])
+    ones = np.hstack([k[:, :4], np.ones((6, 1))])
+    sums = np.array([ones[of == c].sum(0) for c in range(3)])
+    matrix = language.solve(names, bits[:4], ones.T @ ones, sums, 1.0)
+    # ridge regression of 1 against -1 on the landmarks' map
+    w, v = np.linalg.eigh(k[:4, :4])
+    good = w > 1e-8 * w[-1]
+    z = np.hstack([k[:, :4] @ (v[:, good] / np.sqrt(w[good])), np.ones((6, 1))])
+    y = np.where(of[:, None] == np.arange(3), 1.0, -1.0)
+    want = z @ np.linalg.solve(z.T @ z + language.RIDGE * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(language.scaled(rows) @ matrix[:-1] + matrix[-1], want, atol=1e-3)
+
+
 def test_language(docs, odd, texts):
     langs = {r.doc_id: r.lang for r in docs.collect()}
     got = language.identify(docs).collect()
@@ -253,21 +324,146 @@ def test_quality(docs, odd):
             lines = [x for x in t.split("\n") if WORD.search(x)]
             want[(len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in t), len(lines) - len(set(lines)), len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w))] += 1
         assert got == want
-    assert quality.keep(docs).columns == docs.columns
     assert quality.measure(empty(docs)).count() == 0
 
 
+LINES = ["All rights reserved.", "Home | News | Sport | More", "A plain sentence that closes.", "no closing here", "eight words and more make an open line pass", "BUY NOW! CHEAP!", "# * $ %", "", "  \t ", "word " * 60 + "all rights reserved."]
+
+
+def test_quality_verdicts(spark):
+    """Each rule by hand, the verdicts and the clean texts in plain Python; columns of any name stay."""
+    r = random.Random(9)
+    texts = [None, "", "\n".join(LINES)] + ["\n".join(r.choice(LINES) + ("".join(f" w{i}x{j}y{k}" for k in range(25)) if r.random() < 0.6 else "") for j in range(r.randint(1, 12))) for i in range(60)]
+
+    def passes(line):
+        w = WORD.findall(line)
+        notices = len(re.findall(quality.NOTICE, line))
+        shout = sum(bool(re.search(r"[A-Z]", x)) and not re.search(r"[a-z]", x) and x.endswith("!") for x in w)
+        symbols, bars = (sum(line.count(c) for c in cs) for cs in ("#*$%&|<>", "|>"))
+        closed = line.rstrip().endswith(quality.CLOSING)
+        return symbols * 4 < len(w) and (bars < 3 or len(w) >= 6 * bars) and (closed or len(w) >= 8) and (not notices or notices * 24 <= len(w)) and 2 * shout < len(w)
+
+    want = {}
+    for i, t in enumerate(texts):
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        good = [x for x in lines if passes(x)]
+        words = WORD.findall(t or "")
+        want[i] = (len(lines) - len(good), (t or "") if len(good) == len(lines) else "\n".join(good), 100 * len(WORD.findall("\n".join(good))) < 50 * len(words))
+    names = ("q", "m", "p", "g", "row", "n_chars")
+    df = spark.createDataFrame([(i, t, *range(6)) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    got = quality.measure(df).collect()
+    assert {r.doc_id: (r.n_failed_lines, r.clean_text, not r.kept and not r.base_failed) for r in got} == {i: (n, c, lost and not g.base_failed) for (i, (n, c, lost)), g in zip(want.items(), sorted(got, key=lambda x: x.doc_id))}
+    kept = quality.keep(df)
+    assert kept.columns == df.columns
+    rows = {r.doc_id: r for r in kept.collect()}
+    assert set(rows) == {r.doc_id for r in got if r.kept} and len(rows) > 5
+    assert all(r.text == want[i][1] and (r.q, r.row) == (0, 4) and r.n_chars == (len(r.text) if want[i][0] else 5) for i, r in rows.items())
+
+
+def test_quality_sql(docs):
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = duck.sql(quality.ORACLE)
+    got = quality.measure(docs).drop("clean_text").select(*want.columns)
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want.fetchall())
+
+
+def test_clashing_columns(spark):
+    """Columns named as the operators' own: stages keep them as they came."""
+    names = ["row", "one", "two", "plan", "h", "size", "base", "score", "q", "p", "digest", "n", "ref", "id", "__p", "__kept", "__copy", "a.b"]
+    text = "Some plain words stand here in a line, enough of them and all unlike. " * 3
+    df = spark.createDataFrame([(i, f"{text} Number {i // 2} is its own, {' '.join(f'u{i // 2}v{j}' for j in range(60))}.", "s", *range(len(names))) for i in range(8)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(8)], "doc_id long, quality int, toxic int")
+    for got in (quality.keep(df), toxicity.keep(df, labels.limit(0)), ngram_join.keep(df), mixing.resample(df)):
+        rows = got.collect()
+        assert got.columns == df.columns and rows and all(list(r)[3:] == list(range(len(names))) for r in rows)
+
+
+def test_pipeline(spark, odd, tmp_path):
+    """All stages on awkward rows, and on none; every stage but the last keeps the columns."""
+    import corpus_pipeline
+
+    r = random.Random(31)
+    line = lambda: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(70)) + "."
+    texts = [line() for _ in range(12)]
+    rows = [(i, t, "en", r.choice(["a", "b", None]), len(t)) for i, t in enumerate(texts)] + [(None, texts[0], None, None, None)] * 30 + [(3, texts[1], "en", "a", 1)] * 30 + [(40, texts[2] + " " + " ".join(line() for _ in range(300)), "en", "b", 1)]
+    rows += [(100 + i, t, None, None, 7) for i, t in enumerate(ODD_TEXTS)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, data in (("some", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(8)][: len(data)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            docs = stage(spark, docs, folder)
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            if k == 2:
+                kept = [x.text for x in docs.collect()]
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(corpus_pipeline.run(spark, folder).columns)
+        if name == "none":
+            assert got == [] and kept == []
+        else:
+            assert sorted(kept) == sorted({x for x in kept}) and {texts[0], texts[1]} <= set(kept) and len(kept) == 13
+            shas = {hashlib.sha256(x.encode()).hexdigest() for x in kept}
+            assert {x.decoded_sha256 for x in got} <= shas
+
+
+def test_components_settle(spark):
+    """A long path of numbers in disorder, and links that are cut off before they settle."""
+    from brindle.llm import components
+
+    order = random.Random(1).sample(range(200), 200)
+    links = spark.createDataFrame([(a, b) for a, b in zip(order[:149], order[1:150])] + [(a, b) for a, b in zip(order[150:], order[151:])], "a long, b long")
+    got = {r.id: r.component for r in components.components(links).collect()}
+    assert got == {x: min(part) for part in (order[:150], order[150:]) for x in part}
+    with pytest.raises(RuntimeError):
+        components.components(links, 1)
+
+
 def test_toxicity(spark, docs, odd):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     known = {r.doc_id: r.toxic for r in labels.collect()}
     got = [r for r in toxicity.score(more, labels).collect() if r.held_out and r.doc_id in known]
-    assert sum(r.predicted == known[r.doc_id] for r in got) >= 0.85 * len(got)
+    # no worse than to call all clean, but for one in thirty; most that are called toxic are
+    assert sum(r.predicted == known[r.doc_id] for r in got) >= sum(known[r.doc_id] == 0 for r in got) - len(got) / 30
     assert all(r.score == 0 for r in toxicity.score(odd, labels.limit(0)).collect())
     assert toxicity.keep(odd, labels.limit(0)).columns == odd.columns
     assert toxicity.score(empty(docs), labels).count() == 0
 
 
+def test_toxicity_forward_pass(docs):
+    """A text's score in plain Python; a misspelled insult shares most of its n-grams with the insult."""
+    value = np.random.default_rng(2).normal(size=toxicity.BUCKETS)
+    texts = [None, "", " !? ", "a", "Wörter, Ünd mehr", "one two three four five six seven eight", "x" * 5000 + " y", *[r.text for r in docs.limit(20).collect()]]
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 32)) * flat.ODD[4] & mask
+        return x ^ (x >> 29)
+
+    def name(b):
+        total, power = len(b) * flat.ODD[1], 1
+        for c in b:
+            total, power = total + int(flat.NUMBER[c]) * power, power * flat.ODD[0] & mask
+        return mix(total & mask)
+
+    def word(w):
+        b = b"<" + w + b">"
+        found = [name(w)] + [mix((sum(int(flat.NUMBER[c]) * pow(flat.ODD[0], j, 1 << 64) for j, c in enumerate(b[i : i + n])) + n * flat.ODD[1]) & mask) for n in toxicity.GRAMS for i in range(len(b) - n + 1)]
+        return sum(value[x & (toxicity.BUCKETS - 1)] for x in found) / len(found)
+
+    def slow(t):
+        v = [word(w) for w in re.findall(rb"[0-9a-zA-Z_\x80-\xff]+", (t or "").lower().encode())]
+        z = max([sum(v[i : i + 6]) / len(v[i : i + 6]) for i in range(max(1, len(v) - 5))], default=0.0) if v else 0.0
+        return 1 / (1 + math.exp(-(z + 0.25)))
+
+    assert np.allclose(toxicity.scores(pa.array(texts), value, 0.25), [slow(t) for t in texts], atol=1e-9)
+    sets = [set(toxicity.grams(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0].tolist()) for w in (b"worthless", b"worthles", b"mountain")]
+    assert len(sets[0] & sets[1]) > len(sets[0]) / 2 > len(sets[0] & sets[2])
+
+
 def test_lm(spark, docs, odd, texts, monkeypatch):
     monkeypatch.setattr(lm_score, "HEAD", 500)  # most words go by the join
     for df in (docs, odd):
@@ -281,18 +477,125 @@ def test_lm(spark, docs, odd, texts, monkeypatch):
         want = sorted((len(w), sum(c[k] > 0 for k in w), n, round(sum(math.log10((c[k] + 0.5) / (n + 0.5 * (v + 1))) for k in w), 4)) for w in ([*(t or "").encode().lower().split(), None] for _, t in rows))
         got = lm_score.score(df).collect()
         assert sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-        assert all(r.score <= 0 and not math.isnan(r.score) for r in got)
-    held = [r.bits_per_byte for r in lm_score.score(docs).collect() if r.held_out]
-    assert sum(held) / len(held) < 4
+        assert all(r.score < 0 and not math.isnan(r.score) for r in got)
     assert lm_score.score(empty(docs)).count() == 0
 
 
-def test_mixer_is_a_distribution():
-    counts = np.random.default_rng(1).poisson(0.3, (lm_score.ORDERS, lm_score.SLOTS, 256)).astype(np.float32)
-    m = lm_score.Mixer(counts)
-    m.learn(lm_score.keys_of([b"some text to learn from " * 20]))
-    keys = np.uint64(0x6162636400) + np.arange(256, dtype=np.uint64)
-    assert abs((2.0 ** -m.bits(keys)).sum() - 1) < 1e-6
+def test_lm_beats_words(spark):
+    """Of what is learned from, in sum; held out within two in a hundred, though the base score never spells an unknown word."""
+    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = lm_score.score(more).collect()
+    for held, least in ((False, 1.0), (True, 1.02)):
+        some = [r for r in got if r.held_out == held]
+        assert sum(r.score for r in some) > least * sum(r.base_score for r in some)
+
+
+def lm_model(texts):
+    """The model of few texts, made on one machine by the operator's own steps."""
+    keys = lm_score.keys_of(*flat_of(texts))
+    keys, counts = lm_score.summed(keys, np.ones(len(keys), np.int64))
+    ends = np.zeros((2, 257), np.int64)
+    for t in texts:
+        ends[0, 256] += 1
+        for b in t:
+            ends[0, b] += 1
+        ends[1, t[-1] if t else 256] += 1
+    tables = [lm_score.long_table(*lm_score.summed(lm_score.grams_of(keys, w), counts)) if w == lm_score.LONG else lm_score.table(*lm_score.summed(lm_score.grams_of(keys, w), counts), w) for w in range(lm_score.INPUTS)]
+    m = lm_score.Mixer(tables, ends)
+    m.learn(keys, counts)
+    return m, keys, counts
+
+
+LM_TEXTS = [b"the cat sat on the mat. the cat sat on the mat again, and again.", "l'été à Zürich".encode(), b"", b"x", b"abcabcabcabcabcabcabcabcabc"]
+
+
+def flat_of(texts):
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
+def test_lm_score_by_brute_force():
+    """Byte by byte in plain Python: the mixed cost, the text's own past, the end."""
+    m, keys, counts = lm_model(LM_TEXTS)
+    c = Counter()
+    for t in LM_TEXTS:
+        padded = b"\0" * 6 + t
+        c.update(int.from_bytes(padded[i : i + 7], "big") for i in range(len(t)))
+    assert dict(zip(keys.tolist(), counts.tolist())) == c
+    assert [tuple(x.tolist()) for x in lm_score.unpack(lm_score.pack(keys, counts))] == [tuple(keys.tolist()), tuple(counts.tolist())]
+
+    def cost(before, byte):
+        return float(m.bits(np.array([int.from_bytes(before[-6:].rjust(6, b"\0") + bytes([byte]), "big")], np.uint64)).astype(np.float32)[0])
+
+    def slow(t):
+        total, right, cells = 0.0, [False] * len(t), {}
+        for i, byte in enumerate(t):
+            before = t[:i]
+            total += m.go[before[-1] if i else 256]
+            there = next((j for j in range(i - 1, 6, -1) if t[j - 7 : j] == t[i - 7 : i]), None) if i >= 7 else None
+            if there is None:
+                total += cost(before, byte)
+                continue
+            p = min(max(2.0 ** -cost(before, t[there]), 1e-6), 1 - 1e-6)
+            run = 0
+            while run < i and right[i - 1 - run]:
+                run += 1
+            cell = sum(run >= x for x in (1, 3, 8, 16))
+            hits, n = cells.get(cell, (0, 0))
+            share = (hits + lm_score.TRUST * p) / (n + lm_score.TRUST)
+            right[i] = t[there] == byte
+            cells[cell] = (hits + right[i], n + 1)
+            total += -math.log2(share) if right[i] else cost(before, byte) - math.log2((1 - share) / (1 - p))
+        return total + m.stop[t[-1] if t else 256]
+
+    many = LM_TEXTS + [b"the cat sat on the mat the cat sat on the mat the cat sat on a mat", b"abcabcabcabcabdabcabcabc" * 3]
+    got = lm_score.Scorer(m, 8).bits(*flat_of(many))
+    assert np.allclose(got, [slow(t) for t in many], atol=1e-3)
+    # a text's score does not depend on its neighbours
+    assert np.allclose(got[::-1], lm_score.Scorer(m).bits(*flat_of(many[::-1])), atol=1e-6)
+
+
+def test_lm_is_a_distribution():
+    """Over all next bytes and the end, with and without a past to guess from."""
+    m, _, _ = lm_model(LM_TEXTS)
+    s = lm_score.Scorer(m)
+    for prefix in (b"", b"the ca", b"abcabcabcabcabc", b"the cat sat on the mat. the cat sat"):
+        texts = [prefix] + [prefix + bytes([b]) for b in range(256)]
+        bits = s.bits(*flat_of(texts)) - np.array([m.stop[t[-1] if t else 256] for t in texts])
+        assert abs((2.0 ** (bits[0] - bits[1:])).sum() + 2.0 ** -m.stop[prefix[-1] if prefix else 256] - 1) < 1e-4
+
+
+def test_embeddings_of_all_kinds(spark):
+    """Two lengths, doubles, repeated and null ids, scaled copies; against all pairs."""
+    r = np.random.default_rng(5)
+    x = [v for n in (8, 5) for v in (lambda c: np.vstack([c, c[:20] + r.normal(size=(20, n)) * 0.1, c[:10] * 3]))(r.normal(size=(60, n)))]
+    ids = [None if i % 17 == 0 else i // 2 for i in range(len(x))]
+    got = Counter(tuple(q) for q in embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0) for i, v in zip(ids, x)], "vec_id long, embedding array<double>, label int")).collect())
+    u = [v / np.linalg.norm(v) for v in x]
+    hit = np.array([[i != j and len(a) == len(b) and float(a @ b) >= 0.95 for j, b in enumerate(u)] for i, a in enumerate(u)])
+    up = list(range(len(x)))
+    for _ in range(len(x)):
+        up = [min([up[i], *(up[j] for j in np.flatnonzero(hit[i]))]) for i in range(len(x))]
+    least = {c: min((ids[i] for i in range(len(x)) if up[i] == c and ids[i] is not None), default=None) for c in set(up)}
+    assert got == Counter((ids[i], int(hit[i].sum()), least[up[i]], None if ids[i] is None or least[up[i]] is None else ids[i] == least[up[i]]) for i in range(len(x)))
+
+
+def test_grid_stops_by_query():
+    """Every cell within the margin of the nearest is visited, and no other; the target holds for pairs at the threshold."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(4000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = embeddings.Grid(x, 8)
+    cells, counts = g.visits(x[:50])
+    at = np.concatenate([[0], np.cumsum(counts)])
+    for i in range(50):
+        a, b = g.distances(x[i : i + 1])
+        want = {p * 8 + q for p in range(8) for q in range(8) if a[0, p] + b[0, q] - a.min() - b.min() <= g.margin + 1e-12}
+        assert set(cells[at[i] : at[i + 1]].tolist()) == want
+    assert len(set(counts.tolist())) > 1
+    noise = r.normal(size=x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    y = 0.95 * x + math.sqrt(1 - 0.95**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    assert (np.minimum(g.excess(x, g.cells(y)), g.excess(y, g.cells(x))) <= g.margin).mean() >= 0.95
 
 
 def test_embeddings(spark):

@@ -54,7 +54,9 @@ from .flat import shingles as flat_shingles
 
 N, PERCENT = 5, 75
 #: Members that a task of step 2 or 4 gets, about.
-PART_MEMBERS = 750_000
+PART_MEMBERS = 1_000_000
+#: Parts of an exchange, at least: each class has a row in each part where it shares members, so few parts would grow with the input.
+LEAST_PARTS = 48
 BLOCK, BLOCK_MEMBERS = 256, 1_000_000
 COMMON = 32
 #: Members that a task of the first exchange gathers before it deals them out, and digests of classes that it remembers.
@@ -366,7 +368,7 @@ def class_components(docs: DataFrame, marks: tuple[str, ...] = ()) -> tuple[Data
     d = docs.select("doc_id", "text")
     meta = durable(docs.select("doc_id", "text", *marks).mapInArrow(_meta, ", ".join([f"doc_id {kind}", *(f"{m} bigint" for m in marks), "n bigint, digest binary"])))
     total = meta.agg(F.sum("n")).first()[0] or 0
-    parts = max(8, total * 3 // 8 // PART_MEMBERS)
+    parts = max(LEAST_PARTS, total * 3 // 8 // PART_MEMBERS)
     classes = meta.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.min("doc_id").alias("one")).withColumn("ref", _ref(F.col("digest")))
     # step 2; two digests that begin alike only add up their counts here, and more is looked at
     shared = d.select("text").mapInArrow(_prefixes(parts), "part int, blob binary").groupBy("part").applyInArrow(_shared, "ref bigint, c bigint").groupBy("ref").agg(F.sum("c").alias("c"))
@@ -386,7 +388,7 @@ def class_components(docs: DataFrame, marks: tuple[str, ...] = ()) -> tuple[Data
     first = components(links)
     marked = sets.drop("minima", "share", "digest").join(first.withColumnRenamed("id", "ref"), "ref", "left").withColumn("component", F.coalesce("component", "ref"))
     # step 4
-    parts = max(8, (sets.agg(F.sum("n")).first()[0] or 0) // PART_MEMBERS)
+    parts = max(LEAST_PARTS // 2, (sets.agg(F.sum("n")).first()[0] or 0) // PART_MEMBERS)
     crossing = marked.mapInArrow(_component_blobs(parts), "part int, blob binary").groupBy("part").applyInArrow(_crossing, "ref bigint, c bigint").groupBy("ref").agg(F.sum("c").alias("c"))
     open_sets = durable(marked.join(crossing, "ref").where(F.col("c") >= F.ceil(F.col("n") * PERCENT / 100)).select("ref", "n", "component", "set"))
     members = _explode_sets(open_sets)

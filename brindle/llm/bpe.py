@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, session
 
-CHUNK, OVERLAP = 1 << 14, 1 << 9
+CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: Characters that a pre-token's match reads past its own end, at most.
 LOOKAHEAD = 3
 #: The file of ranks; any path that the executors can read.

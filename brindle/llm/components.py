@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import apart, removed, written
 
 
+#: Links in a file of a round's table, about.
+PART_LINKS = 200_000
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large: each node links its larger neighbours to the least of its neighbours and itself. Small: each node links its
     smaller neighbours and itself to the least of them. Links are (u, v) with u > v."""
@@ -28,15 +32,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     the longest path; links that are not settled after so many are an error, never a result."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") > F.col("v")).distinct()
     e, folder = written(e, "links")
-    before = None
+    before, links = None, e.count()
     for _ in range(most_rounds):
         old = folder
-        e, folder = written(_star(_star(e, True), False), "links")
+        e, folder = written(_star(_star(e, True), False).coalesce(1 + links // PART_LINKS), "links")
         removed(edges.sparkSession, old)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, links = now, now[0]
     else:
         raise RuntimeError(f"links are not settled after {most_rounds} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

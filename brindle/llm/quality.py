@@ -137,7 +137,8 @@ def keep(docs: DataFrame) -> DataFrame:
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return measure(documents(spark, sf_dir)).drop("clean_text")
+    """The measures, with the clean text's digest in its place."""
+    return measure(documents(spark, sf_dir)).withColumn("clean_sha256", F.sha2("clean_text", 256)).drop("clean_text")
 
 
 QUERIES = {"op6_quality_rules": op6_quality_rules}
@@ -147,16 +148,16 @@ a AS (SELECT doc_id, r, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list
 i AS (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM a WHERE len(w) > 2),
 g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS c FROM i),
 p AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM g WHERE c > 1) GROUP BY r),
-l AS (SELECT r, unnest(lines) AS line FROM a),
-m AS (SELECT r, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '[|>]')) AS bars,
+l AS (SELECT r, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS i FROM a WHERE len(lines) > 0),
+m AS (SELECT r, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '[|>]')) AS bars,
     len(regexp_extract_all(lower(line), 'all rights reserved|terms of (?:use|service)|privacy policy|cookies? (?:policy|settings)|enable javascript|lorem ipsum|click here|sign in|log in|subscribe to')) AS notices,
     right(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), 1) AS final FROM l),
-n AS (SELECT r, len(w) AS words, symbols * 4 < len(w) AND (bars < 3 OR len(w) >= 6 * bars) AND (final IN ('.', '!', '?', ':', ';', '…', '。', '！', '？', '।', '؟', '"', chr(39), '”', '’', '»', ')', ']') OR len(w) >= 8)
+n AS (SELECT r, i, line, len(w) AS words, symbols * 4 < len(w) AND (bars < 3 OR len(w) >= 6 * bars) AND (final IN ('.', '!', '?', ':', ';', '…', '。', '！', '？', '।', '؟', '"', chr(39), '”', '’', '»', ')', ']') OR len(w) >= 8)
     AND (notices = 0 OR notices * 24 <= len(w)) AND 2 * len(list_filter(w, lambda x: regexp_full_match(x, '[^\p{Ll}]*\p{Lu}[^\p{Ll}]*!'))) < len(w) AS good FROM m),
-k AS (SELECT r, count(*) FILTER (WHERE NOT good) AS n_failed_lines, coalesce(sum(words) FILTER (WHERE good), 0) AS n_kept_words FROM n GROUP BY r),
+k AS (SELECT r, count(*) FILTER (WHERE NOT good) AS n_failed_lines, coalesce(sum(words) FILTER (WHERE good), 0) AS n_kept_words, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE good), '') AS clean FROM n GROUP BY r),
 q AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, coalesce(n_failed_lines, 0)::BIGINT AS n_failed_lines, coalesce(n_kept_words, 0)::BIGINT AS n_kept_words
-    FROM a LEFT JOIN p ON p.r = a.r LEFT JOIN k ON k.r = a.r)
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, coalesce(n_failed_lines, 0)::BIGINT AS n_failed_lines, coalesce(n_kept_words, 0)::BIGINT AS n_kept_words,
+    sha256(CASE WHEN coalesce(n_failed_lines, 0) = 0 THEN t ELSE clean END) AS clean_sha256 FROM a LEFT JOIN p ON p.r = a.r LEFT JOIN k ON k.r = a.r)
 SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_kept_words >= 50 * n_words AS kept FROM q
 """
 ORACLE_SQL = {"op6_quality_rules": ORACLE}

@@ -1,7 +1,8 @@
 """Full-text search: documents as maps from lexeme to positions, queries as boolean trees over them.
 
-Stemming is the published English Snowball (Porter2) idea in reduced form: plural, -ed/-ing, -ly and final-e/y rules. Ranking is
-BM25-like saturation of term frequency, not PostgreSQL's formula; both are stated in the README.
+Stemming is the published English Snowball algorithm (Porter2). Stop words are no lexemes and are dropped from queries, but count
+as places. A query of nothing, or of stop words only, matches nothing. Ranks are PostgreSQL's published formulas at its
+default weights.
 """
 
 from __future__ import annotations
@@ -23,38 +24,87 @@ WORDS = re.compile(r"[^\W_]+")
 VOWELS = "aeiouy"
 
 
-def _has_vowel(s: str) -> bool:
-    return any(c in VOWELS for c in s)
+#: Fixed values of the stemmer: words that it does not treat by rule, and its steps' endings.
+SPECIAL = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
+KEPT = frozenset("sky news howe atlas cosmos bias andes".split())
+KEPT_LATER = frozenset("inning outing canning herring earring proceed exceed succeed".split())
+STEP2 = dict(x.split(":") for x in "tional:tion enci:ence anci:ance abli:able entli:ent izer:ize ization:ize ational:ate ation:ate ator:ate alism:al aliti:al alli:al fulness:ful ousli:ous ousness:ous iveness:ive iviti:ive biliti:ble bli:ble ogi:og fulli:ful lessli:less li:".split())
+STEP3 = dict(x.split(":") for x in "tional:tion ational:ate alize:al icate:ic iciti:ic ical:ic ful: ness: ative:".split())
+STEP4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split()
+
+
+def _regions(w: str) -> tuple[int, int]:
+    """Where R1 and R2 begin."""
+
+    def after(i: int) -> int:
+        while i < len(w) and w[i] not in VOWELS:
+            i += 1
+        while i < len(w) and w[i] in VOWELS:
+            i += 1
+        return min(i + 1, len(w))
+
+    r1 = next((len(p) for p in ("gener", "commun", "arsen") if w.startswith(p)), None)
+    r1 = after(0) if r1 is None else r1
+    return r1, after(r1)
+
+
+def _ends_short(w: str) -> bool:
+    """Whether the word ends in a short syllable."""
+    if len(w) == 2:
+        return w[0] in VOWELS and w[1] not in VOWELS
+    return len(w) > 2 and w[-1] not in VOWELS + "wxY" and w[-2] in VOWELS and w[-3] not in VOWELS
+
+
+def _longest(w: str, ends) -> str | None:
+    return max((e for e in ends if w.endswith(e)), key=len, default=None)
 
 
 def stem(w: str) -> str:
+    """The stem of a word in lower case."""
     if len(w) <= 2:
         return w
+    if w in SPECIAL:
+        return SPECIAL[w]
+    if w in KEPT:
+        return w
+    w = re.sub(f"(^|[{VOWELS}])y", r"\1Y", w)
+    r1, r2 = _regions(w)
     if w.endswith("sses"):
         w = w[:-2]
     elif w.endswith(("ied", "ies")):
         w = w[:-2] if len(w) > 4 else w[:-1]
-    elif w.endswith("s") and not w.endswith(("us", "ss")) and _has_vowel(w[:-2]):
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and any(c in VOWELS for c in w[:-2]):
         w = w[:-1]
-    for end in ("ingly", "edly", "ing", "ed"):
-        if w.endswith(end) and _has_vowel(w[: -len(end)]):
-            w = w[: -len(end)]
-            if w.endswith(("at", "bl", "iz")):
-                w += "e"
-            elif len(w) > 2 and w[-1] == w[-2] and w[-1] in "bdfgmnprt":
-                w = w[:-1]
-            elif len(w) <= 3 and len(w) > 2 and w[-1] not in "aeiouwxy" and w[-2] in VOWELS and w[-3] not in VOWELS:
-                w += "e"
-            break
-    if len(w) > 2 and w.endswith("y") and w[-2] not in VOWELS:
+    if w in KEPT_LATER:
+        return w
+    end = _longest(w, ("eedly", "ingly", "edly", "eed", "ing", "ed"))
+    if end in ("eed", "eedly"):
+        if len(w) - len(end) >= r1:
+            w = w[: -len(end)] + "ee"
+    elif end and any(c in VOWELS for c in w[: -len(end)]):
+        w = w[: -len(end)]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif w.endswith(("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")):
+            w = w[:-1]
+        elif r1 >= len(w) and _ends_short(w):
+            w += "e"
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in VOWELS:
         w = w[:-1] + "i"
-    for end, to in (("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ation", "ate"), ("alli", "al"), ("entli", "ent"), ("ousli", "ous"), ("izer", "ize"), ("li", "")):
-        if w.endswith(end) and len(w) - len(end) > 2:
-            w = w[: -len(end)] + to
-            break
-    if w.endswith("e") and (len(w) > 4 or _has_vowel(w[:-1])) and len(w) > 3:
+    end = _longest(w, STEP2)
+    if end and len(w) - len(end) >= r1 and (end != "ogi" or w[-4:-3] == "l") and (end != "li" or w[-3:-2] in tuple("cdeghkmnrt")):
+        w = w[: -len(end)] + STEP2[end]
+    end = _longest(w, STEP3)
+    if end and len(w) - len(end) >= (r2 if end == "ative" else r1):
+        w = w[: -len(end)] + STEP3[end]
+    end = _longest(w, STEP4)
+    if end and len(w) - len(end) >= r2 and (end != "ion" or w[-4:-3] in tuple("st")):
+        w = w[: -len(end)]
+    if w.endswith("e") and (len(w) - 1 >= r2 or len(w) - 1 >= r1 and not _ends_short(w[:-1])):
+        w = w[:-1]
+    elif w.endswith("ll") and len(w) - 1 >= r2:
         w = w[:-1]
-    return w
+    return w.replace("Y", "y")
 
 
 def lexemes(text: str | None) -> dict[str, list[int]]:
@@ -78,75 +128,111 @@ to_tsvector = to_tsvector.asNondeterministic()
 
 @dataclass(frozen=True)
 class Query:
-    """op: term, phrase, and, or, not."""
+    """op: term, phrase, and, or, not, none (matches nothing)."""
 
     op: str
     terms: tuple = ()
 
 
+NONE = Query("none")
+
+
+def joined(op: str, parts: list[Query]) -> Query:
+    """What is left of the parts that are something."""
+    some = tuple(p for p in parts if p.op != "none")
+    return NONE if not some else some[0] if len(some) == 1 else Query(op, some)
+
+
+def negated(q: Query) -> Query:
+    return q if q.op == "none" else Query("not", (q,))
+
+
+def _words(text: str) -> Query:
+    """A word, a phrase where a token holds several, or none for stop words."""
+    q = phraseto_tsquery(text)
+    return Query("term", (q.terms[0][0],)) if q.op == "phrase" and len(q.terms) == 1 else q
+
+
 def to_tsquery(text: str) -> Query:
-    """a & b | !c, with parentheses."""
+    """a & b | !c, with parentheses. An operator without an operand is an error."""
     tokens = re.findall(r"[&|!()]|[^\s&|!()]+", text)
-
-    def either(i):
-        q, i = both(i)
-        parts = [q]
-        while i < len(tokens) and tokens[i] == "|":
-            q, i = both(i + 1)
-            parts.append(q)
-        return (parts[0] if len(parts) == 1 else Query("or", tuple(parts))), i
-
-    def both(i):
-        q, i = one(i)
-        parts = [q]
-        while i < len(tokens) and tokens[i] == "&":
-            q, i = one(i + 1)
-            parts.append(q)
-        return (parts[0] if len(parts) == 1 else Query("and", tuple(parts))), i
-
-    def one(i):
-        if tokens[i] == "!":
-            q, i = one(i + 1)
-            return Query("not", (q,)), i
-        if tokens[i] == "(":
-            q, i = either(i + 1)
-            return q, i + 1
-        return Query("term", (stem(tokens[i].lower()),)), i + 1
-
-    return either(0)[0]
+    if not tokens:
+        return NONE
+    place = 0
+
+    def peek() -> str:
+        return tokens[place] if place < len(tokens) else ""
+
+    def take() -> str:
+        nonlocal place
+        if not peek():
+            raise ValueError(f"syntax error in tsquery: {text!r}")
+        place += 1
+        return tokens[place - 1]
+
+    def either() -> Query:
+        parts = [both()]
+        while peek() == "|":
+            take()
+            parts.append(both())
+        return joined("or", parts)
+
+    def both() -> Query:
+        parts = [one()]
+        while peek() == "&":
+            take()
+            parts.append(one())
+        return joined("and", parts)
+
+    def one() -> Query:
+        t = take()
+        if t == "!":
+            return negated(one())
+        if t == "(":
+            q = either()
+            if take() != ")":
+                raise ValueError(f"syntax error in tsquery: {text!r}")
+            return q
+        if t in "&|)":
+            raise ValueError(f"syntax error in tsquery: {text!r}")
+        return _words(t)
+
+    q = either()
+    if peek():
+        raise ValueError(f"syntax error in tsquery: {text!r}")
+    return q
 
 
 def phraseto_tsquery(text: str) -> Query:
     """Words at the same distances as in the phrase; stop words count as places."""
     at = sorted((p, w) for w, ps in lexemes(text).items() for p in ps)
-    return Query("phrase", tuple((w, p - at[0][0]) for p, w in at))
+    return Query("phrase", tuple((w, p - at[0][0]) for p, w in at)) if at else NONE
+
+
+def plainto_tsquery(text: str) -> Query:
+    """All words, joined by and."""
+    return joined("and", [Query("term", (w,)) for w in lexemes(text)])
 
 
 def websearch_to_tsquery(text: str) -> Query:
-    """Words are joined by and; "phrases", or, and -word."""
-    groups, current = [], []
-    for minus, quoted, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', text):
+    """Words are joined by and; "phrases", or, and -word. Any text is a query."""
+    groups: list[list[Query]] = [[]]
+    for minus, quoted, word in re.findall(r'(-?)(?:"([^"]*)"?|([^\s"]+))', text):
         if word.lower() == "or" and not minus:
-            groups.append(current)
-            current = []
-            continue
-        parts = phraseto_tsquery(quoted or word)
-        if not parts.terms:
+            groups.append([])
             continue
-        q = parts if len(parts.terms) > 1 else Query("term", (parts.terms[0][0],))
-        current.append(Query("not", (q,)) if minus else q)
-    groups.append(current)
-    made = [g[0] if len(g) == 1 else Query("and", tuple(g)) for g in groups if g]
-    return made[0] if len(made) == 1 else Query("or", tuple(made))
+        q = _words(quoted or word)
+        groups[-1].append(negated(q) if minus else q)
+    return joined("or", [joined("and", g) for g in groups])
 
 
 def matches(v: Column, q: Query) -> Column:
     """v @@ q, over map columns, without Python."""
+    if q.op == "none":
+        return F.lit(False)
     if q.op == "term":
         return F.coalesce(F.map_contains_key(v, q.terms[0]), F.lit(False))
     if q.op == "phrase":
-        if not q.terms:
-            return F.lit(False)
         first = q.terms[0][0]
         rest = [lambda p, w=w, d=d: F.coalesce(F.array_contains(F.try_element_at(v, F.lit(w)), p + d), F.lit(False)) for w, d in q.terms[1:]]
 
@@ -170,16 +256,44 @@ def words_of(q: Query) -> list[str]:
         return [q.terms[0]]
     if q.op == "phrase":
         return [w for w, _ in q.terms]
-    return [] if q.op == "not" else [w for t in q.terms for w in words_of(t)]
+    return [] if q.op in ("not", "none") else [w for t in q.terms for w in words_of(t)]
+
+
+#: Fixed values of the rank formulas: the weight of a place, and the limit of the sum of inverse squares.
+WEIGHT, SQUARES = 0.1, 1.64493406685
+
+
+def _operands(q: Query) -> list[str]:
+    """Distinct words of a query, those under a not included."""
+    if q.op in ("not", "and", "or"):
+        return sorted({w for t in q.terms for w in _operands(t)})
+    return sorted(set(words_of(q)))
 
 
 def rank(v: Column, q: Query) -> Column:
-    """Sum over query words of tf / (tf + 1.2)."""
-    out = F.lit(0.0)
-    for w in sorted(set(words_of(q))):
-        tf = F.coalesce(F.size(F.try_element_at(v, F.lit(w))), F.lit(0))
-        out = out + F.when(tf > 0, tf / (tf + F.lit(1.2))).otherwise(F.lit(0.0))
-    return out
+    """ts_rank: for or, each word's places add inverse squares of their numbers, over the number of words; for and and phrases,
+    each two words add what is near."""
+    ws = _operands(q)
+    if not ws:
+        return F.lit(0.0)
+    places = {w: F.coalesce(F.try_element_at(v, F.lit(w)), F.array().cast("array<int>")) for w in ws}
+    if q.op not in ("and", "phrase") or len(ws) < 2:
+        out = F.lit(0.0)
+        for w in ws:
+            out = out + F.aggregate(F.transform(places[w], lambda _, i: F.lit(WEIGHT) / ((i + 1) * (i + 1))), F.lit(0.0), lambda a, x: a + x) / SQUARES
+        return out / len(ws)
+
+    def near(p: Column, o: Column) -> Column:
+        d = F.abs(p - o)
+        return F.sqrt(WEIGHT * WEIGHT * F.when(d > 100, F.lit(1e-30)).otherwise(1.0 / (1.005 + 0.05 * F.exp(d / 1.5 - 2))))
+
+    missing = F.lit(1.0)  # of nothing near
+    for i, a in enumerate(ws):
+        for b in ws[i + 1 :]:
+            other = places[b]
+            pairs = F.flatten(F.transform(places[a], lambda p: F.transform(other, lambda o: near(p, o))))  # noqa: B023  used at once
+            missing = missing * F.aggregate(pairs, F.lit(1.0), lambda m, x: m * (1 - x))
+    return F.when(missing == 1.0, F.lit(1e-20)).otherwise(1 - missing)
 
 
 def headline(text: Column, q: Query) -> Column:

@@ -98,18 +98,26 @@ def trigrams(s: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, of)))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    x, y = trigrams(a), trigrams(b)
+def trigrams_of(text: str) -> list[str]:
+    """The trigram set of a known text."""
+    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    return sorted({f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)})
+
+
+def similarity(a: Column, b: Column | str) -> Column:
+    """Of two columns, or of a column and a known text, whose trigrams are then made once."""
+    x = trigrams(a)
+    y = trigrams(b) if isinstance(b, Column) else F.lit(trigrams_of(b)) if trigrams_of(b) else F.array().cast("array<string>")
     both = F.size(F.array_intersect(x, y))
-    all_of = F.size(F.array_union(x, y))
+    all_of = F.size(x) + F.size(y) - both
     return F.when(all_of == 0, F.lit(0.0)).otherwise(both / all_of)
 
 
-def similar(a: Column, b: Column, threshold: float = 0.3) -> Column:
+def similar(a: Column, b: Column | str, threshold: float = 0.3) -> Column:
     return similarity(a, b) >= threshold
 
 
-def distance(a: Column, b: Column) -> Column:
+def distance(a: Column, b: Column | str) -> Column:
     return 1 - similarity(a, b)
 
 
@@ -157,6 +165,25 @@ def json_exists(doc: Column, path: str) -> Column:
     return F.try_variant_get(F.try_parse_json(doc), path, "variant").isNotNull()
 
 
+def json_object(**fields: Column) -> Column:
+    """A document of the given fields; a null stays as null."""
+    return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
+
+
+def json_array(*items: Column) -> Column:
+    return F.to_json(F.array(*items))
+
+
+def json_pretty(doc: Column) -> Column:
+    """A struct, array or map as indented JSON."""
+    return F.to_json(doc, {"pretty": "true"})
+
+
+def json_list(a: Column, null_as_empty: bool) -> Column:
+    """An array as JSON: a null one as null, or as an empty list."""
+    return F.coalesce(F.to_json(a), F.lit("[]" if null_as_empty else "null"))
+
+
 def json_elements(doc: Column, path: str = "$") -> Column:
     return F.from_json(F.get_json_object(doc, path), "array<string>")
 
@@ -193,33 +220,59 @@ def json_contains(doc: Column, literal: str) -> Column:
     return test(doc)
 
 
-def json_set(doc: Column, path: tuple[str, ...], value) -> Column:
+def _rewritten(doc: Column, change) -> Column:
+    """Documents of any shape, parsed and written again; null where there is no JSON, the text as it came where the change does
+    not apply."""
+
     @F.pandas_udf(T.StringType())
     def put(s: pd.Series) -> pd.Series:
         def one(x):
-            if x is None:
+            try:
+                d = json.loads(x)
+            except (TypeError, ValueError):
                 return None
-            d = json.loads(x)
-            at = d
-            for k in path[:-1]:
-                at = at[k]
-            at[path[-1]] = value
-            return json.dumps(d, separators=(",", ":"), ensure_ascii=False)
+            return json.dumps(change(d), separators=(",", ":"), ensure_ascii=False)
 
         return s.map(one)
 
     return put(doc)
 
 
+def json_set(doc: Column, path: tuple, value) -> Column:
+    """The value put at a path of keys and places. As a path without its parent, or into a scalar, changes nothing; a place past an
+    array's end is appended, one before its beginning is put first."""
+
+    def change(d):
+        at = d
+        for k in path[:-1]:
+            if not (isinstance(at, dict) and k in at or isinstance(at, list) and isinstance(k, int) and -len(at) <= k < len(at)):
+                return d
+            at = at[k]
+        k = path[-1]
+        if isinstance(at, dict):
+            at[str(k)] = value
+        elif isinstance(at, list) and isinstance(k, int):
+            if -len(at) <= k < len(at):
+                at[k] = value
+            else:
+                at.insert(0 if k < 0 else len(at), value)
+        return d
+
+    return _rewritten(doc, change)
+
+
 def json_merge(doc: Column, literal: str, drop: tuple[str, ...] = ()) -> Column:
-    """(doc - keys) || literal at the top level."""
+    """(doc - keys) || literal at the top level. Of an array, strings among the keys go and the literal's elements are appended; a
+    scalar stands for the array of it."""
     more = json.loads(literal)
 
-    @F.pandas_udf(T.StringType())
-    def put(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else json.dumps({k: v for k, v in json.loads(x).items() if k not in drop} | more, separators=(",", ":"), ensure_ascii=False))
+    def change(d):
+        if isinstance(d, dict) and isinstance(more, dict):
+            return {k: v for k, v in d.items() if k not in drop} | more
+        left = [x for x in d if not isinstance(x, str) or x not in drop] if isinstance(d, list) else [d]
+        return left + (more if isinstance(more, list) else [more])
 
-    return put(doc)
+    return _rewritten(doc, change)
 
 
 def json_kind(doc: Column) -> Column:
@@ -273,6 +326,20 @@ def random_bytes(n: int) -> Column:
     return F.unhex(F.substring(F.concat(*[F.replace(F.uuid(), F.lit("-"), F.lit("")) for _ in range(-(-n // 14))]), 1, 2 * n))
 
 
+def random_between(a: int, b: int) -> Column:
+    """A whole number from a to b, both included."""
+    return F.floor(F.rand() * (b - a + 1)).cast("int") + a
+
+
+def random_range(a: float, b: float) -> Column:
+    return F.lit(a) + F.rand() * (b - a)
+
+
+def local_time(ts: Column) -> Column:
+    """A time of UTC as the wall clock of the session's time zone shows it."""
+    return F.from_utc_timestamp(ts, F.current_timezone())
+
+
 def integer_literal(text: str) -> Column:
     """0x, 0o, 0b and underscores."""
     return F.lit(int(text, 0))

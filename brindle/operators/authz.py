@@ -49,6 +49,29 @@ def visible(rows: DataFrame, key: str, tuples: DataFrame, user: str, relation: s
     return rows.join(ids, key, "left_semi")
 
 
+@dataclass(frozen=True)
+class Store:
+    """An authorization store: one model and its tuples. Writes give a new store."""
+
+    tuples: DataFrame
+    implies: dict
+
+    def write(self, more: DataFrame) -> Store:
+        return Store(self.tuples.unionByName(more).distinct(), self.implies)
+
+    def check(self, questions: DataFrame) -> DataFrame:
+        return check(questions, self.tuples, implies=self.implies)
+
+    def list_objects(self, user: str, relation: str, object_type: str) -> DataFrame:
+        return list_objects(self.tuples, user, relation, object_type, implies=self.implies)
+
+
+def privileges(statements: DataFrame) -> DataFrame:
+    """(role, privilege) that grants and revokes (seq, kind, role, privilege) leave: of each, the last statement holds."""
+    last = statements.groupBy("role", "privilege").agg(F.max_by("kind", "seq").alias("__k"))
+    return last.where("__k = 'grant'").select("role", "privilege")
+
+
 @dataclass(frozen=True)
 class Principal:
     name: str

@@ -42,7 +42,8 @@ def _directed(g: PropertyGraph, direction: str) -> DataFrame:
 
 def match(g: PropertyGraph, p: Pattern, optional: bool = False) -> DataFrame:
     """A row for each match, with struct columns v0, e1, v1, ...; optional keeps matches that end early (left joins).
-    Filters are applied before the joins, and Catalyst orders and prunes them."""
+    Filters are applied before the joins, and Catalyst orders and prunes them. From a filtered start each further hop's edges are
+    cut to those of the vertices reached so far, by a semi join that goes below an aggregation of the edges."""
 
     def vertices(i: int) -> DataFrame:
         v = g.vertices if i not in p.where else g.vertices.where(p.where[i])
@@ -53,6 +54,9 @@ def match(g: PropertyGraph, p: Pattern, optional: bool = False) -> DataFrame:
     for i, hop in enumerate(p.hops, 1):
         e = _directed(g, hop.direction)
         e = e if hop.where is None else e.where(hop.where)
+        if i > 1 and 0 in p.where:
+            reached = out.select(F.col(f"v{i - 1}.{g.key}").alias("__reached")).distinct()
+            e = e.join(reached, F.col(g.source) == F.col("__reached"), "left_semi")
         step = e.select(F.struct(*e.columns).alias(f"e{i}")).join(vertices(i), F.col(f"e{i}.{g.target}") == F.col(f"v{i}.{g.key}"))
         out = out.join(step, F.col(f"v{i - 1}.{g.key}") == F.col(f"e{i}.{g.source}"), how)
     return out

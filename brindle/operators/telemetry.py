@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from contextlib import contextmanager
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +52,49 @@ def counter(df: DataFrame, value: str, keys) -> DataFrame:
 def gauge(df: DataFrame, value: str, at: str, keys) -> DataFrame:
     """The last observed value."""
     return df.groupBy(*keys).agg(F.max_by(value, at).alias("last"))
+
+
+class Recorder:
+    """Spans of the driver's own work, kept in memory: ``with recorder.span('name'):``, nested as they are opened."""
+
+    SCHEMA = "span_id bigint, parent_id bigint, trace_id bigint, name string, status string, attributes map<string,string>, events array<string>"
+
+    def __init__(self, spark):
+        self.spark, self.rows, self.open = spark, [], []
+
+    @contextmanager
+    def span(self, name: str, **attributes: str):
+        me = {"span_id": len(self.rows) + 1, "parent_id": self.open[-1]["span_id"] if self.open else None, "name": name, "status": "Ok", "attributes": attributes, "events": []}
+        me["trace_id"] = self.open[-1]["trace_id"] if self.open else me["span_id"]
+        self.rows.append(me)
+        self.open.append(me)
+        try:
+            yield me["events"]
+        except Exception as e:
+            me["status"] = "Error"
+            me["events"].append(str(e))
+            raise
+        finally:
+            self.open.pop()
+
+    def spans(self) -> DataFrame:
+        names = [x.split()[0] for x in self.SCHEMA.split(", ")]
+        return self.spark.createDataFrame([tuple(r[n] for n in names) for r in self.rows], self.SCHEMA)
+
+
+class Calls:
+    """Counts calls, and runs a hook around each: ``calls.around(function)``."""
+
+    def __init__(self, hook=None):
+        self.counts: Counter[str] = Counter()
+        self.hook = hook
+
+    def around(self, function):
+        @wraps(function)
+        def call(*args, **kwargs):
+            self.counts[function.__name__] += 1
+            if self.hook is None:
+                return function(*args, **kwargs)
+            return self.hook(function.__name__, lambda: function(*args, **kwargs))
+
+        return call

@@ -179,3 +179,37 @@ def apply_operations(state: DataFrame, ops: DataFrame) -> DataFrame:
     last = ops.groupBy("key").agg(F.max_by(F.struct("kind", "value"), "seq").alias("o"))
     kept = state.select("key", "value").join(last.select("key"), "key", "left_anti")
     return kept.unionByName(last.where("o.kind = 'upsert'").select("key", F.col("o.value").alias("value")))
+
+
+def with_defaults(rows: DataFrame, **defaults: Column) -> DataFrame:
+    """Columns that the rows lack, or that are null in them, get their defaults."""
+    return rows.withColumns({c: F.coalesce(F.col(c), v) if c in rows.columns else v for c, v in defaults.items()})
+
+
+def add_with_key(table: DataFrame, row: dict[str, Column], key: str, prefix: str, fk: str, parents: DataFrame, pk: str) -> tuple[DataFrame, DataFrame]:
+    """(new table, added): one row whose key is the prefix and the number of rows plus one. An error when it runs if its foreign key
+    has no parent."""
+    n = table.agg(F.count(F.lit(1)).alias("__n"))
+    one = n.select(F.concat(F.lit(prefix), (F.col("__n") + 1).cast("string")).alias(key), *[v.alias(c) for c, v in row.items()])
+    known = one.join(parents.select(F.col(pk).alias("__pk")).distinct(), F.col(fk) == F.col("__pk"), "left")
+    checked = F.when(F.col("__pk").isNull(), F.raise_error(F.concat(F.lit(f"no such {pk}: "), F.col(fk).cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    added = known.withColumn("__ok", checked).where("__ok").select(*table.columns)
+    return table.unionByName(added), added
+
+
+def upload(catalogue: DataFrame, sent: DataFrame, key: str, order: str, valid: Column) -> tuple[DataFrame, DataFrame]:
+    """(new catalogue, summary): of a stream of rows the valid ones are put by key, the last by ``order`` wins; the summary counts
+    accepted and rejected ones."""
+    ok = F.coalesce(valid, F.lit(False))
+    last = sent.where(ok).groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in catalogue.columns if c != key]), order).alias("__r"))
+    new = last.select(key, "__r.*").select(*catalogue.columns)
+    summary = sent.agg(F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"))
+    return catalogue.join(new.select(key), key, "left_anti").select(*catalogue.columns).unionByName(new), summary
+
+
+def relay(outbox: DataFrame, n: int, order: str, mark: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(events, new outbox): the first n rows without a mark are sent, and marked. What is marked is never sent again."""
+    pending = outbox.where(F.col(mark).isNull()).orderBy(order).limit(n)
+    sent = pending.select(F.col(order).alias("__k"))
+    j = outbox.join(F.broadcast(sent), F.col(order) == F.col("__k"), "left")  # n rows
+    return pending.drop(mark), j.select(*[F.when(F.col("__k").isNotNull(), now).otherwise(F.col(c)).alias(c) if c == mark else F.col(c) for c in outbox.columns])

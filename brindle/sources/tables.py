@@ -91,3 +91,54 @@ class StateStore:
 def numbered(df: DataFrame, keys, order) -> DataFrame:
     """1-based place within each key."""
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+class FolderStore(StateStore):
+    """The same store kept in a folder: a change is a new folder beside the old one."""
+
+    def __init__(self, spark: SparkSession, folder: str, version: int = 0):
+        self.spark, self.folder, self.version = spark, folder.rstrip("/"), version
+        if version == 0:
+            super().__init__(StateStore.of(spark).rows)
+        else:
+            super().__init__(spark.read.parquet(f"{self.folder}/{version}"))
+
+    def _next(self, store: StateStore) -> FolderStore:
+        store.rows.write.parquet(f"{self.folder}/{self.version + 1}")
+        return FolderStore(self.spark, self.folder, self.version + 1)
+
+    def save(self, items: DataFrame) -> FolderStore:
+        return self._next(super().save(items))
+
+    def delete(self, keys: DataFrame) -> FolderStore:
+        return self._next(super().delete(keys))
+
+
+def fields(df: DataFrame) -> DataFrame:
+    """The schema as rows (place, name, kind, nullable)."""
+    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema, 1)]
+    return df.sparkSession.createDataFrame(rows, "place int, name string, kind string, nullable boolean")
+
+
+def append(df: DataFrame, folder: str) -> DataFrame:
+    """INSERT ... SELECT: the rows are added to a folder; returned is all that it has."""
+    df.write.mode("append").parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def sizes(df: DataFrame) -> DataFrame:
+    """(file, bytes) of a table's files, the largest first."""
+    return df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).distinct().orderBy(F.desc("bytes"), "file")
+
+
+def aligned(df: DataFrame) -> DataFrame:
+    """Each row as one line of columns as wide as their longest value, headings included: (line)."""
+    text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
+    wide = text.agg(*[F.greatest(F.lit(len(c)), F.coalesce(F.max(F.length(c)), F.lit(0))).alias(f"__{c}") for c in df.columns])
+    return text.crossJoin(F.broadcast(wide)).select(F.rtrim(F.concat_ws("  ", *[F.rpad(c, F.col(f"__{c}"), F.lit(" ")) for c in df.columns])).alias("line"))  # one row
+
+
+def emit(df: DataFrame):
+    """Rows one by one, as dictionaries, a partition at a time."""
+    for row in df.toLocalIterator():
+        yield row.asDict(recursive=True)

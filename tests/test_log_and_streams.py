@@ -1,4 +1,4 @@
-"""The partitioned log, the key-value store, the full-text functions and the streams, on the fixtures' rows and results."""
+"""The partitioned log, the key-value store and the streams, on the fixtures' rows and results."""
 
 from collections import Counter
 
@@ -88,7 +88,7 @@ def test_channel_and_echo(spark, tmp_path):
     spark.createDataFrame([("orders", "one"), ("other", "two")], "channel string, value string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("channel string, value string").parquet(str(tmp_path / "in"))
     got = memory(relays.echo(relays.channel(stream, "orders")), "echoed", "append")
-    assert [r.value for r in got.collect()] == ["echo: one"]
+    assert [r.value for r in got.collect()] == ["you said: one"]
 
 
 def test_topic_as_stream(spark, topic, tmp_path):
@@ -118,3 +118,40 @@ def test_windows(spark, tmp_path):
     assert sorted((r.event_type, r.n, r.total) for r in wide.collect()) == [("buy", 1, 1.0), ("view", 1, 4.0), ("view", 2, 5.0)]
     visits = memory(relays.sessions(stream, "5 minutes", "1 hour"), "visits", "complete")
     assert sorted((r.user_id, r["count"]) for r in visits.collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_second_group_reads_all(spark, topic, tmp_path):
+    t = topic("events", 2)
+    t.produce(records(spark, [(c, c) for c in "abcd"]))
+    for group in ("one", "two"):
+        seen = []
+        relays.drain(t.stream(), str(tmp_path / group), lambda df, n: seen.extend(r.value for r in df.where("marker IS NULL").collect()))
+        assert sorted(seen) == list("abcd")
+
+
+def test_trigger(spark, tmp_path):
+    folder, seen = str(tmp_path / "rows"), []
+    for ids in ([1, 2], [3]):
+        spark.createDataFrame([(i,) for i in ids], "id int").write.mode("append").parquet(folder)
+        relays.on_append(spark.readStream.schema("id int").parquet(folder), str(tmp_path / "checkpoint"), lambda row: seen.append(row["id"]))
+    assert sorted(seen) == [1, 2, 3]
+
+
+def test_keyed_state(spark, tmp_path):
+    folder = str(tmp_path / "operations")
+    rows = [("a", "put", "x", None, 1), ("a", "put", "y", 0, 2), ("a", "put", "z", 1, 3), ("a", "get", None, None, 4), ("a", "delete", None, None, 5), ("a", "get", None, None, 6), ("b", "get", None, None, 7)]
+    spark.createDataFrame(rows, "key string, kind string, value string, expected long, seq long").coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema("key string, kind string, value string, expected long, seq long").parquet(folder)
+    got = {r.seq: (r.accepted, r.version, r.value) for r in memory(relays.keyed_state(stream), "store", "append").collect()}
+    assert got == {1: (True, 1, "x"), 2: (False, 1, "x"), 3: (True, 2, "z"), 4: (True, 2, "z"), 5: (True, 0, None), 6: (True, 0, None), 7: (True, 0, None)}
+
+
+def test_stores_are_alike(spark, tmp_path):
+    items = lambda *rows: spark.createDataFrame(list(rows), "key string, value string")
+    keys = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
+
+    def story(s):
+        s = s.save(items(("a", "1"), ("b", "2"))).save(items(("a", "3"))).delete(keys.where("key = 'b'"))
+        return sorted(tuple(r) for r in s.get(keys).collect())
+
+    assert story(tables.StateStore.of(spark)) == story(tables.FolderStore(spark, str(tmp_path / "store"))) == [("a", "3", 2), ("b", "", 0), ("c", "", 0)]

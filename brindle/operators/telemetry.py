@@ -6,7 +6,7 @@ from collections import Counter
 from contextlib import contextmanager
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 BOUNDS = (5.0, 25.0, 100.0)
@@ -98,3 +98,9 @@ class Calls:
             return self.hook(function.__name__, lambda: function(*args, **kwargs))
 
         return call
+
+
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """The rows, and metrics of them that are there once they have been computed, in the same pass: ``observation.get``."""
+    seen = Observation(name)
+    return df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), seen

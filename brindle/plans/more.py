@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brindle.functions import fts, ranges, values
+from brindle.functions import extensions, fts, ranges, values
 from brindle.operators import authz, graph, selection, telemetry, writes
 from brindle.plans import named
 from brindle.plans.registry import EDGES, RANGED, _places, _ranged, _trade, _tuples, query
@@ -409,3 +409,21 @@ def cloud_events(t):
 def aligned_lines(t):
     return tables.aligned(t("region").select("r_regionkey", "r_name"))
 
+
+# Functions that are loaded by name and called in SQL text
+@query("SELECT n_nationkey, 2 AS depth, 'x' AS top, 'r' || n_regionkey AS b, sha256(n_name) AS digest, 'cafe' AS plain, n_nationkey = 7 AS same FROM nation")
+def loaded_extensions(t):
+    n = t("nation")
+    extensions.load(n.sparkSession, "trigrams", "labels", "maps", "digests", "accents")
+    return n.sparkSession.sql(
+        "SELECT n_nationkey, nlevel('x.y') AS depth, subpath('x.y', 0, 1) AS top, hstore(concat('a=>1, b=>r', n_regionkey))['b'] AS b, digest_hex(n_name) AS digest, unaccent('café') AS plain, similarity(n_name, 'nation_7') = 1 AS same FROM {n}", n=n
+    )
+
+
+# Catalogs in memory
+@query("SELECT * FROM (VALUES ('ada', 'notes on the engine', 1843), ('ada', 'on looms', 1845), ('grace', 'the compiler', 1952)) AS v(name, title, year)")
+def catalog_in_memory(t):
+    spark = t("region").sparkSession
+    authors = spark.createDataFrame([("a1", "ada", "london"), ("a2", "grace", "new york"), ("a3", "linus", "helsinki")], "id string, name string, city string")
+    books = spark.createDataFrame([("b1", "notes on the engine", 1843, "a1"), ("b2", "on looms", 1845, "a1"), ("b3", "the compiler", 1952, "a2")], "book string, title string, year int, author string")
+    return authors.join(books, F.col("id") == F.col("author")).select("name", "title", "year")

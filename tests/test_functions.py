@@ -126,6 +126,21 @@ def test_recorder_and_calls(spark):
     assert [one(sql(f"SELECT {i}")) for i in range(3)] == [0, 1, 2] and calls.counts == {"sql": 3} and seen == ["sql"] * 3
 
 
+def test_observed(spark):
+    df, seen = telemetry.observed(spark.range(10), "rows", n=F.count(F.lit(1)), top=F.max("id"))
+    assert df.where("id < 3").count() == 3 and seen.get == {"n": 10, "top": 9}
+
+
+def test_extensions(spark):
+    from brindle.functions import extensions
+
+    with pytest.raises(ValueError):
+        extensions.load(spark, "none")
+    assert set(extensions.load(spark, "trigrams", "maps")) == {"show_trgm", "similarity", "hstore", "akeys"}
+    r = spark.sql("SELECT similarity('postgres', 'postgresql') AS s, similarity('', '') AS z, show_trgm('cat') AS t, akeys(hstore('b=>2, a=>1')) AS k").first()
+    assert r.s == pytest.approx(2 / 3) and r.z == 0.0 and sorted(r.t) == ["  c", " ca", "at ", "cat"] and r.k == ["a", "b"]
+
+
 def test_json_changes(spark):
     d = spark.createDataFrame([(1, '{"a":{"b":1},"t":["x"]}'), (2, "[1]"), (3, "7"), (4, "nope"), (5, None), (6, "")], "id int, d string")
     get = lambda c: {r.id: r.v for r in d.select("id", c.alias("v")).collect()}

@@ -145,8 +145,8 @@ QUERIES = {"op6_quality_rules": op6_quality_rules}
 ORACLE = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
 a AS (SELECT doc_id, r, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
-i AS (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM a WHERE len(w) > 2),
-g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS c FROM i),
+i AS (SELECT r, unnest(generate_series(1, len(w) - 2)) AS i, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS three FROM a WHERE len(w) > 2),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, three) AS c FROM i),
 p AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM g WHERE c > 1) GROUP BY r),
 l AS (SELECT r, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS i FROM a WHERE len(lines) > 0),
 m AS (SELECT r, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '[|>]')) AS bars,

@@ -184,7 +184,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None
     found = rows.column("toxic").to_pylist()
     if set(found) != {0, 1}:
         return None
-    return fit(rows.column("text").combine_chunks(), found)
+    model = fit(rows.column("text").combine_chunks(), found)
+    del rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scores(column: pa.Array, value: np.ndarray, bias: float) -> np.ndarray:

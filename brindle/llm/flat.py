@@ -76,12 +76,14 @@ def names(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     size = end - begin
     first = np.cumsum(size) - size
-    within = np.arange(int(first[-1] + size[-1]), dtype=np.int64) - np.repeat(first, size)
+    at = np.arange(int(first[-1] + size[-1]), dtype=np.int64)
+    within = at - np.repeat(first, size)
     power = np.full(int(size.max()), ODD[0], np.uint64)
     power[0] = 1
     power = np.multiply.accumulate(power)
-    value = NUMBER[buf[within + np.repeat(begin, size)]]
-    value *= power[within]
+    at += np.repeat(begin - first, size)
+    value = NUMBER.take(buf.take(at))
+    value *= power.take(within)
     return mixed(np.add.reduceat(value, first) + size.astype(np.uint64) * np.uint64(ODD[1]))
 
 

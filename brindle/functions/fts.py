@@ -1,26 +1,29 @@
 """Full-text search: documents as maps from lexeme to positions, queries as boolean trees over them.
 
-Stemming is the published English Snowball algorithm (Porter2). Stop words are no lexemes and are dropped from queries, but count
-as places. A query of nothing, or of stop words only, matches nothing. Ranks are PostgreSQL's published formulas at its
-default weights.
+Texts are parsed into tokens of documented kinds (``tokens``). Words, hyphenated ones and their parts are stemmed by the published
+English Snowball algorithm (Porter2); all other kinds are lexemes as they stand, in lower case. Stop words are no lexemes and are
+dropped from queries, but count as places. A query of nothing, or of stop words only, matches nothing. Ranks are PostgreSQL's
+published formulas at its default weights. ``textindex`` keeps postings, which answer queries without reading texts again.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.functions import tokens
+from brindle.session import ship
+
 #: English stop words.
 STOP = frozenset(
     "a about above after again all am an and any are as at be because been before being below between both but by can did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with you your".split()
 )
-WORDS = re.compile(r"[^\W_]+")
 VOWELS = "aeiouy"
 
 
@@ -59,6 +62,7 @@ def _longest(w: str, ends) -> str | None:
     return max((e for e in ends if w.endswith(e)), key=len, default=None)
 
 
+@lru_cache(maxsize=1 << 16)
 def stem(w: str) -> str:
     """The stem of a word in lower case."""
     if len(w) <= 2:
@@ -107,23 +111,43 @@ def stem(w: str) -> str:
     return w.replace("Y", "y")
 
 
+@lru_cache(maxsize=1 << 16)
+def lexeme(kind: str, token: str) -> str | None:
+    """The lexeme of a token in lower case; null for a stop word."""
+    if kind.endswith(("word", "part")) and "num" not in kind:
+        return None if token in STOP else stem(token)
+    return token
+
+
+def lexeme_of(token: str) -> str | None:
+    """As lexeme(), of a token of unknown kind."""
+    return lexeme(tokens.expand(token)[0][0] if not token.isalpha() else "word", token)
+
+
 def lexemes(text: str | None) -> dict[str, list[int]]:
     out: dict[str, list[int]] = {}
-    for i, w in enumerate(WORDS.findall((text or "").lower()), 1):
-        if w not in STOP:
-            out.setdefault(stem(w), []).append(i)
+    for i, (kind, token) in enumerate(tokens.indexed(text or ""), 1):
+        if (found := lexeme(kind, token)) is not None:
+            out.setdefault(found, []).append(i)
     return out
 
 
-@F.arrow_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
-def to_tsvector(texts: pa.Array) -> pa.Array:
+def _vectors(texts: pa.Array) -> pa.Array:
     # few texts at a time: a batch's lexemes as Python objects take many times their text
     kind, few = pa.map_(pa.string(), pa.list_(pa.int32())), 256
     return pa.concat_arrays([pa.array([list(lexemes(t.as_py()).items()) for t in texts.slice(i, few)], kind) for i in range(0, max(len(texts), 1), few)])
 
 
-# a filter on the vector would else be pushed below it and compute it again
-to_tsvector = to_tsvector.asNondeterministic()
+def to_tsvector(text: Column) -> Column:
+    """Lexemes with their places, of each text by itself. For many queries over one table build a ``textindex`` instead."""
+    ship(SparkSession.active())
+
+    @F.arrow_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
+    def vectors(texts: pa.Array) -> pa.Array:
+        return _vectors(texts)
+
+    # a filter on the vector would else be pushed below it and compute it again
+    return vectors.asNondeterministic()(text)
 
 
 @dataclass(frozen=True)
@@ -296,12 +320,160 @@ def rank(v: Column, q: Query) -> Column:
     return F.when(missing == 1.0, F.lit(1e-20)).otherwise(1 - missing)
 
 
-def headline(text: Column, q: Query) -> Column:
-    """The text with <b> around words that match."""
-    wanted = frozenset(words_of(q))
-
-    @F.pandas_udf(T.StringType())
-    def mark(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else WORDS.sub(lambda m: f"<b>{m[0]}</b>" if stem(m[0].lower()) in wanted else m[0], x))
+@dataclass(frozen=True)
+class Headline:
+    """How headlines are made: fixed values are the published defaults. Without fragments, one passage of at most ``max_words`` and
+    at least ``min_words`` words; with them, up to ``max_fragments`` of at most ``max_words`` each."""
+
+    max_words: int = 35
+    min_words: int = 15
+    short_word: int = 3
+    highlight_all: bool = False
+    max_fragments: int = 0
+    start: str = "<b>"
+    stop: str = "</b>"
+    delimiter: str = " ... "
+
+    def __post_init__(self):
+        if not 0 < self.min_words < self.max_words:
+            raise ValueError("min_words must be positive and less than max_words")
+        if self.short_word < 0 or self.max_fragments < 0:
+            raise ValueError("short_word and max_fragments must not be negative")
+
+
+def _holds(q: Query, places: dict[str, list[int]]) -> bool:
+    """Whether the places of a passage satisfy the query, with any negation left out."""
+    if q.op == "term":
+        return bool(places.get(q.terms[0]))
+    if q.op == "phrase":
+        first, *rest = q.terms
+        return any(all(p + d in places.get(w, ()) for w, d in rest) for p in places.get(first[0], ()))
+    if q.op in ("and", "or"):
+        return (all if q.op == "and" else any)(_holds(t, places) for t in q.terms)
+    return q.op == "not"
+
+
+def _without_not(q: Query) -> Query:
+    """The query's positive part."""
+    if q.op in ("and", "or"):
+        return joined(q.op, [_without_not(t) for t in q.terms])
+    return NONE if q.op == "not" else q
+
+
+class _Text:
+    """The words of a text: spans, places and which of them the query names."""
+
+    def __init__(self, text: str, wanted: frozenset[str]):
+        self.text = text
+        self.spans: list[tuple[int, int]] = []
+        self.named: list[list[tuple[str, int]]] = []
+        place = 0
+        for begin, end, parts in tokens.scan(text):
+            if parts[0][0] in tokens.DROPPED:
+                continue
+            some = []
+            for kind, token in parts:
+                place += 1
+                if (found := lexeme(kind, token.lower())) in wanted:
+                    some.append((found, place))
+            self.spans.append((begin, end))
+            self.named.append(some)
+
+    def hits(self, a: int, b: int) -> int:
+        return sum(bool(x) for x in self.named[a:b])
+
+    def dull(self, i: int, short: int) -> bool:
+        begin, end = self.spans[i]
+        return end - begin <= short and not self.named[i]
+
+    def marked(self, a: int, b: int, how: Headline, whole: bool = False) -> str:
+        """Words a to b with what stands between them."""
+        if a >= b and not whole:
+            return ""
+        at, stop = (0, len(self.text)) if whole else (self.spans[a][0], self.spans[b - 1][1])
+        out = []
+        for i in range(a, b):
+            begin, end = self.spans[i]
+            out.append(self.text[at:begin])
+            out.append(f"{how.start}{self.text[begin:end]}{how.stop}" if self.named[i] else self.text[begin:end])
+            at = end
+        return "".join(out) + self.text[at:stop]
+
+    def covers(self, q: Query) -> list[tuple[int, int]]:
+        """The shortest passages (words a to b) that satisfy the query, none within another."""
+        at = [i for i, x in enumerate(self.named) if x]
+        out: list[tuple[int, int]] = []
+        for k, i in enumerate(at):
+            places: dict[str, list[int]] = {}
+            for j in at[k:]:
+                for w, p in self.named[j]:
+                    places.setdefault(w, []).append(p)
+                if _holds(q, places):
+                    if out and out[-1][1] >= j + 1:
+                        out.pop()  # it holds this one
+                    out.append((i, j + 1))
+                    break
+            else:
+                break  # no later beginning finds more
+        return out
+
+
+def make_headline(text: str, q: Query, how: Headline = Headline()) -> str:
+    """The passage or fragments of the text that show the query best, with its words marked."""
+    q = _without_not(q)
+    t = _Text(text, frozenset(words_of(q)))
+    n = len(t.spans)
+    if how.highlight_all:
+        return t.marked(0, n, how, whole=True)
+    covers = t.covers(q) if q.op != "none" else []
+    if not covers:
+        return t.marked(0, min(n, how.min_words), how)
+    if not how.max_fragments:
+        best: tuple | None = None
+        for a, b in covers:
+            b = min(b, a + how.max_words)
+            while b < n and b - a < how.max_words and (b - a < how.min_words or t.dull(b - 1, how.short_word)):
+                b += 1
+            while b - a > how.min_words and t.dull(b - 1, how.short_word):
+                b -= 1
+            while a > 0 and b - a < how.min_words:
+                a -= 1
+            while b - a > how.min_words and t.dull(a, how.short_word):
+                a += 1
+            if best is None or t.hits(a, b) > best[0]:
+                best = (t.hits(a, b), a, b)
+        return t.marked(best[1], best[2], how)
+    # covers that are too long are cut into pieces that begin and end with words of the query
+    pieces = []
+    for a, b in covers:
+        while a < b:
+            end = min(b, a + how.max_words)
+            last = max(i for i in range(a, end) if t.named[i]) + 1
+            pieces.append((a, last))
+            a = next((i for i in range(last, b) if t.named[i]), b)
+    chosen: list[tuple[int, int]] = []
+    for a, b in sorted(dict.fromkeys(pieces), key=lambda p: (-t.hits(*p), p[1] - p[0], p[0])):
+        if len(chosen) == how.max_fragments:
+            break
+        if any(a < d and c < b for c, d in chosen):
+            continue
+        room = how.max_words - (b - a)
+        low, high = max([0, *(d for _, d in chosen if d <= a)]), min([n, *(c for c, _ in chosen if c >= b)])
+        left, right = max(low, a - room // 2), min(high, b + room - room // 2)
+        while left < a and t.dull(left, how.short_word):
+            left += 1
+        while right > b and t.dull(right - 1, how.short_word):
+            right -= 1
+        chosen.append((left, right))
+    return how.delimiter.join(t.marked(a, b, how) for a, b in sorted(chosen))
+
+
+def headline(text: Column, q: Query, how: Headline = Headline()) -> Column:
+    """Headlines of a column of texts; null for null."""
+    ship(SparkSession.active())
+
+    @F.arrow_udf(T.StringType())
+    def mark(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else make_headline(t, q, how) for t in texts.to_pylist()], pa.string())
 
     return mark(text)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,7 +31,9 @@ def build(app: str = "brindle", master: str | None = None, **conf: str) -> Spark
     b = b.master(master) if master else b
     for k, v in (SETTINGS | conf).items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:
@@ -44,3 +48,15 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"{top.name}/{f.relative_to(top)}")
     sc.addPyFile(path)
     sc._brindle_shipped = sc.applicationId
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in that of ``spark.checkpoint.dir``, which all nodes share. Where it is unset and there is but one machine, one
+    of its own is made; a cluster without it is an error."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="brindle-checkpoint-"))
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

@@ -69,13 +69,16 @@ def render(r: Column) -> Column:
 
 
 def inet(text: Column) -> Column:
-    """'a.b.c.d/n' -> struct<addr, masklen>; without a mask, 32."""
+    """'a.b.c.d/n' -> struct<addr, masklen>; without a mask, 32. An error for what is no such address."""
+    octet, mask_size = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])", "(?:3[0-2]|[12]?[0-9])"
+    known = text.rlike(rf"^{octet}(?:\.{octet}){{3}}(?:/{mask_size})?$")
     parts = F.split(F.substring_index(text, "/", 1), r"\.")
     addr = F.lit(0).cast("long")
     for i in range(4):
         addr = addr * 256 + F.element_at(parts, i + 1).cast("long")
     mask = F.when(text.contains("/"), F.substring_index(text, "/", -1).cast("int")).otherwise(F.lit(32))
-    return F.struct(addr.alias("addr"), mask.alias("masklen"))
+    found = F.struct(addr.alias("addr"), mask.alias("masklen"))
+    return F.when(known, found).when(text.isNotNull(), F.raise_error(F.concat(F.lit("invalid input syntax for type inet: "), text)))
 
 
 def _network(a: Column, masklen: Column) -> Column:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
+from decimal import Decimal
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -196,105 +199,179 @@ def has_key(doc: Column, k: str) -> Column:
     return F.coalesce(F.array_contains(F.json_object_keys(doc), k), F.lit(False))
 
 
-def json_contains(doc: Column, literal: str) -> Column:
-    """doc @> literal: objects by key, arrays by element, scalars by equality, at any depth."""
-    want = json.loads(literal)
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the value, which is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _json(doc: Column) -> Column:
+    """A text that is one JSON value as a variant, else null. The parser stops after a value: within an array and within an object,
+    what follows it breaks one or the other."""
+
+    def whole(d: Column) -> Column:
+        named = F.try_parse_json(F.concat(F.lit('{"v":'), d, F.lit("}")))
+        return _let(_items(F.try_parse_json(F.concat(F.lit("["), d, F.lit("]")))), lambda x: F.when((F.size(x) == 1) & named.isNotNull(), F.get(x, F.lit(0))))
+
+    return _let(doc, whole)
+
+
+def _object(v: Column) -> Column:
+    """A variant's fields as a map; null if it is no object."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _items(v: Column) -> Column:
+    """A variant's elements; null if it is no array."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _text(value: Column) -> Column:
+    """A variant as text. Its own fields are written by the length of their names, then by their bytes, inner ones by name; numbers
+    in their shortest form, doubles where they have more than 38 digits."""
+
+    def written(v: Column, fields: Column) -> Column:
+        named = F.transform(F.map_entries(fields), lambda e: F.struct(F.octet_length(e["key"]).alias("n"), F.encode(e["key"], "utf-8").alias("b"), e["key"].alias("k"), F.to_json(e["value"]).alias("v")))
+        parts = F.transform(F.array_sort(named), lambda x: F.concat(F.to_json(x["k"].cast("variant")), F.lit(":"), x["v"]))
+        return F.when(fields.isNotNull(), F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))).otherwise(F.to_json(v))
+
+    return _let(value, lambda v: _let(_object(v), lambda fields: written(v, fields)))
 
-    def inside(have, part) -> bool:
-        if isinstance(part, dict):
-            return isinstance(have, dict) and all(k in have and inside(have[k], v) for k, v in part.items())
-        if isinstance(part, list):
-            return isinstance(have, list) and all(any(inside(h, p) for h in have) for p in part)
-        return type(have) is type(part) and have == part
 
-    @F.pandas_udf(T.BooleanType())
-    def test(s: pd.Series) -> pd.Series:
-        def one(x):
-            try:
-                return inside(json.loads(x), want)
-            except (TypeError, ValueError):
-                return None
+def _variant(value) -> Column:
+    """A Python value as a variant; numbers keep their digits."""
+    return F.parse_json(F.lit(json.dumps(value, ensure_ascii=False, cls=_Digits)))
 
-        return s.map(one)
 
-    return test(doc)
+class _Digits(json.JSONEncoder):
+    """Decimals as numbers."""
 
+    def iterencode(self, o, _one_shot=False):
+        if isinstance(o, Decimal):
+            return iter([format(o, "f")])
+        if isinstance(o, dict):
+            return iter(["{", ",".join(f"{json.dumps(k, ensure_ascii=False)}:{self.encode(v)}" for k, v in o.items()), "}"])
+        if isinstance(o, (list, tuple)):
+            return iter(["[", ",".join(self.encode(v) for v in o), "]"])
+        return super().iterencode(o, _one_shot)
 
-def _rewritten(doc: Column, change) -> Column:
-    """Documents of any shape, parsed and written again; null where there is no JSON, the text as it came where the change does
-    not apply."""
+    def encode(self, o) -> str:
+        return "".join(self.iterencode(o))
 
-    @F.pandas_udf(T.StringType())
-    def put(s: pd.Series) -> pd.Series:
-        def one(x):
-            try:
-                d = json.loads(x)
-            except (TypeError, ValueError):
-                return None
-            return json.dumps(change(d), separators=(",", ":"), ensure_ascii=False)
 
-        return s.map(one)
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
 
-    return put(doc)
+
+def _literal(text: str):
+    """A JSON text; NaN and Infinity are none."""
+    return json.loads(text, parse_float=Decimal, parse_constant=_no_constant)
+
+
+def _equals(have: Column, scalar) -> Column:
+    """Whether a variant is the given scalar; numbers are equal by value."""
+    kind = F.schema_of_variant(have)
+    if scalar is None:
+        return F.is_variant_null(have)
+    if isinstance(scalar, bool):
+        return (kind == "BOOLEAN") & (F.try_variant_get(have, "$", "boolean") == F.lit(scalar))
+    if isinstance(scalar, str):
+        return (kind == "STRING") & (F.try_variant_get(have, "$", "string") == F.lit(scalar))
+    # exact numbers by their text, which is the shortest one, others as doubles
+    plain = format(Decimal(scalar).normalize(), "f")
+    as_double = (kind == "DOUBLE") & (F.try_variant_get(have, "$", "double") == F.lit(float(scalar)))
+    return F.when(kind.rlike("^(BIGINT|DECIMAL)"), F.to_json(have) == F.lit(plain)).otherwise(as_double)
+
+
+def json_contains(doc: Column, literal: str) -> Column:
+    """doc @> literal: objects by key, arrays by element, scalars by equality, at any depth; at the top an array also contains a
+    scalar that is one of its elements. Null where the document is no JSON."""
+
+    def holds(part) -> Callable[[Column], Column]:
+        return lambda have: inside(have, part)
+
+    def all_of(tests: list[Column], there: Column) -> Column:
+        return F.coalesce(reduce(lambda a, b: a & F.coalesce(b, F.lit(False)), tests, there.isNotNull()), F.lit(False))
+
+    def inside(have: Column, part) -> Column:
+        if isinstance(part, dict):
+            return _let(_object(have), lambda fields: all_of([_let(F.try_element_at(fields, F.lit(k)), holds(v)) for k, v in part.items()], fields))
+        if isinstance(part, list):
+            return _let(_items(have), lambda items: all_of([F.exists(items, holds(p)) for p in part], items))
+        return F.coalesce(_equals(have, part), F.lit(False))
+
+    want = _literal(literal)
+    found = (lambda v: inside(v, want)) if isinstance(want, (dict, list)) else (lambda v: inside(v, want) | inside(v, [want]))
+    return _let(_json(doc), lambda v: F.when(v.isNotNull(), found(v)))
 
 
 def json_set(doc: Column, path: tuple, value) -> Column:
     """The value put at a path of keys and places. As a path without its parent, or into a scalar, changes nothing; a place past an
-    array's end is appended, one before its beginning is put first."""
-
-    def change(d):
-        at = d
-        for k in path[:-1]:
-            if not (isinstance(at, dict) and k in at or isinstance(at, list) and isinstance(k, int) and -len(at) <= k < len(at)):
-                return d
-            at = at[k]
-        k = path[-1]
-        if isinstance(at, dict):
-            at[str(k)] = value
-        elif isinstance(at, list) and isinstance(k, int):
-            if -len(at) <= k < len(at):
-                at[k] = value
-            else:
-                at.insert(0 if k < 0 else len(at), value)
-        return d
-
-    return _rewritten(doc, change)
+    array's end is appended, one before its beginning is put first. Null where there is no JSON. Written by _text."""
+
+    def put(at: Column, steps: tuple) -> Column:
+        if not steps:
+            return _variant(value)
+        return _let(_object(at), lambda fields: _let(_items(at), lambda items: changed(at, fields, items, steps[0], steps[1:])))
+
+    def changed(at: Column, fields: Column, items: Column, k, rest: tuple) -> Column:
+        name = F.lit(str(k))
+        there = F.map_contains_key(fields, name)
+        field = put(F.try_element_at(fields, name), rest)
+        out = F.when(fields.isNotNull() & (there if rest else F.lit(True)), F.to_variant_object(F.map_concat(F.map_filter(fields, lambda f, _: f != name), F.create_map(name, field)))).otherwise(at)
+        if isinstance(k, int):
+            place = F.lit(k) if k >= 0 else F.size(items) + k
+            known = (place >= 0) & (place < F.size(items))
+            out = F.when(items.isNotNull() & known, F.to_variant_object(F.transform(items, lambda x, i: F.when(i == place, put(x, rest)).otherwise(x)))).otherwise(out)
+            if not rest:
+                one = F.array(_variant(value))
+                out = F.when(items.isNotNull() & ~known, F.to_variant_object(F.concat(items, one) if k >= 0 else F.concat(one, items))).otherwise(out)
+        return out
+
+    return _text(_let(_json(doc), lambda v: put(v, path)))
 
 
 def json_merge(doc: Column, literal: str, drop: tuple[str, ...] = ()) -> Column:
     """(doc - keys) || literal at the top level. Of an array, strings among the keys go and the literal's elements are appended; a
-    scalar stands for the array of it."""
-    more = json.loads(literal)
+    scalar stands for the array of it. Written by _text."""
+    more, gone = _literal(literal), [str(k) for k in drop]
+    tail = F.array(*[_variant(x) for x in (more if isinstance(more, list) else [more])]) if more != [] else F.slice(F.array(_variant(0)), 1, 0)
+
+    def is_gone(x: Column) -> Column:
+        return F.coalesce((F.schema_of_variant(x) == "STRING") & F.try_variant_get(x, "$", "string").isin(gone), F.lit(False)) if gone else F.lit(False)
+
+    def merged_fields(fields: Column) -> Column:
+        kept = F.map_filter(fields, lambda k, _: ~k.isin(gone + list(more))) if gone or more else fields
+        return F.to_variant_object(F.map_concat(kept, F.create_map(*[x for k, m in more.items() for x in (F.lit(k), _variant(m))])) if more else kept)
 
-    def change(d):
-        if isinstance(d, dict) and isinstance(more, dict):
-            return {k: v for k, v in d.items() if k not in drop} | more
-        left = [x for x in d if not isinstance(x, str) or x not in drop] if isinstance(d, list) else [d]
-        return left + (more if isinstance(more, list) else [more])
+    def change(v: Column, fields: Column, items: Column) -> Column:
+        listed = F.to_variant_object(F.concat(F.when(items.isNotNull(), F.filter(items, lambda x: ~is_gone(x))).otherwise(F.array(v)), tail))
+        out = F.when(v.isNotNull(), listed)
+        return F.when(fields.isNotNull(), merged_fields(fields)).otherwise(out) if isinstance(more, dict) else out
 
-    return _rewritten(doc, change)
+    return _text(_let(_json(doc), lambda v: _let(_object(v), lambda fields: _let(_items(v), lambda items: change(v, fields, items)))))
 
 
 def json_kind(doc: Column) -> Column:
-    """object, array or scalar; null if it is no JSON. Repeated keys are JSON here."""
+    """object, array or scalar; null if it is no JSON. Repeated keys are JSON here; NaN and Infinity are none."""
 
-    @F.pandas_udf(T.StringType())
-    def kind(s: pd.Series) -> pd.Series:
-        def one(x):
-            try:
-                v = json.loads(x)
-            except (TypeError, ValueError):
-                return None
-            return "object" if isinstance(v, dict) else "array" if isinstance(v, list) else "scalar"
+    def repeated(d: Column) -> Column:
+        # a variant has no key twice: such documents are parsed as text by strict rules, within an array and within an object, as
+        # whatever ends the one early breaks the other
+        strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+        listed = F.from_json(F.concat(F.lit("["), d, F.lit("]")), "array<string>", strict)
+        named = F.from_json(F.concat(F.lit('{"v":'), d, F.lit("}")), "map<string,string>", strict)
+        first = F.substring(F.ltrim(d, F.lit(" \t\r\n")), 1, 1)
+        return F.when((F.size(listed) == 1) & (F.size(named) == 1), F.when(first == "{", F.lit("object")).when(first == "[", F.lit("array")))
 
-        return s.map(one)
+    def kind(v: Column) -> Column:
+        return F.when(_object(v).isNotNull(), F.lit("object")).when(_items(v).isNotNull(), F.lit("array")).otherwise(F.lit("scalar"))
 
-    return kind(doc)
+    return _let(doc, lambda d: _let(_json(d), lambda v: F.when(v.isNotNull(), kind(v)).otherwise(repeated(d))))
 
 
 def json_unique_keys(doc: Column) -> Column:
     """Whether it is JSON and no object repeats a key."""
-    return F.try_parse_json(doc).isNotNull()
+    return _json(doc).isNotNull()
 
 
 def json_table(doc: Column, ddl: str) -> Column:

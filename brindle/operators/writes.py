@@ -3,8 +3,9 @@ written by one atomic overwrite or swap of a folder. Row locks have no counterpa
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,17 @@ def first_per_key(df: DataFrame, keys: Keys, order: Sequence[Column]) -> DataFra
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
 
 
+def once_per_key(change: DataFrame, keys: Keys, command: str) -> DataFrame:
+    """The rows of a change; an error when it runs if a key occurs twice in it, as what the row becomes would depend on their
+    order. Null keys equal none. The check partitions by the key, as the join that follows does."""
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    twice = known & (F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1)
+    checked = F.when(twice, F.raise_error(F.lit(f"{command} command cannot affect row a second time")).cast("boolean")).otherwise(F.lit(True))
+    return change.withColumn("__once", checked).where("__once").drop("__once")
+
+
 def insert_returning(old: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return old.unionByName(rows), rows
 
@@ -34,7 +46,8 @@ def with_identity(rows: DataFrame, name: str, order: Sequence[Column], start: in
 
 def upsert(old: DataFrame, new: DataFrame, keys: Keys, matched: dict[str, Callable[[Callable, Callable], Column]]) -> tuple[DataFrame, DataFrame]:
     """INSERT ... ON CONFLICT DO UPDATE: ``matched`` maps a column to a function of (old column, new column) accessors.
-    Returned: the inserted and updated rows."""
+    Returned: the inserted and updated rows. An error if the new rows have a key twice."""
+    new = once_per_key(new, keys, "ON CONFLICT DO UPDATE")
     o = old.select(*[F.col(c).alias(f"o_{c}") for c in old.columns], F.lit(True).alias("o__"))
     n = new.select(*[F.col(c).alias(f"n_{c}") for c in old.columns], F.lit(True).alias("n__"))
     cond = F.lit(True)
@@ -88,7 +101,8 @@ def skip_locked(jobs: DataFrame, held: DataFrame, key: str) -> DataFrame:
 
 def merge(target: DataFrame, source: DataFrame, keys: Keys, update: dict[str, Callable] | None = None, insert: bool = True, orphan: dict[str, Column] | None = None, delete_orphans: bool = False) -> tuple[DataFrame, DataFrame]:
     """MERGE: matched update, not matched insert, not matched by source update or delete. Returned: changed rows with
-    merge_action."""
+    merge_action. An error if the source has a key twice."""
+    source = once_per_key(source, keys, "MERGE")
     o = target.select(*[F.col(c).alias(f"o_{c}") for c in target.columns], F.lit(1).alias("o__"))
     n = source.select(*[F.col(c).alias(f"n_{c}") for c in source.columns], F.lit(1).alias("n__"))
     cond = F.lit(True)
@@ -165,15 +179,38 @@ def rejected(violations: DataFrame) -> bool:
     return not violations.isEmpty()
 
 
-def compare_and_set(state: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """State rows (key, value, version); writes (key, value, expected): accepted iff expected is the version, 0 for a new key."""
-    j = writes.join(state.select(F.col("key").alias("__k"), F.col("version").alias("__v")), F.col("key") == F.col("__k"), "left")
-    judged = j.select("key", "value", "expected", (F.coalesce("__v", F.lit(0)) == F.col("expected")).alias("accepted"))
-    good = judged.where("accepted").select("key", "value", (F.col("expected") + 1).alias("version"))
+def compare_and_set(state: DataFrame, writes: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """State rows (key, value, version); writes (key, value, expected): accepted iff expected is the version, 0 for a new key.
+    With a column ``order``, writes of one key are judged one after the other, each against what the accepted ones before it
+    left; without, a key that is written twice is an error. Returned: the new state, and the writes with ``accepted``."""
+    current = state.select(F.col("key").alias("__k"), F.col("version").alias("__v"))
+    if order is None:
+        j = once_per_key(writes, ["key"], "compare-and-set").join(current, F.col("key") == F.col("__k"), "left")
+        judged = j.select("key", "value", "expected", (F.coalesce("__v", F.lit(0)) == F.col("expected")).alias("accepted"))
+    else:
+        j = writes.join(current, F.col("key") == F.col("__k"), "left").withColumn("__v", F.coalesce("__v", F.lit(0)).cast("long"))
+        kinds = writes.schema
+        asked = j.select(F.col("key").alias("key"), F.col("value").alias("value"), F.col("expected").cast("long").alias("expected"), F.col(order).alias(order), "__v")
+        ddl = ", ".join([f"key {kinds['key'].dataType.simpleString()}", f"value {kinds['value'].dataType.simpleString()}", "expected bigint", f"`{order}` {kinds[order].dataType.simpleString()}", "accepted boolean"])
+        judged = asked.repartition("key").sortWithinPartitions("key", order).mapInArrow(_in_turn, ddl)
+    good = judged.where("accepted").groupBy("key").agg(F.max_by("value", "expected").alias("value"), (F.max("expected") + 1).alias("version"))
     new = state.join(good, "key", "left_anti").unionByName(good)
     return new, judged
 
 
+def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each write judged after those before it; rows are sorted by key and order, and only the last key's version is kept."""
+    last, version = None, 0
+    for b in batches:
+        accepted = []
+        for key, expected, first in zip(b.column("key").to_pylist(), b.column("expected").to_pylist(), b.column("__v").to_pylist()):
+            if key != last:
+                last, version = key, first
+            accepted.append(key is not None and expected == version)
+            version += accepted[-1]
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(accepted, pa.bool_())], names=[*b.schema.names[:4], "accepted"])
+
+
 def apply_operations(state: DataFrame, ops: DataFrame) -> DataFrame:
     """A state transaction: ops (seq, kind upsert or delete, key, value), the last of a key wins, all in one new state."""
     last = ops.groupBy("key").agg(F.max_by(F.struct("kind", "value"), "seq").alias("o"))

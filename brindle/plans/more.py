@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brindle.functions import extensions, fts, ranges, values
-from brindle.operators import authz, graph, selection, telemetry, writes
+from brindle.operators import authz, graph, selection, telemetry, textindex, writes
 from brindle.plans import named
 from brindle.plans.registry import EDGES, RANGED, _places, _ranged, _trade, _tuples, query
 from brindle.sources import logstore, tables
@@ -159,6 +160,24 @@ def compare_and_set_state(t):
     return writes.compare_and_set(state, asks)[0].select("key", "value", "version")
 
 
+# Each user's events write one key in turn, two of them expecting each version
+@query("SELECT event_id AS seq, user_id::VARCHAR AS key, (row_number() OVER (PARTITION BY user_id ORDER BY event_id)) % 2 = 1 AS accepted, (1 + (count(*) OVER (PARTITION BY user_id) + 1) // 2)::BIGINT AS version FROM events")
+def compare_and_set_in_turn(t):
+    e = t("events").select(text("user_id").alias("key"), F.col("event_id").alias("seq"), text("event_id").alias("value"))
+    state = e.select("key", F.lit("v").alias("value"), F.lit(1).cast("long").alias("version")).distinct()
+    place = F.row_number().over(Window.partitionBy("key").orderBy("seq"))
+    new, judged = writes.compare_and_set(state, e.withColumn("expected", F.ceil(place / 2)), "seq")
+    return judged.join(new.select("key", "version"), "key").select("seq", "key", "accepted", "version")
+
+
+# A change whose keys repeat, cut to its first row a key before the upsert, which would reject it
+@query("WITH f AS (SELECT user_id AS k, min(event_id) AS id FROM events GROUP BY user_id) SELECT coalesce(c_custkey, k) AS k, CASE WHEN c_custkey IS NULL THEN id WHEN k IS NULL THEN 0 ELSE -id END::BIGINT AS hits FROM customer FULL JOIN f ON c_custkey = k")
+def upsert_first_of_repeated(t):
+    old = t("customer").select(F.col("c_custkey").alias("k"), F.lit(0).cast("long").alias("hits"))
+    change = t("events").select(F.col("user_id").alias("k"), F.col("event_id").alias("hits"))
+    return writes.upsert(old, writes.first_per_key(change, ["k"], ["hits"]), ["k"], {"hits": lambda _, n: -n("hits")})[0]
+
+
 @query("WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS kind, max(event_id) AS id FROM events GROUP BY user_id) SELECT user_id::VARCHAR AS key, id::VARCHAR AS value FROM l WHERE kind <> 'purchase'")
 def state_transaction(t):
     ops = t("events").select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "delete").otherwise("upsert").alias("kind"), text("user_id").alias("key"), text("event_id").alias("value"))
@@ -345,15 +364,26 @@ def json_changes(t):
     return t("events").select("event_id", values.json_set(p, ("k",), 100).alias("put"), values.json_merge(p, '{"active":true}', ("k",)).alias("merged"), values.json_contains(p, '{"k": 5}').alias("holds"))
 
 
-# What is JSON, of which kind
-KINDS = "(VALUES (1, '{\"a\":1}', true, 'object', true), (2, '[1,2]', true, 'array', true), (3, '7', true, 'scalar', true), (4, 'nope', false, NULL, false), (5, '{\"a\":1,\"a\":2}', true, 'object', false))"
+# What is JSON, of which kind: props of events, some of them made into other kinds or spoilt
+KIND_DOC = "CASE event_id % 9 WHEN 0 THEN props WHEN 1 THEN '[' || props || ',7]' WHEN 2 THEN event_id::{0} WHEN 3 THEN substr(props, 2) WHEN 4 THEN substr(props, 1, length(props) - 1) || ',\"k\":2}}' WHEN 5 THEN 'NaN' WHEN 6 THEN props || ' x' WHEN 7 THEN '\"' || event_type || '\"' ELSE '[' || props || ',Infinity]' END"
+KIND_OF = "CASE event_id % 9 WHEN 0 THEN 'object' WHEN 1 THEN 'array' WHEN 2 THEN 'scalar' WHEN 4 THEN 'object' WHEN 7 THEN 'scalar' END"
 
 
-@query(f"SELECT * FROM {KINDS} AS v(id, doc, valid, kind, unique_keys)")
+@query(f"SELECT event_id, doc, kind IS NOT NULL AS valid, kind, event_id % 9 IN (0, 1, 2, 7) AS unique_keys FROM (SELECT event_id, {KIND_DOC.format('VARCHAR')} AS doc, {KIND_OF} AS kind FROM events WHERE props IS NOT NULL)")
 def json_kinds(t):
-    d = t("nation").sparkSession.sql(f"SELECT id, doc FROM VALUES {KINDS[8:-1]} AS v(id, doc, valid, kind, unique_keys)")
+    d = t("events").where("props IS NOT NULL").select("event_id", F.expr(KIND_DOC.format("string").replace("event_id::string", "cast(event_id AS string)")).alias("doc"))
     kind = values.json_kind(F.col("doc"))
-    return d.select("id", "doc", kind.isNotNull().alias("valid"), kind.alias("kind"), values.json_unique_keys(F.col("doc")).alias("unique_keys"))
+    return d.select("event_id", "doc", kind.isNotNull().alias("valid"), kind.alias("kind"), values.json_unique_keys(F.col("doc")).alias("unique_keys"))
+
+
+# containment by value and by element, where numbers are written in other ways
+@query("SELECT event_id, k = 5 AS by_value, k BETWEEN 4 AND 6 AS by_element, false AS other FROM (SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events)")
+def json_containment(t):
+    k = F.get_json_object("props", "$.k").cast("int")
+    doc = F.concat(F.lit('{"a":[{"k":'), k, F.lit('.0,"z":null},"s"],"n":'), k, F.lit("}"))
+    near = F.concat(F.lit("["), k - 1, F.lit(","), k, F.lit(".0,"), k + 1, F.lit("]"))
+    c = values.json_contains
+    return t("events").select("event_id", (c(doc, '{"a":[{"k":5,"z":null}]}') & c(doc, '{"n":5.00}')).alias("by_value"), c(near, "5").alias("by_element"), (c(doc, '{"a":{"k":5}}') | c(doc, '{"n":"5"}') | c(near, "[[5]]")).alias("other"))
 
 
 # Times, random values and identifiers, by their properties
@@ -374,16 +404,16 @@ TF = "len(list_filter(ws, lambda x: x IN ('{0}', '{0}s')))"
 
 @query("WITH d AS (SELECT doc_id, " + ", ".join(TF.format(w) + f" AS {w}" for w in ("idiot", "clown", "moron")) + f" FROM ({WORDS})) SELECT doc_id, round((list_sum(list_transform(generate_series(1, clown), lambda j: 0.1 / (j * j)))::DOUBLE) / 1.64493406685, 6) AS rank FROM d WHERE clown > 0 AND idiot = 0 AND moron = 0")
 def full_text_boolean(t):
-    v = t("documents").select("doc_id", fts.to_tsvector(F.col("text")).alias("v"))
-    q = fts.to_tsquery("clowns & !(idiot | moron)")
-    return v.where(fts.matches(F.col("v"), q)).select("doc_id", F.round(fts.rank(F.col("v"), fts.to_tsquery("clown")), 6).alias("rank"))
+    found = textindex.of_table(t("documents"), "doc_id", "text").search(fts.to_tsquery("clowns & !(idiot | moron)"), fts.to_tsquery("clown"))
+    return found.select(F.col("key").alias("doc_id"), F.round("rank", 6).alias("rank"))
 
 
 @query(f"SELECT doc_id, len(ws)::INT AS n FROM ({WORDS}) WHERE len(list_filter(ws, lambda x: x IN ('idiot', 'idiots'))) > 0 AND len(list_filter(ws, lambda x: x IN ('scum', 'scums'))) = 0")
 def full_text_websearch(t):
-    d = t("documents").select("doc_id", "text", fts.to_tsvector(F.col("text")).alias("v"))
+    d = t("documents")
+    found = textindex.of_table(d, "doc_id", "text").find(fts.websearch_to_tsquery("the idiot -scum"))
     ws = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return d.where(fts.matches(F.col("v"), fts.websearch_to_tsquery("the idiot -scum"))).select("doc_id", F.size(ws).alias("n"))
+    return d.join(found.select(F.col("key").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.size(ws).alias("n"))
 
 
 # Contents of multiranges

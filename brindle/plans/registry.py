@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import fts, ranges, values
-from brindle.operators import authz, graph, telemetry, writes
+from brindle.operators import authz, graph, telemetry, textindex, writes
 from brindle.session import configure, ship
 from brindle.sources import logstore, tables
 
@@ -505,9 +505,8 @@ OR_RANK = "coalesce(list_sum(list_transform(generate_series(1, {0}), lambda j: 0
 
 @query(f"SELECT doc_id, round(({OR_RANK.format('a')} + {OR_RANK.format('b')}) / 2, 6) AS rank FROM (SELECT doc_id, {FORMS.format('idiot')} AS a, {FORMS.format('clown')} AS b FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents)) WHERE a > 0 OR b > 0")
 def full_text(t):
-    q = fts.to_tsquery("idiots | clown")
-    d = t("documents").select("doc_id", fts.to_tsvector(F.col("text")).alias("v"))
-    return d.where(fts.matches(F.col("v"), q)).select("doc_id", F.round(fts.rank(F.col("v"), q), 6).alias("rank"))
+    found = textindex.of_table(t("documents"), "doc_id", "text").search(fts.to_tsquery("idiots | clown"))
+    return found.select(F.col("key").alias("doc_id"), F.round("rank", 6).alias("rank"))
 
 
 # S12 S37-S39

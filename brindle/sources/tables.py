@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from brindle.operators.writes import once_per_key
+
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -75,7 +77,8 @@ class StateStore:
         return cls(spark.createDataFrame([], "key string, value string, version bigint"))
 
     def save(self, items: DataFrame) -> StateStore:
-        """Items (key, value): put, and count the version up."""
+        """Items (key, value): put, and count the version up. An error when it runs if a key is put twice."""
+        items = once_per_key(items, ["key"], "save")
         old = self.rows.select(F.col("key").alias("__k"), F.col("version").alias("__v"))
         new = items.join(old, F.col("key") == F.col("__k"), "left").select("key", "value", (F.coalesce("__v", F.lit(0)) + 1).alias("version"))
         return StateStore(self.rows.join(items.select("key"), "key", "left_anti").unionByName(new))

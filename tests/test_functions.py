@@ -151,6 +151,28 @@ def test_json_changes(spark):
     assert get(values.json_kind(F.col("d"))) == {1: "object", 2: "array", 3: "scalar", 4: None, 5: None, 6: None}
 
 
+@pytest.mark.parametrize(
+    "doc, literal, holds",
+    [('{"a":1.0}', '{"a":1}', True), ('{"a":1}', '{"a":1.00}', True), ('["a","b"]', '"a"', True), ('[["a"]]', '["a"]', False), ('[["a","b"],3]', '[["a"]]', True), ("[1,2,3]", "[3,1,1]", True), ('{"a":"1"}', '{"a":1}', False), ('{"a":null}', '{"a":null}', True),
+     ("{}", '{"a":null}', False), ('{"a":{"b":[1,{"c":true}]},"d":2}', '{"a":{"b":[{"c":true}]}}', True), ("1e2", "100", True), ("[1]", "[]", True), ("{}", "{}", True), ("[]", "{}", False), ('"a"', '["a"]', False), ("12345678901234567890.1230", "12345678901234567890.123", True), ("100", "1e2", True), ("[100.0,-0]", "[1e2,0]", True), ("true", "1", False), ("0.5", "0.50", True), ("10", "1", False), ("nope", "{}", None)],
+)
+def test_json_contains(spark, doc, literal, holds):
+    assert one(spark.createDataFrame([(doc,)], "d string").select(values.json_contains(F.col("d"), literal))) == holds
+
+
+def test_json_in_the_jvm(spark):
+    """Digits are kept, no Python runs, NaN is no JSON, repeated keys are."""
+    d = spark.createDataFrame([(1, '{"n":12345678901234567890.123,"a":[1,[2,3]]}')], "id int, d string")
+    out = d.select(values.json_set(F.col("d"), ("a", 1, -1), {"x": [None, True]}).alias("s"), values.json_merge(F.col("d"), '{"b":0.10}', ("a",)).alias("m"))
+    assert tuple(out.first()) == ('{"a":[1,[2,{"x":[null,true]}]],"n":12345678901234567890.123}', '{"b":0.1,"n":12345678901234567890.123}')
+    assert "Python" not in out._jdf.queryExecution().toString() and "Arrow" not in out._jdf.queryExecution().toString()
+    kinds = {'{"a":1,"a":2}': "object", '[{"a":1,"a":2}]': "array", "NaN": None, "-Infinity": None, "[NaN]": None, '{"a":1,"a":NaN}': None, '{"a":1,"a":2} x': None, '{"a":1,"a":2}]': None, '{"a":1,"a":2}],{"b":1}': None, '{"a":1,"a":2}},{"b":1}': None, ' {"a":1,"a":2}\n': "object", "{'a':1,'a':2}": None, "null": "scalar", "": None, '{"a":1': None, "1 2": None}
+    rows = spark.createDataFrame([(k,) for k in kinds], "d string").select("d", values.json_kind(F.col("d")).alias("k"), values.json_unique_keys(F.col("d")).alias("u")).collect()
+    assert {r.d: r.k for r in rows} == kinds and {r.d for r in rows if r.u} == {"null"}
+    more = spark.createDataFrame([('["x","y",1]',), ('"s"',), ("{}",)], "d string").select(values.json_merge(F.col("d"), "[2]", ("x",)).alias("l"), values.json_merge(F.col("d"), "{}", ("x",)).alias("o"), values.json_set(F.col("d"), (0,), "z").alias("s"))
+    assert [tuple(r) for r in more.collect()] == [('["y",1,2]', '["y",1,{}]', '["z","y",1]'), ('["s",2]', '["s",{}]', '"s"'), ("[{},2]", "{}", '{"0":"z"}')]
+
+
 @pytest.mark.parametrize("word, stem", [x.split(":") for x in "running:run indexes:index tables:tabl reclaims:reclaim quickly:quick cats:cat generalization:general consistency:consist knightly:knight hoping:hope hopping:hop dying:die news:news agreed:agre conditional:condit sky:sky y:y by:by toy:toy flies:fli succeeding:succeed".split()])
 def test_stems(word, stem):
     assert fts.stem(word) == stem
@@ -243,3 +265,35 @@ def test_locks():
     assert k.acquire("a", "jobs") and k.acquire("a", "jobs") and not k.acquire("b", "jobs")
     assert k.release("a", "jobs") and not k.acquire("b", "jobs") and k.release("a", "jobs") and k.acquire("b", "jobs")
     assert not k.release("a", "jobs") and not k.release("a", "none")
+
+
+def test_inet_rejects(spark):
+    from brindle.functions import ranges
+
+    good = spark.createDataFrame([("0.0.0.0",), ("255.255.255.255/32",), ("10.1.2.3/0",), (None,)], "t string").select(ranges.inet(F.col("t")).alias("a")).collect()
+    assert [r.a and tuple(r.a) for r in good] == [(0, 32), (2**32 - 1, 32), (10 * 2**24 + 2**16 + 2 * 256 + 3, 0), None]
+    for bad in ("300.1.1.1", "1.2.3", "1.2.3.4/33", "1.2.3.4.5", "a.b.c.d", "", "01.2.3.4"):
+        with pytest.raises(Exception, match="invalid input syntax for type inet"):
+            spark.createDataFrame([(bad,)], "t string").select(ranges.inet(F.col("t"))).collect()
+
+
+def test_changes_with_repeated_keys(spark):
+    """What a row would become depends on the order: an error, or by order where there is one. Null keys equal none."""
+    from brindle.sources import tables
+
+    old = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
+    twice = spark.createDataFrame([("a", 5), ("a", 6)], "k string, v int")
+    for new in (lambda: writes.upsert(old, twice, ["k"], {"v": lambda o, n: n("v")})[0], lambda: writes.merge(old, twice, ["k"], {"v": lambda o, n: n("v")})[0], lambda: tables.StateStore.of(spark).save(twice.select(F.col("k").alias("key"), F.col("v").cast("string").alias("value"))).rows):
+        with pytest.raises(Exception, match="second time"):
+            new().collect()
+    nulls = spark.createDataFrame([(None, 5), (None, 6), ("b", 7)], "k string, v int")
+    assert writes.upsert(old, nulls, ["k"], {"v": lambda o, n: n("v")})[0].count() == 4
+    state = spark.createDataFrame([("x", "old", 1)], "key string, value string, version long")
+    asks = spark.createDataFrame([("x", "p", 1, 1), ("x", "q", 1, 2), ("x", "r", 2, 3), ("x", "s", 2, 4), ("y", "n", 0, 1), ("y", "m", 0, 2), ("z", "w", 1, 1)], "key string, value string, expected int, seq int")
+    with pytest.raises(Exception, match="second time"):
+        writes.compare_and_set(state, asks)[1].collect()
+    new, judged = writes.compare_and_set(state, asks.repartition(3), "seq")
+    assert sorted((r.key, r.value, r.accepted) for r in judged.collect()) == [("x", "p", True), ("x", "q", False), ("x", "r", True), ("x", "s", False), ("y", "m", False), ("y", "n", True), ("z", "w", False)]
+    assert sorted(tuple(r) for r in new.collect()) == [("x", "r", 3), ("y", "n", 1)]
+    one_each = writes.compare_and_set(state, asks.where("seq = 1"))
+    assert sorted(tuple(r) for r in one_each[0].collect()) == [("x", "p", 2), ("y", "n", 1)]

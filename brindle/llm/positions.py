@@ -53,23 +53,24 @@ class Index:
 
 
 def _numbered(terms: DataFrame) -> DataFrame:
-    numbered, _ = written(terms.select("term").where("term <> ''").distinct().withColumn("tid", F.monotonically_increasing_id()), "terms")
+    """(term, tid) of the terms and of the empty one, END. A table, whose size Spark knows: it broadcasts a small one."""
+    distinct = terms.select("term").where("term <> ''").distinct().withColumn("tid", F.monotonically_increasing_id())
+    end = terms.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(END).cast("long").alias("tid"))
+    numbered, _ = written(distinct.union(end), "terms")
     return numbered
 
 
 def build(docs: DataFrame, terms: DataFrame | None = None) -> Index:
     """The index of ``docs`` (doc_id, text) over ``terms`` (term), by default all of their words."""
-    spark = docs.sparkSession
     if terms is None:
         terms = docs.select(F.explode(cut(F.col("text"))).alias("term"))
-    terms = _numbered(terms)
-    known = terms.union(spark.createDataFrame([("", END)], terms.schema))
+    known = _numbered(terms)
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("doc_id"), cut(F.col("text")).alias("words"))
     tokens = d.select("row", "doc_id", F.posexplode("words").alias("pos", "term")).where("term <> '' OR pos > 0")
     end = F.col("tid") == END
     # one table, written at once: a number that a document gets here is the same in all of its rows
     table, _ = written(tokens.join(known, "term").select("row", "pos", "tid", F.when(end, F.col("doc_id")).alias("doc_id")), "postings")
-    return Index(terms, table.where(~end).select("row", "pos", "tid"), table.where(end).select("row", "doc_id", (F.col("pos") - 1).cast("long").alias("n_words")))
+    return Index(known.where(F.col("tid") != END), table.where(~end).select("row", "pos", "tid"), table.where(end).select("row", "doc_id", (F.col("pos") - 1).cast("long").alias("n_words")))
 
 
 @dataclass

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.session import configure
+
 #: What each relation includes: fixed values of the demonstrated model (owner => editor => viewer).
 IMPLIES = {"owner": ("owner", "editor", "viewer"), "editor": ("editor", "viewer"), "viewer": ("viewer",)}
 
@@ -108,3 +112,43 @@ class Policy:
         if not self.violations(rows, who).isEmpty():
             raise PermissionError("new row violates row-level security policy")
         return table.unionByName(rows)
+
+
+class Gate:
+    """Tables that principals read by SQL text. Each principal has a session whose views are the tables as the policies let them
+    see; a text finds nothing else there: other tables, files named in the text and statements that are no queries are
+    refused before anything runs. tables maps names to (loader of a session, policy or None); a loader reads in the session
+    that it is given."""
+
+    def __init__(self, spark: SparkSession, tables: dict[str, tuple[Callable[[SparkSession], DataFrame], Policy | None]]):
+        self.spark, self.tables = spark, tables
+        self._sessions: dict[Principal, SparkSession] = {}
+
+    def session(self, who: Principal) -> SparkSession:
+        if who not in self._sessions:
+            own = configure(self.spark.newSession())
+            own.conf.set("spark.sql.runSQLOnFiles", "false")
+            for name, (load, policy) in self.tables.items():
+                try:
+                    rows = (policy or Policy(lambda _: F.lit(True))).read(load(own), who)
+                except PermissionError:
+                    continue  # no view: the text is refused if it names the table
+                rows.createOrReplaceTempView(name)
+            self._sessions[who] = own
+        return self._sessions[who]
+
+    def sql(self, who: Principal, text: str, args: dict | None = None) -> DataFrame:
+        own = self.session(who)
+        plan = own._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        command = own._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+        written = plan.treeString()
+        if command.isInstance(plan) or "Insert" in written.split("\n")[0]:
+            raise PermissionError(f"only queries may be run for {who.name}")
+        mine = {t.name for t in own.catalog.listTables() if t.isTemporary}
+        named = re.findall(r"'UnresolvedRelation \[([^\]]*)\]", written)
+        # names that the text itself gives to its parts, as in WITH x AS (...)
+        given = {n.lower() for n in re.findall(r"CTE \[([^\]]*)\]", written) for n in re.split(r",\s*", n)}
+        for n in named:
+            if n.lower() not in {x.lower() for x in mine} | given:
+                raise PermissionError(f"permission denied for {who.name}: {n}")
+        return own.sql(text, args=args) if args else own.sql(text)

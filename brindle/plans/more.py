@@ -47,8 +47,9 @@ def named_create(t):
 
 
 # A query text with an alias, a fragment, arguments and a variable
-SCHOOL = """query Nations($least: Int!, $rich: Float = 9000.0) { regions(from: $least) { ...place nations { ...place people: customers(above: $rich) { id: c_custkey } } } }
-fragment place on Any { name }"""
+SCHOOL = """query Nations($least: Int!, $rich: Float = 9000.0) { regions(from: $least) { ...place nations { ...town people: customers(above: $rich) { id: c_custkey } } } }
+fragment place on Region { name }
+fragment town on Nation { name }"""
 
 
 def _types(t):

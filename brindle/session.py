@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed: dates are those of UTC, overlapping maps keep the right side's value.
 SETTINGS = {
@@ -60,3 +60,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="brindle-checkpoint-"))
     return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the shared folder: lineage is cut, and no executor's loss costs them. A table, whose size
+    Spark knows, unlike a checkpoint's."""
+    folder = shared_folder(df.sparkSession, "rows")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -36,6 +36,6 @@ def load(spark: SparkSession, *names: str) -> list[str]:
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {kind} RETURN {body}")
             made.append(signature.partition("(")[0])
         if n == "accents":
-            spark.udf.register("unaccent", values.unaccent)
+            spark.udf.register("unaccent", values.unaccent_udf())
             made.append("unaccent")
     return made

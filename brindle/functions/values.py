@@ -9,6 +9,7 @@ from decimal import Decimal
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,12 +134,31 @@ def casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x.casefold())
 
 
-@F.pandas_udf(T.StringType())
-def unaccent(s: pd.Series) -> pd.Series:
-    def plain(x):
-        return None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+#: Latin letters with a mark, and what is left without it, by the rule of their decomposition: what is one letter and marks.
+_MARKED = {chr(i): d for i in range(0xC0, 0x250) if (d := "".join(c for c in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(c))) != chr(i) and len(d) == 1}
+
+
+def _plain(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+def unaccent(text: Column) -> Column:
+    """Texts without their marks, by compatibility decomposition. Texts of Latin letters stay in the JVM; only those with others,
+    which Python must decompose, are sent to it."""
+    latin = F.translate(text, "".join(_MARKED), "".join(_MARKED.values()))
+    # null where the JVM's result is the whole one
+    other = F.when(latin.rlike(r"[^\x00-\x7F]"), text)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.coalesce(unaccent_udf()(other), latin)).otherwise(text)
+
+
+def unaccent_udf():
+    """For SQL text, where a function of a name is wanted: each text is decomposed in Python."""
+
+    @F.arrow_udf(T.StringType())
+    def decomposed(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _plain(t) for t in texts.to_pylist()], pa.string())
 
-    return s.map(plain)
+    return decomposed
 
 
 def size_pretty(n: Column) -> Column:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.session import durable
+
 Keys = Sequence[str]
 
 
@@ -24,6 +26,11 @@ def first_per_key(df: DataFrame, keys: Keys, order: Sequence[Column]) -> DataFra
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
 
 
+def first_rows(df: DataFrame, keys: Keys, order: Sequence[Column], n: int) -> DataFrame:
+    """The first n rows of each key in the given order; before they are exchanged, each task leaves no more than those."""
+    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__rn") <= n).drop("__rn")
+
+
 def once_per_key(change: DataFrame, keys: Keys, command: str) -> DataFrame:
     """The rows of a change; an error when it runs if a key occurs twice in it, as what the row becomes would depend on their
     order. Null keys equal none. The check partitions by the key, as the join that follows does."""
@@ -39,9 +46,22 @@ def insert_returning(old: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFr
     return old.unionByName(rows), rows
 
 
+def numbered(rows: DataFrame, name: str, order: Sequence[Column], start: int = 1) -> DataFrame:
+    """The rows with whole numbers from ``start`` in the given order, without a task that sees them all: they are sorted in ranges
+    and written, each range counts its own, and what the ranges before it hold is one row a range."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order) if rows.columns else rows
+    place = durable(ranged.withColumn("__id", F.monotonically_increasing_id()))
+    # the number of a range is in the upper bits, that of a row within it in the lower 33
+    part = F.shiftright("__id", 33)
+    counts = place.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    out = place.withColumn("__p", part).join(F.broadcast(before), F.col("__p") == F.col("__part"))  # a row a range
+    return out.withColumn(name, (F.col("__before") + F.col("__id") - F.shiftleft("__part", 33) + start).cast("long")).drop("__id", "__p", "__part", "__before")
+
+
 def with_identity(rows: DataFrame, name: str, order: Sequence[Column], start: int = 1) -> DataFrame:
-    """Identity values from ``start``. One task numbers the rows: for batches of inserts, not for whole tables."""
-    return rows.withColumn(name, (F.row_number().over(Window.orderBy(*order)) + (start - 1)).cast("long"))
+    """Identity values from ``start``."""
+    return numbered(rows, name, order, start)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Keys, matched: dict[str, Callable[[Callable, Callable], Column]]) -> tuple[DataFrame, DataFrame]:
@@ -65,7 +85,7 @@ def get_or_create(old: DataFrame, wanted: DataFrame, key: str, id_col: str) -> t
     w = wanted.select(key).distinct()
     have = w.join(old, key, "left_semi").join(old, key)
     top = old.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
-    fresh = w.join(old, key, "left_anti").withColumn("__n", F.row_number().over(Window.orderBy(key))).crossJoin(F.broadcast(top))  # one row
+    fresh = numbered(w.join(old, key, "left_anti"), "__n", [F.col(key)]).crossJoin(F.broadcast(top))  # one row
     fresh = fresh.select(*[(F.col("__top") + F.col("__n")).cast("long").alias(c) if c == id_col else F.col(key) if c == key else F.lit(None).alias(c) for c in old.columns])
     return old.unionByName(fresh), have.select(*old.columns).unionByName(fresh)
 
@@ -89,7 +109,7 @@ def move_rows(source: DataFrame, target: DataFrame, where: Column) -> tuple[Data
 def claim(jobs: DataFrame, where: Column, order: Sequence[Column], n: int, key: str, sets: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """The claim CTE: the first n rows that match change state. ``held`` rows are left out by ``where``."""
     picked = jobs.where(where).orderBy(*order).limit(n).select(F.col(key).alias("__k"))
-    marked = jobs.join(F.broadcast(picked), jobs[key] == F.col("__k"), "left")  # n rows
+    marked = jobs.join(picked, jobs[key] == F.col("__k"), "left")
     new = marked.select(*[F.when(F.col("__k").isNotNull(), sets[c]).otherwise(F.col(c)).alias(c) if c in sets else F.col(c) for c in jobs.columns], F.col("__k").isNotNull().alias("__hit"))
     return new.drop("__hit"), new.where("__hit").drop("__hit")
 
@@ -248,5 +268,5 @@ def relay(outbox: DataFrame, n: int, order: str, mark: str, now: Column) -> tupl
     """(events, new outbox): the first n rows without a mark are sent, and marked. What is marked is never sent again."""
     pending = outbox.where(F.col(mark).isNull()).orderBy(order).limit(n)
     sent = pending.select(F.col(order).alias("__k"))
-    j = outbox.join(F.broadcast(sent), F.col(order) == F.col("__k"), "left")  # n rows
+    j = outbox.join(sent, F.col(order) == F.col("__k"), "left")
     return pending.drop(mark), j.select(*[F.when(F.col("__k").isNotNull(), now).otherwise(F.col(c)).alias(c) if c == mark else F.col(c) for c in outbox.columns])

@@ -103,6 +103,17 @@ def catalog_columns(t):
     return c.join(found[0].union(found[1]), F.col("of") == c["name"]).groupBy(c["name"], "temporary").agg(F.count(F.lit(1)).cast("int").alias("columns"))
 
 
+# The functions that sets have loaded, from the catalog; temporary ones have no namespace
+@query("SELECT f AS name, true AS temporary, false AS in_namespace, n_nationkey AS k, CASE f WHEN 'nlevel' THEN n_regionkey + 1 ELSE n_regionkey END::INT AS result FROM nation, (VALUES ('nlevel'), ('hstore')) AS v(f)")
+def catalog_functions(t):
+    spark = t("nation").sparkSession
+    extensions.load(spark, "labels", "maps")
+    found = tables.functions(spark).where(F.col("name").isin("nlevel", "hstore")).join(tables.namespaces(spark), "namespace", "left").select("name", "temporary", F.col("catalog").isNotNull().alias("in_namespace"))
+    t("nation").createOrReplaceTempView("brindle_nation")
+    called = spark.sql("SELECT 'nlevel' AS f, n_nationkey AS k, nlevel(array_join(array_repeat('a', n_regionkey + 1), '.')) AS result FROM brindle_nation UNION ALL SELECT 'hstore', n_nationkey, cast(hstore(concat('r=>', n_regionkey))['r'] AS int) FROM brindle_nation")
+    return found.join(called, F.col("name") == F.col("f")).select("name", "temporary", "in_namespace", "k", "result")
+
+
 # A script of statements; a view over tables
 @query("SELECT kind, count(*) AS n FROM (SELECT 'c' AS kind FROM customer UNION ALL SELECT 's' FROM supplier) GROUP BY kind")
 def script_and_view(t):

@@ -5,6 +5,10 @@ write. Offsets are dense a partition; transaction markers take one, so committed
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +98,28 @@ def replay_summary(records: DataFrame) -> DataFrame:
     return records.groupBy("partition").agg(F.min("offset").alias("first"), F.max("offset").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "value"))), lambda x: x["value"]), "").alias("values"))
 
 
+def replay_digest(records: DataFrame) -> DataFrame:
+    """(partition, first, last, digest): each partition replayed in the order of its offsets, digest being the md5 of its values one
+    after the other. A partition is one task's, as its order is, but none of its values are kept."""
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out = None, []
+        for b in batches:
+            for partition, offset, value in zip(b.column("partition").to_pylist(), b.column("offset").to_pylist(), b.column("value").to_pylist()):
+                if now is None or partition != now[0]:
+                    if now is not None:
+                        out.append((*now[:3], now[3].hexdigest()))
+                    now = [partition, offset, offset, hashlib.md5()]
+                now[2] = offset
+                now[3].update((value or "").encode())
+        if now is not None:
+            out.append((*now[:3], now[3].hexdigest()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.string())], names=["partition", "first", "last", "digest"])
+
+    rows = records.select(F.col("partition").cast("long").alias("partition"), F.col("offset").cast("long").alias("offset"), F.col("value").cast("string").alias("value"))
+    return rows.repartition("partition").sortWithinPartitions("partition", "offset").mapInArrow(replay, "partition bigint, first bigint, last bigint, digest string")
+
+
 ENVELOPE = "id string, source string, specversion string, type string, datacontenttype string, topic string, pubsubname string, data string"
 
 

@@ -53,6 +53,17 @@ def catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, kind string, temporary boolean")
 
 
+def functions(spark: SparkSession) -> DataFrame:
+    """The catalog of functions: (name, namespace, temporary, kind), namespace null for those of none."""
+    rows = [(f.name, ".".join(f.namespace) if f.namespace else None, f.isTemporary, (f.className or "").rpartition(".")[2]) for f in spark.catalog.listFunctions()]
+    return spark.createDataFrame(rows, "name string, namespace string, temporary boolean, kind string")
+
+
+def namespaces(spark: SparkSession) -> DataFrame:
+    """(namespace, catalog) of the databases."""
+    return spark.createDataFrame([(d.name, d.catalog) for d in spark.catalog.listDatabases()], "namespace string, catalog string")
+
+
 def contract(df: DataFrame, ddl: str) -> DataFrame:
     """The frame, if its columns and types are as declared; else an error before anything runs."""
     want, have = StructType.fromDDL(ddl), df.schema

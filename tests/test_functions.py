@@ -297,3 +297,40 @@ def test_changes_with_repeated_keys(spark):
     assert sorted(tuple(r) for r in new.collect()) == [("x", "r", 3), ("y", "n", 1)]
     one_each = writes.compare_and_set(state, asks.where("seq = 1"))
     assert sorted(tuple(r) for r in one_each[0].collect()) == [("x", "p", 2), ("y", "n", 1)]
+
+
+def test_numbered(spark):
+    """Whole numbers in order without gaps, over many ranges; ties get a number each."""
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"), (F.col("id") % 3).alias("__n")).repartition(9)
+    got = [(r.k, r.no) for r in writes.numbered(df, "no", [F.col("k")], 10).orderBy("no").collect()]
+    assert [n for _, n in got] == list(range(10, 5010)) and [k for k, _ in got] == sorted(k for k, _ in got)
+    ties = spark.createDataFrame([("a",)] * 5 + [("b",)], "k string")
+    assert sorted(r.no for r in writes.numbered(ties, "no", [F.col("k")]).collect()) == [1, 2, 3, 4, 5, 6]
+    assert writes.numbered(df.limit(0), "no", [F.col("k")]).count() == 0
+    old = writes.with_identity(spark.createDataFrame([("x",), ("y",)], "name string"), "id", [F.col("name")]).select("id", "name")
+    new, got = writes.get_or_create(old, spark.createDataFrame([("z",), ("x",), ("w",), ("w",)], "name string"), "name", "id")
+    assert {(r.name, r.id) for r in got.collect()} == {("x", 1), ("w", 3), ("z", 4)} and new.count() == 4
+
+
+def test_first_rows(spark):
+    df = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 1)], "k string, v int")
+    assert sorted(tuple(r) for r in writes.first_rows(df, ["k"], [F.desc("v")], 2).collect()) == [("a", 7), ("a", 8), ("b", 1)]
+
+
+def test_replay_digest(spark):
+    import hashlib
+
+    from brindle.sources import logstore
+
+    rows = [(p, o, f"v{p}.{o}") for p in range(3) for o in range(5, 400)] + [(7, 0, None)]
+    got = logstore.replay_digest(spark.createDataFrame(rows, "partition int, offset long, value string").repartition(5)).collect()
+    assert {r.partition: (r.first, r.last, r.digest) for r in got} == {**{p: (5, 399, hashlib.md5("".join(f"v{p}.{o}" for o in range(5, 400)).encode()).hexdigest()) for p in range(3)}, 7: (0, 0, hashlib.md5(b"").hexdigest())}
+    assert logstore.replay_digest(spark.createDataFrame([], "partition int, offset long, value string")).count() == 0
+
+
+def test_unaccent(spark):
+    import unicodedata
+
+    texts = ["café crème brûlée", "plain", "Ångström Łódź ﬁ ½", "é́ 漢字 ǅ", "é", "", None, "ñ" * 3000, "ĳ ŉ ſ ǆ"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", values.unaccent(F.col("t")).alias("u")).collect()
+    assert {r.i: r.u for r in rows} == {i: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for i, t in enumerate(texts)}

@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -59,6 +60,8 @@ PART_MEMBERS = 1_000_000
 LEAST_PARTS = 48
 BLOCK, BLOCK_MEMBERS = 256, 1_000_000
 COMMON = 32
+#: A probe of a long list against a step of the merge, for each doubling of the list.
+PROBE_COST = 0.01
 #: Members that a task of the first exchange gathers before it deals them out, and digests of classes that it remembers.
 FLUSH_MEMBERS, SEEN = 1_000_000, 1 << 16
 
@@ -85,9 +88,41 @@ def pair_overlap(a: int, b: int, percent: int = PERCENT) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def long_lists(t: int, longest: int) -> int:
+    """How many of the longest lists are set aside: more where the threshold is high, fewer where a probe of a long list costs
+    much; below t, so that the merge has something to ask for."""
+    return min(t - 1, int(t / (PROBE_COST * math.log2(longest + 1) + 1)))
+
+
+def merge_skip(lists: list[list[int]], t: int) -> Iterator[tuple[int, int]]:
+    """(set, count) of the sets that occur in at least t of the sorted lists. Where the least one does not, the t - 1 lists with
+    the least heads jump to the next head, found in each by binary search: nothing before it can reach t."""
+    heap = [(x[0], i, 0) for i, x in enumerate(lists) if x]
+    heapq.heapify(heap)
+    while len(heap) >= t:
+        at, popped = heap[0][0], []
+        while heap and heap[0][0] == at:
+            popped.append(heapq.heappop(heap))
+        count = len(popped)
+        if count >= t:
+            yield at, count
+            following = at + 1
+        else:
+            while heap and len(popped) < t - 1:
+                popped.append(heapq.heappop(heap))
+            if not heap:
+                return
+            following = heap[0][0]
+        for _, i, p in popped:
+            p = bisect_left(lists[i], following, p)
+            if p < len(lists[i]):
+                heapq.heappush(heap, (lists[i][p], i, p))
+
+
 def divide_skip(lists: list[list[int]], sizes: list[int], n: int, percent: int = PERCENT) -> list[int]:
     """Sets (numbers below len(sizes)) that link with a set of n members, of whose members ``lists`` are the inverted lists,
-    sorted. A set reaches T = pair_overlap; T's least value over the sets is what the merge asks for, less the long lists."""
+    sorted. A set reaches pair_overlap; its least value over the sets is T. The longest lists are set aside, the others are
+    merged for sets that occur T times less the number of long ones, and those are looked for in the long lists."""
     fitting = [s for s in sizes if least_overlap(max(n, s), percent) <= min(n, s)]
     if not fitting or not lists:
         return []
@@ -95,20 +130,10 @@ def divide_skip(lists: list[list[int]], sizes: list[int], n: int, percent: int =
     if t > len(lists):
         return []
     lists = sorted(lists, key=len)
-    n_long = max(0, t - 1)
+    n_long = long_lists(t, len(lists[-1]))
     short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    heap = [(x[0], i, 0) for i, x in enumerate(short)]
-    heapq.heapify(heap)
     out = []
-    while heap:
-        at, count = heap[0][0], 0
-        while heap and heap[0][0] == at:
-            _, i, p = heap[0]
-            count += 1
-            if p + 1 < len(short[i]):
-                heapq.heapreplace(heap, (short[i][p + 1], i, p + 1))
-            else:
-                heapq.heappop(heap)
+    for at, count in merge_skip(short, t - n_long):
         need = pair_overlap(n, sizes[at], percent)
         for k, x in enumerate(long):
             if count >= need or count + len(long) - k < need:
@@ -365,19 +390,18 @@ def class_components(docs: DataFrame, marks: tuple[str, ...] = ()) -> tuple[Data
     link, component being the digest of one of them. marks: columns of whole numbers."""
     session(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    d = docs.select("doc_id", "text")
-    meta = durable(docs.select("doc_id", "text", *marks).mapInArrow(_meta, ", ".join([f"doc_id {kind}", *(f"{m} bigint" for m in marks), "n bigint, digest binary"])))
+    # a row's id and text as one number: rows share it that are copies under one id, and no others that matter
+    d = docs.select("text", F.xxhash64("doc_id", "text").alias("row_key"))
+    meta = durable(docs.select("doc_id", "text", *marks, F.xxhash64("doc_id", "text").alias("row_key")).mapInArrow(_meta, ", ".join([f"doc_id {kind}", *(f"{m} bigint" for m in marks), "row_key bigint, n bigint, digest binary"])))
     total = meta.agg(F.sum("n")).first()[0] or 0
     parts = max(LEAST_PARTS, total * 3 // 8 // PART_MEMBERS)
-    classes = meta.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.min("doc_id").alias("one")).withColumn("ref", _ref(F.col("digest")))
+    classes = meta.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.min("row_key").alias("one")).withColumn("ref", _ref(F.col("digest")))
     # step 2; two digests that begin alike only add up their counts here, and more is looked at
     shared = d.select("text").mapInArrow(_prefixes(parts), "part int, blob binary").groupBy("part").applyInArrow(_shared, "ref bigint, c bigint").groupBy("ref").agg(F.sum("c").alias("c"))
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / 8))
-    left = durable(classes.join(shared, "ref").where(F.col("c") >= need).select("digest", F.col("one").alias("doc_id"), (F.col("c") / F.least("n", F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + F.greatest(F.lit(1), F.floor(F.col("n") / 8)))).alias("share")))
-    # rows without an id are found by their text's class; the others by their id
-    named = d.where("doc_id IS NOT NULL").join(left.where("doc_id IS NOT NULL"), "doc_id").select("text", "digest", "share")
-    nameless = d.where("doc_id IS NULL").select("text").mapInArrow(_with_digest, "text string, digest binary").join(left.where("doc_id IS NULL").select("digest", "share"), "digest").select("text", "digest", "share")
-    whole = named.union(nameless).mapInArrow(_sets, "digest binary, n bigint, set binary, minima array<bigint>, share double")
+    left = durable(classes.join(shared, "ref").where(F.col("c") >= need).select("digest", apart(F.col("one")).alias("one"), (F.col("c") / F.least("n", F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + F.greatest(F.lit(1), F.floor(F.col("n") / 8)))).alias("share")))
+    # each class's text is that of one of its rows, never those of all rows that share its id
+    whole = d.join(left, apart(F.col("row_key")) == F.col("one")).select("text", "digest", "share").mapInArrow(_sets, "digest binary, n bigint, set binary, minima array<bigint>, share double")
     # rows that share an id and a text are one class; its number is its place
     sets = durable(whole.dropDuplicates(["digest"]).withColumn("ref", F.monotonically_increasing_id()))
     # step 3
@@ -417,11 +441,6 @@ def _ref(digest: Column) -> Column:
     return F.conv(F.hex(F.substring(digest, 1, 8)), 16, -10).cast("long")
 
 
-def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("text"), pa.array([digest(s) for s in sets_of(b.column("text"))], pa.binary())], names=["text", "digest"])
-
-
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     meta, linked = class_components(docs)

@@ -148,6 +148,30 @@ def test_ngram_join(spark, docs, texts):
     assert ngram_join.keep(docs).count() == len({c for _, c in brute_links(texts.items()).values()})
 
 
+def test_ngram_join_one_hot_id(spark):
+    """400 altered copies of a few texts under one id, some under none: linked as with ids of their own, and one row a component
+    is kept."""
+    r = random.Random(23)
+    base = [[f"h{b}w{i}" for i in range(50)] for b in range(5)]
+
+    def copy():
+        w = list(r.choice(base))
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(50)] = f"x{r.randrange(40)}"
+        return " ".join(w)
+
+    texts = [copy() for _ in range(400)]
+    links = brute_links(list(enumerate(texts)))
+    rows = [(None if i % 7 == 0 else 7, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter(tuple(x) for x in ngram_join.join(df).collect())
+    named = {links[i][1] for i, row in enumerate(rows) if row[0] is not None}
+    assert got == Counter((row[0], links[i][0], 7 if links[i][1] in named else None) for i, row in enumerate(rows))
+    kept = Counter(x.text for x in ngram_join.keep(df).collect())
+    place = {t: links[i][1] for i, t in enumerate(texts)}
+    assert Counter(place[t] for t in kept.elements()) == Counter(set(place.values()))
+
+
 def test_ngram_join_keep_repeated_ids(spark):
     """One row a component, whatever ids are null, repeated or hot; also as the pipeline's stage."""
     import corpus_pipeline
@@ -580,6 +604,32 @@ def test_embeddings_of_all_kinds(spark):
     assert got == Counter((ids[i], int(hit[i].sum()), least[up[i]], None if ids[i] is None or least[up[i]] is None else ids[i] == least[up[i]]) for i in range(len(x)))
 
 
+def test_embeddings_beside_clashing_columns(spark):
+    """Columns named as the steps name theirs are not looked at."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(60, 6))
+    x = np.vstack([x, x[:20] + r.normal(size=(20, 6)) * 0.02])
+    names = "v string, id long, n long, length int, cell long, visits string, least long, component long, found long, used long, kept string, component_id long, n_links long"
+    rows = [(i, e.tolist(), *(["?", 7, 7, 7, 7, "?", 7, 7, 7, 7, "?", 7, 7])) for i, e in enumerate(x)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, {names}"))
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
+    plain = embeddings.near_duplicates(spark.createDataFrame([q[:2] for q in rows], "vec_id long, embedding array<double>"))
+    assert Counter(tuple(q) for q in got.collect()) == Counter(tuple(q) for q in plain.collect())
+
+
+def test_kmeans_in_blocks(monkeypatch):
+    """Blocks change nothing; each centroid is the mean of what is nearest to it when it settles."""
+    x = np.random.default_rng(1).normal(size=(500, 4))
+    whole = embeddings.kmeans(x, 9, np.random.default_rng(2))
+    monkeypatch.setattr(embeddings, "DISTANCES", 100)
+    assert np.allclose(embeddings.kmeans(x, 9, np.random.default_rng(2)), whole)
+    c = x[np.random.default_rng(2).choice(500, 9, replace=False)]
+    for _ in range(12):
+        near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        c = np.array([x[near == j].mean(0) for j in range(9)])
+    assert np.allclose(whole, c)
+
+
 def test_grid_stops_by_query():
     """Every cell within the margin of the nearest is visited, and no other; the target holds for pairs at the threshold."""
     r = np.random.default_rng(7)

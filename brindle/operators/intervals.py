@@ -24,9 +24,13 @@ from pyspark.sql import functions as F
 BUCKETS = 128
 
 
+#: Bounds past all others, of whole numbers and of doubles.
+FAR, FAR_DOUBLE = 1 << 62, 1e300
+
+
 def number(c: Column, kind: str) -> Column:
-    """A time as a whole number in order; of doubles the order of their bits is not needed: they stay."""
-    return F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else F.unix_date(c) if kind == "date" else c
+    """A time as a number, in order."""
+    return F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else F.unix_date(c).cast("long") if kind == "date" else c.cast("long") if kind in ("int", "smallint", "tinyint") else c
 
 
 def _timed(df: DataFrame, lo: str, hi: str, keys: Sequence[str], side: str) -> DataFrame:
@@ -39,18 +43,16 @@ def _timed(df: DataFrame, lo: str, hi: str, keys: Sequence[str], side: str) -> D
     return df.where(known).select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(side), number(F.col(f"`{lo}`"), kinds[lo]).alias("lo"), number(F.col(f"`{hi}`"), kinds[hi]).alias("hi"), key.alias("key"))
 
 
-def _closed(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the null bounds put just past all others, and without empty intervals."""
-    ends = a.select("lo", "hi").union(b.select("lo", "hi")).agg(F.least(F.min("lo"), F.min("hi")), F.greatest(F.max("lo"), F.max("hi"))).first()
-    first, last = (ends[0] - 1, ends[1] + 1) if ends[0] is not None else (0, 1)
-    close = lambda d: d.withColumns({"lo": F.coalesce("lo", F.lit(first)), "hi": F.coalesce("hi", F.lit(last))}).where(F.col("lo") < F.col("hi"))
-    return close(a), close(b)
+def _closed(d: DataFrame) -> DataFrame:
+    """The rows with null bounds past all others, and without empty intervals."""
+    far = FAR_DOUBLE if dict(d.dtypes)["lo"] in ("double", "float") else FAR
+    return d.withColumns({"lo": F.coalesce("lo", F.lit(-far)), "hi": F.coalesce("hi", F.lit(far))}).where(F.col("lo") < F.col("hi"))
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, lo: str, hi: str, keys: Sequence[str] = ()) -> DataFrame:
     """(left, right), structs of the rows, for each two that overlap (and whose keys are equal). Both have the columns lo, hi and keys."""
-    a, b = _closed(_timed(left, lo, hi, keys, "left"), _timed(right, lo, hi, keys, "right"))
-    level = F.ceil(F.log2((F.col("hi") - F.col("lo")).cast("double"))).cast("int")
+    a, b = _closed(_timed(left, lo, hi, keys, "left")), _closed(_timed(right, lo, hi, keys, "right"))
+    level = F.ceil(F.log2(F.col("hi").cast("double") - F.col("lo").cast("double"))).cast("int")
     a, b = a.withColumn("level", level), b.withColumn("level", level)
     # as many rows as there are different powers of two
     levels = sorted(r[0] for r in a.select("level").union(b.select("level")).distinct().collect())
@@ -91,19 +93,19 @@ def reach(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def conflicting(candidates: DataFrame, old: DataFrame, lo: str, hi: str, keys: Sequence[str] = ()) -> DataFrame:
     """The candidates that overlap any old row (of equal keys): what an exclusion constraint rejects. No pair is made."""
-    a, b = _closed(_timed(candidates, lo, hi, keys, "row"), _timed(old, lo, hi, keys, "row"))
+    a, b = _closed(_timed(candidates, lo, hi, keys, "row")), _closed(_timed(old, lo, hi, keys, "row"))
     asks = a.select("key", F.col("hi").alias("t"), F.lit(None).cast(dict(b.dtypes)["hi"]).alias("hi"))
     known = reach(b.select("key", F.col("lo").alias("t"), "hi").union(asks)).select(F.col("key").alias("k"), "t", "reach")
     # an old row begins before the candidate ends, and one of those that do ends after it begins
     return a.join(known, (F.col("key") == F.col("k")) & (F.col("hi") == F.col("t")) & (F.col("reach") > F.col("lo"))).select("row.*")
 
 
-def overlapping(df: DataFrame, lo: str, hi: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows that begin before one that began earlier (of equal keys) ends; of rows that begin together, all but the longest, and of
-    equal ones all but one. Without any, no two rows overlap."""
-    a, _ = _closed(_timed(df, lo, hi, keys, "row"), _timed(df.limit(0), lo, hi, keys, "row"))
+def overlapping(df: DataFrame, lo: str, hi: str, keys: Sequence[str] = (), keep_longest: bool = True) -> DataFrame:
+    """Rows that begin before one that began earlier (of equal keys) ends; of rows that begin together, all but the longest (or the
+    shortest), and of equal ones all but one. Without any, no two rows overlap."""
+    a = _closed(_timed(df, lo, hi, keys, "row"))
     known = reach(a.select("key", F.col("lo").alias("t"), "hi").union(a.select("key", F.col("lo").alias("t"), F.lit(None).cast(dict(a.dtypes)["hi"]).alias("hi")))).select(F.col("key").alias("k"), "t", "reach")
     late = a.join(known, (F.col("key") == F.col("k")) & (F.col("lo") == F.col("t"))).withColumn("earlier", F.coalesce(F.col("reach") > F.col("lo"), F.lit(False)))
-    # rows that begin together overlap: one of the longest stays
-    first = Window.partitionBy("key", "lo").orderBy(F.desc("hi"))
+    # rows that begin together overlap: one of them stays
+    first = Window.partitionBy("key", "lo").orderBy(F.desc("hi") if keep_longest else F.asc("hi"))
     return late.withColumn("place", F.row_number().over(first)).where(F.col("earlier") | (F.col("place") > 1)).select("row.*")

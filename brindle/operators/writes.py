@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators import intervals
 from brindle.session import durable
 
 Keys = Sequence[str]
@@ -180,18 +181,14 @@ def missing(df: DataFrame, columns: Keys) -> DataFrame:
 
 
 def overlapping(df: DataFrame, keys: Keys, lo: str, hi: str) -> DataFrame:
-    """Rows whose half-open range begins before an earlier one of the same key ends: n log n by sorting, no range join."""
-    w = Window.partitionBy(*keys).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("__hi", F.max(hi).over(w)).where(F.col("__hi") > F.col(lo)).drop("__hi")
+    """Rows whose half-open range begins before an earlier one of the same key ends, the shorter first of those that begin together:
+    a running maximum by time, which a hot key spreads over buckets. Empty ranges overlap nothing, null bounds are open."""
+    return intervals.overlapping(df, lo, hi, keys, keep_longest=False)
 
 
 def conflicts(candidates: DataFrame, old: DataFrame, keys: Keys, lo: str, hi: str) -> DataFrame:
     """Incoming rows that overlap an existing row of the same key, which an exclusion constraint rejects."""
-    o = old.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(lo).alias("__lo"), F.col(hi).alias("__hi"))
-    cond = (F.col(lo) < F.col("__hi")) & (F.col("__lo") < F.col(hi))
-    for k in keys:
-        cond = cond & (F.col(k) == F.col(f"__{k}"))
-    return candidates.join(o, cond, "left_semi")
+    return intervals.conflicting(candidates, old, lo, hi, keys)
 
 
 def rejected(violations: DataFrame) -> bool:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import tablefunctions, values
-from brindle.operators import authz, authzmodel, graph, intervals, selection, similarity
+from brindle.operators import authz, authzmodel, graph, intervals, selection, similarity, writes
 from brindle.plans import relations
 from brindle.sources import datasources
 from brindle.streaming import processors, relays
@@ -177,6 +177,30 @@ def test_intervals(spark):
     assert intervals.overlap_pairs(none, none, "lo", "hi").count() == 0 and intervals.conflicting(df, none, "lo", "hi").count() == 0 and intervals.overlapping(none, "lo", "hi").count() == 0
 
 
+def test_intervals_of_doubles(spark):
+    rows = [(1, 0.25, 0.5), (2, 0.4, None), (3, None, 0.3), (4, 0.5, 0.5), (5, -1e9, 1e9), (6, 2.0, 2.0000001)]
+    d = spark.createDataFrame(rows, "i int, lo double, hi double")
+    got = {(x["left"].i, x["right"].i) for x in intervals.overlap_pairs(d, d, "lo", "hi").where("left.i < right.i").collect()}
+    assert got == {(1, 2), (1, 3), (1, 5), (2, 5), (2, 6), (3, 5), (5, 6)}
+    assert {x.i for x in intervals.conflicting(d.where("i in (1, 4, 6)"), d.where("i = 2"), "lo", "hi").collect()} == {1, 6}
+
+
+def test_exclusion_of_a_hot_key(spark):
+    """Many ranges of one key: what a running maximum over the whole key finds."""
+    r = random.Random(6)
+    rows = [(i, "k" if i % 5 else "other", r.randrange(3000), 0) for i in range(800)]
+    rows = [(i, k, lo, lo + r.choice([1, 2, 5])) for i, k, lo, _ in rows]
+    df = spark.createDataFrame(rows, "i int, k string, lo int, hi int")
+    want = set()
+    for key in ("k", "other"):
+        top = -1
+        for i, _, lo, hi in sorted((x for x in rows if x[1] == key), key=lambda x: (x[2], x[3])):
+            if top > lo:
+                want.add((key, lo, hi))
+            top = max(top, hi)
+    assert {(x.k, x.lo, x.hi) for x in writes.overlapping(df, ["k"], "lo", "hi").collect()} == want
+
+
 def test_intervals_of_times(spark):
     t = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP'2026-01-01 10:00', TIMESTAMP'2026-01-01 11:00'), (2, TIMESTAMP'2026-01-01 10:59:59', TIMESTAMP'2026-01-03 00:00'), (3, TIMESTAMP'2026-01-01 11:00', TIMESTAMP'2026-01-01 12:00') AS v(i, lo, hi)")
     assert {(x["left"].i, x["right"].i) for x in intervals.overlap_pairs(t, t, "lo", "hi").where("left.i < right.i").collect()} == {(1, 2), (2, 3)}

@@ -38,6 +38,8 @@ FIT_ROWS, LEAST_FIT_ROWS, PROBES, TARGET_RECALL = 16, 4096, 2000, 0.985
 CELL_ROWS, MAX_CENTROIDS = 64, 4096
 #: Vectors and visitors that are verified at once.
 BLOCK, VISITORS = 1024, 4096
+#: Distances that a fit holds at once.
+DISTANCES = 1 << 22
 
 
 def usable(e: DataFrame) -> DataFrame:
@@ -66,12 +68,15 @@ def matrix(column, length: int) -> np.ndarray:
 
 
 def kmeans(x: np.ndarray, k: int, random) -> np.ndarray:
+    """k centroids. Distances are taken for blocks of rows: no matrix of all rows and all centroids is made."""
     c = x[random.choice(len(x), k, replace=False)]
+    step = max(1, DISTANCES // k)
     for _ in range(12):
-        near = (x @ c.T * -2 + (c * c).sum(1)).argmin(1)
-        for j in range(k):
-            if (near == j).any():
-                c[j] = x[near == j].mean(0)
+        squares = (c * c).sum(1)
+        near = np.concatenate([(x[i : i + step] @ c.T * -2 + squares).argmin(1) for i in range(0, len(x), step)])
+        order = np.argsort(near, kind="stable")
+        begin = np.flatnonzero(np.diff(near[order], prepend=-1))
+        c[near[order[begin]]] = np.add.reduceat(x[order], begin) / np.diff(np.append(begin, len(x)))[:, None]
     return c
 
 

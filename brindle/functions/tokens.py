@@ -116,10 +116,13 @@ def parsed(text: Column) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), of))
 
 
+#: What ends a token whatever its kind, but for tags and entities, with the punctuation that belongs to none.
+BETWEEN = r"[.,;:!?)\]]*[\s\"']+[(\[]*"
+
+
 def indexed_tokens(text: Column) -> Column:
     """array<string> of the indexed kinds' tokens in lower case, parts included: a token's number in it is its place. Texts without
-    anything but plain words and their punctuation need no look at each token."""
-    raw = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    tags and entities are split first, and most pieces are plain words; only the others are scanned."""
     urls, hyphens = f"^(?:{SHAPES['url']})$", f"^(?:{SHAPES['hyphenated']})$"
     gone = "^(?:" + "|".join(f"(?:{SHAPES[k]})" for k in DROPPED) + ")$"
 
@@ -127,7 +130,11 @@ def indexed_tokens(text: Column) -> Column:
         host = F.substring_index(token, "/", 1)
         path = F.substring(token, F.char_length(host) + 1, F.char_length(token))
         other = F.when(token.rlike(gone), F.array().cast("array<string>")).when(token.rlike(hyphens), F.concat(F.array(token), F.split(token, "-"))).when(token.rlike(urls), F.array(token, host, path)).otherwise(F.array(token))
-        return F.when(token.rlike(rf"^[{_C}]+$"), F.array(token)).otherwise(other)
+        return F.when(token.rlike(f"^[{_C}]+$"), F.array(token)).otherwise(other)
+
+    def scanned(part: Column) -> Column:
+        return F.flatten(F.transform(F.regexp_extract_all(part, F.lit(TOKEN), F.lit(0)), of))
 
-    # a text without these signs holds no token of many parts and none that is dropped
-    return F.when(text.rlike(rf"[{_C}][-/]|[<&]|://"), F.flatten(F.transform(raw, of))).otherwise(raw)
+    low = F.lower(text)
+    pieces = F.flatten(F.transform(F.split(low, BETWEEN), lambda c: F.when(c.rlike(f"^[{_C}]{{1,2000}}$"), F.array(c)).otherwise(scanned(c))))
+    return F.when(text.rlike("[<&]"), scanned(low)).otherwise(pieces)

@@ -46,7 +46,9 @@ def dictionary(words: DataFrame) -> DataFrame:
     def lexeme(column: pa.Array) -> pa.Array:
         return pa.array([fts.lexeme_of(t) for t in column.to_pylist()], pa.string())
 
-    return words.distinct().select("token", lexeme.asNondeterministic()("token").alias("lexeme")).where("lexeme IS NOT NULL")
+    # few bytes, but much work each: adaptive execution would leave them to one task
+    parts = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), words.sparkSession.sparkContext.defaultParallelism)
+    return words.distinct().repartition(parts).select("token", lexeme.asNondeterministic()("token").alias("lexeme")).where("lexeme IS NOT NULL")
 
 
 def _postings(docs: DataFrame, key: str, text: str, segment: int) -> DataFrame:

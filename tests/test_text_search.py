@@ -41,6 +41,8 @@ def test_kinds(spark):
     # all in one text, with blanks between, by column and by Python
     r = random.Random(1)
     texts = [" ".join(r.choice(KINDS)[0] for _ in range(12)) + r.choice([".", "", " (x)", "/"]) for _ in range(60)] + ["x" * 5000, "a-" * 3000, "a." * 3000, "<" * 3000, "1.2.3.4.5.6.7.8.9.10.11.12.13", None]
+    texts += ["".join(r.choice("ab1 .,:;/@-+~_\"'()[]!?é\n<&e0") for _ in range(r.randint(1, 60))) for _ in range(300)]
+    texts += ["".join(r.choice(["a", "b.c", "1", " ", " ", ". ", ", ", "://", "/", "@x.yz", "-", "+5", "1.5e3", ") (", "' ", "]"]) for _ in range(r.randint(1, 15))) for _ in range(300)]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tokens.parsed(F.col("t")).alias("p"), tokens.indexed_tokens(F.col("t")).alias("x")).collect()
     for row in rows:
         t = texts[row.i]

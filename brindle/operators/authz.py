@@ -32,6 +32,26 @@ def permissions(tuples: DataFrame, **model) -> DataFrame:
     return expand(tuples, **model).select("object_type", "object_id", "relation", "user_id").distinct()
 
 
+def object_counts(tuples: DataFrame, relation: str, implies: dict[str, tuple[str, ...]] = IMPLIES, group: str = "team", member: str = "member") -> DataFrame:
+    """(user_id, n): how many objects each user has the relation to, users without any left out. Members are not joined with what
+    their groups may see: users of the same groups are one class, whose objects are counted once, and each user's own grants
+    are counted where no group of theirs gives the same."""
+    grants = tuples.where(F.col("relation").isin([k for k, v in implies.items() if relation in v]))
+    direct = grants.where("subject_type = 'user'").select("object_type", "object_id", F.col("subject_id").alias("user_id")).distinct()
+    shared = grants.where((F.col("subject_type") == group) & F.col("subject_id").isNotNull()).select("object_type", "object_id", F.col("subject_id").alias("g")).distinct()
+    members = tuples.where((F.col("object_type") == group) & (F.col("relation") == member) & (F.col("subject_type") == "user")).select(F.col("object_id").alias("g"), F.col("subject_id").alias("user_id"))
+    # groups that nothing is shared with make no class
+    users = members.join(shared.select("g").distinct(), "g", "left_semi").groupBy("user_id").agg(F.array_sort(F.collect_set("g")).alias("class"))
+    seen = users.select("class").distinct().select("class", F.explode("class").alias("g")).join(shared, "g").select("class", "object_type", "object_id").distinct()
+    counted = seen.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    through = users.join(counted, "class").select("user_id", "n")
+    u = users.select(F.col("user_id").alias("__u"), "class")
+    o = shared.groupBy("object_type", "object_id").agg(F.collect_set("g").alias("groups")).select(F.col("object_type").alias("__t"), F.col("object_id").alias("__o"), "groups")
+    own = direct.join(o, F.col("object_type").eqNullSafe(F.col("__t")) & F.col("object_id").eqNullSafe(F.col("__o")), "left").join(u, F.col("user_id").eqNullSafe(F.col("__u")), "left")
+    own = own.where(~F.coalesce(F.arrays_overlap("class", "groups"), F.lit(False))).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return own.union(through).groupBy("user_id").agg(F.sum("n").alias("n"))
+
+
 def check(questions: DataFrame, tuples: DataFrame, **model) -> DataFrame:
     """Questions (user_id, relation, object_type, object_id, ...) with ``allowed``."""
     p = permissions(tuples, **model).withColumn("__yes", F.lit(True))

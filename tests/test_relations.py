@@ -405,3 +405,22 @@ def test_introspection(spark, school):
     book = nodes(selection.run('{ __type(name: "Author") { __typename fields { name type args { name type } } } }', types, roots)["__type"])[0]
     assert {f["name"]: f["type"] for f in book["fields"]} == {"id": "String", "name": "String", "city": "String", "books": "[Book!]!"} and book["fields"][-1]["args"] == [{"name": "before", "type": "Int"}, {"name": "in", "type": "[Int!]"}]
     assert nodes(selection.run('{ __type(name: "None") { name } }', types, roots)["__type"]) == []
+
+
+def test_object_counts(spark):
+    """As many as permissions gives, with users of several groups, repeated grants and nulls."""
+    rows = [("document", f"d{i}", "owner" if i % 3 else "viewer", "user", None if i == 7 else f"u{i % 5}") for i in range(20)]
+    rows += [("document", f"d{i}", "editor" if i % 2 else "viewer", "team", f"t{i % 4}") for i in range(0, 20, 3)] + [("folder", "d3", "viewer", "team", "t0"), ("document", None, "viewer", "team", "t1"), ("document", "d0", "viewer", "team", "t1"), ("document", "d1", "viewer", "team", None)]
+    rows += [("team", f"t{g}", "member", "user", u) for g, u in ((0, "u0"), (1, "u0"), (0, "u1"), (2, "u2"), (2, "u2"), (3, "u9"), (1, None), (8, "u1"), (8, "u8"))]
+    t = spark.createDataFrame(rows, "object_type string, object_id string, relation string, subject_type string, subject_id string")
+    for relation in ("owner", "editor", "viewer"):
+        want = authz.permissions(t).where(F.col("relation") == relation).groupBy("user_id").count().collect()
+        assert sorted(map(repr, map(tuple, authz.object_counts(t, relation).collect()))) == sorted(map(repr, map(tuple, want)))
+        assert len(want) > 4 or relation == "owner"
+    # 3,000 members of one group and 3,000 objects
+    n = 3000
+    many = spark.range(n).select(F.lit("team").alias("object_type"), F.lit("t").alias("object_id"), F.lit("member").alias("relation"), F.lit("user").alias("subject_type"), F.col("id").cast("string").alias("subject_id"))
+    many = many.union(spark.range(n).select(F.lit("document"), F.col("id").cast("string"), F.lit("viewer"), F.lit("team"), F.lit("t")))
+    found = authz.object_counts(many, "viewer")
+    assert {tuple(r) for r in found.groupBy("n").count().collect()} == {(n, n)}
+    assert len(found.collect()) == n

@@ -111,7 +111,9 @@ def phrases(index: Index, runs: DataFrame) -> DataFrame:
     ranked = runs.select("run", "length", first["tid"].alias("t1"), first["off"].alias("off"), F.get("ranked", F.lit(1)).alias("second"), F.slice("ranked", 3, F.greatest(F.size("ranked") - 2, F.lit(0))).alias("rest"))
     ranked = ranked.select("*", F.col("second.tid").alias("t2"), (F.col("second.off") - F.col("off")).alias("delta"))
     p = index.postings
-    one = p.join(ranked.where("length = 1"), F.col("tid") == F.col("t1")).select("run", "row", F.col("pos").alias("start"), "length")
+    # written, so that Spark knows how few they are, and does not exchange the postings for none
+    single, _ = written(ranked.where("length = 1").select("run", "t1", "length"), "single")
+    one = p.join(single, F.col("tid") == F.col("t1")).select("run", "row", F.col("pos").alias("start"), "length")
     # the two rarest terms at their distance: a pattern, which runs share
     patterns, _ = written(ranked.where("length > 1").select("t1", "t2", "delta").distinct(), "patterns")
     heads = p.join(patterns, F.col("tid") == F.col("t1")).select("row", F.col("pos").alias("at"), "t1", "t2", "delta", (F.col("pos") + F.col("delta")).alias("pos2"))
@@ -119,7 +121,10 @@ def phrases(index: Index, runs: DataFrame) -> DataFrame:
     both = heads.join(seconds, (F.col("row") == F.col("row2")) & (F.col("pos2") == F.col("p2")) & (F.col("t2") == F.col("tid2"))).select("row", "at", "t1", "t2", "delta")
     left, _ = written(both.join(ranked.where("length > 1"), ["t1", "t2", "delta"]).select("run", "row", (F.col("at") - F.col("off")).alias("start"), "length", "rest"), "left")
     wanted = left.where("length > 2").select("run", "row", "start", "length", F.explode("rest").alias("x")).select("run", "row", "start", "length", (F.col("start") + F.col("x.off")).alias("place"), F.col("x.tid").alias("want"))
-    others = p.select(F.col("row").alias("row2"), "pos", "tid")
+    # of the postings, those of documents that have a pattern are looked at: a mask for 64 documents, which Spark broadcasts
+    at, bit = F.shiftright("row", 6), (F.col("row") % 64).cast("int")
+    masks, _ = written(left.where("length > 2").select("row").distinct().groupBy(at.alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, cast(row % 64 as int))")).alias("mask")), "masks")
+    others = p.join(masks, (at == F.col("block")) & (F.getbit("mask", bit) == 1), "left_semi").select(F.col("row").alias("row2"), "pos", "tid")
     met = wanted.join(others, (F.col("row") == F.col("row2")) & (F.col("place") == F.col("pos")) & (F.col("want") == F.col("tid")))
     more = met.groupBy("run", "row", "start", "length").agg(F.count(F.lit(1)).alias("n")).where("n = length - 2").drop("n")
     return one.union(left.where("length = 2").drop("rest")).union(more)

@@ -270,3 +270,17 @@ def test_whitening_sums_are_exact(spark):
     sums = [sum(c) for c in zip(*whole)]
     got = {r.vec_id: int(r.deviation) for r in whitening.whiten(df).where("component = 1").collect()}
     assert got == {i: sum((7 * a - s) ** 2 for a, s in zip(v, sums)) for i, v in enumerate(whole)}
+
+
+def test_only_documents_with_a_pattern_are_looked_at(spark):
+    """Of the postings, other terms of a run are looked for in documents that have its two rarest ones; all blocks of 64 are met."""
+    item = [f"w{i}" for i in range(10)]
+    hit = {0, 63, 64, 127, 128, 199}
+    docs = spark.createDataFrame([(i, " ".join(item if i in hit else item[::-1])) for i in range(200)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([("a", " ".join(item))], "item_id string, text string")
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in positions.contaminated(docs, items).collect()} == {i: (10, ["a"]) if i in hit else (0, []) for i in range(200)}
+    classes = positions.item_classes(items)
+    index = positions.build(docs, classes.select(F.explode("words").alias("term")))
+    found = positions.phrases(index, positions.cut_runs(classes, index).runs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "mask" in plan

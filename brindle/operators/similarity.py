@@ -6,6 +6,8 @@ no more than the factor t, and, all sets being sorted by how few values have a m
 of the one and b - ceil(t b) + 1 of the other. So only these first members are exchanged and joined, sizes and the members' places
 rule out most candidates at once, a pair is taken at the first member its prefixes share, and what is left is compared whole. All
 steps are built-in functions; a member that many values have in their prefix is split, as both sides of that join are exchanged.
+Members are numbered by rarity, so that sets are arrays of numbers. Rows and prefixes are joined by merging, whatever Spark takes their
+size to be: it does not know how many rows a set is opened to, nor what a compressed table is in memory, and the driver would hold them.
 
 A null value is similar to nothing; a value without letters or digits has no trigrams and is similar to nothing; values that
 differ only in case or in what stands between words have similarity 1.
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.values import trigrams
+from brindle.session import durable
 
 
 def _sets(values: DataFrame) -> DataFrame:
@@ -37,10 +40,10 @@ def pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     both = a.union(b)
     # members in one order for all sets: those that few values have come first, ties by the member
     member = F.explode("members").alias("member")
-    counts = both.select(member).groupBy("member").agg(F.count(F.lit(1)).alias("df")).select(F.col("member").alias("m"), "df")
+    counts = both.select(member).groupBy("member").agg(F.count(F.lit(1)).alias("df")).orderBy("df", "member")
+    counts = durable(counts.select(F.col("member").alias("m"), F.monotonically_increasing_id().alias("rank")))
     ranked = both.select("side", "value", "n", member).join(counts, F.col("member") == F.col("m"))
-    ordered = ranked.groupBy("side", "value", "n").agg(F.array_sort(F.collect_list(F.struct("df", "member"))).alias("ms"))
-    ordered = ordered.select("side", "value", "n", F.transform("ms", lambda x: x["member"]).alias("ms"))
+    ordered = ranked.groupBy("side", "value", "n").agg(F.array_sort(F.collect_list("rank")).alias("ms"))
     prefix = F.slice("ms", F.lit(1), F.col("n") - least(F.col("n"), threshold) + 1)
     first = ordered.select("side", "value", "n", "ms", F.posexplode(prefix).alias("p", "key"))
     x = first.where("side = 0").select(F.col("value").alias("left"), F.col("n").alias("na"), F.col("ms").alias("a"), F.col("p").alias("pa"), "key")
@@ -49,7 +52,7 @@ def pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     need = F.ceil((na + nb) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
     # what both have from here on is all that they can share, as this is the first member that both have
     fits = (F.least(na, nb) >= F.greatest(na, nb) * F.lit(threshold) - F.lit(1e-9)) & (F.least(na - F.col("pa"), nb - F.col("pb")) >= need)
-    met = x.join(y, (F.col("key") == F.col("key2")) & fits)
+    met = x.join(y.hint("merge"), (F.col("key") == F.col("key2")) & fits)
     earlier = F.arrays_overlap(F.slice("a", F.lit(1), F.col("pa")), F.slice("b", F.lit(1), F.col("pb")))
     shared = met.where(~F.coalesce(earlier, F.lit(False))).select("left", "right", (na + nb).alias("sizes"), F.size(F.array_intersect("a", "b")).alias("both"))
     return shared.select("left", "right", (F.col("both") / (F.col("sizes") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= threshold)
@@ -63,8 +66,8 @@ def similar_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
         raise ValueError(f"columns of both sides: {sorted(clash)}")
     found = pairs(left.select(F.col(f"`{left_on}`").cast("string").alias("value")), right.select(F.col(f"`{right_on}`").cast("string").alias("value")), threshold)
     found = found.select(F.col("left").alias("__l"), F.col("right").alias("__r"), "similarity")
-    out = left.join(found, F.col(f"`{left_on}`").cast("string") == F.col("__l"))
-    return out.join(right, F.col(f"`{right_on}`").cast("string") == F.col("__r")).drop("__l", "__r")
+    out = left.join(found.hint("merge"), F.col(f"`{left_on}`").cast("string") == F.col("__l"))
+    return out.join(right.hint("merge"), F.col(f"`{right_on}`").cast("string") == F.col("__r")).drop("__l", "__r")
 
 
 def nearest(left: DataFrame, right: DataFrame, left_on: str, right_on: str, k: int, threshold: float = 0.3) -> DataFrame:

@@ -3,7 +3,8 @@
 ``overlap_pairs``: an interval is put at the level of the power of two that its length fits in, where it touches two buckets at most,
 and is looked for at its own level and at each higher one that has intervals, in two buckets at most each. So each pair meets at
 the level of its longer interval, in few buckets, and is taken in the one where the later of the two begins. Whatever the lengths, an
-interval has a few rows a level; buckets where many intervals meet are split, as both sides are exchanged for the join.
+interval has a few rows a level; buckets where many intervals meet are split, as both sides are exchanged for the join. Levels are
+put together where that makes at most three times as many candidates, by the counts of intervals: fewer rows are exchanged.
 
 ``reach``: of the intervals that begin before a point, the latest end. With it, whether an interval conflicts with any of a set
 takes no pairs at all: it is a running maximum by time, whose buckets hold about as many rows each, and what earlier buckets reach
@@ -49,13 +50,31 @@ def _closed(d: DataFrame) -> DataFrame:
     return d.withColumns({"lo": F.coalesce("lo", F.lit(-far)), "hi": F.coalesce("hi", F.lit(far))}).where(F.col("lo") < F.col("hi"))
 
 
+def joined_levels(counts: dict[int, int], most: float = 3.0) -> dict[int, int]:
+    """The level at which intervals of each level are put: its own or a higher one. An interval's candidates are as many as its
+    level's buckets are wide; in all they are at most ``most`` times what own levels make."""
+    to = {x: x for x in counts}
+    top = max(counts, default=0)
+    cost = lambda: sum(n * 2.0 ** (to[x] - top) for x, n in counts.items())
+    limit = most * cost()
+    for x in sorted(counts, reverse=True)[1:]:
+        own, to[x] = to[x], min(to[y] for y in counts if y > x)
+        if cost() > limit:
+            to[x] = own
+    return to
+
+
 def overlap_pairs(left: DataFrame, right: DataFrame, lo: str, hi: str, keys: Sequence[str] = ()) -> DataFrame:
     """(left, right), structs of the rows, for each two that overlap (and whose keys are equal). Both have the columns lo, hi and keys."""
     a, b = _closed(_timed(left, lo, hi, keys, "left")), _closed(_timed(right, lo, hi, keys, "right"))
     level = F.ceil(F.log2(F.col("hi").cast("double") - F.col("lo").cast("double"))).cast("int")
     a, b = a.withColumn("level", level), b.withColumn("level", level)
     # as many rows as there are different powers of two
-    levels = sorted(r[0] for r in a.select("level").union(b.select("level")).distinct().collect())
+    to = joined_levels(dict(a.select("level").union(b.select("level")).groupBy("level").count().collect()))
+    levels = sorted(set(to.values()))
+    if to:
+        shared = F.create_map(*[F.lit(x) for pair in to.items() for x in pair])[F.col("level")]
+        a, b = a.withColumn("level", shared), b.withColumn("level", shared)
 
     def put(d: DataFrame, own: bool) -> DataFrame:
         """A row for each bucket: of its own level, or of each higher one."""
@@ -63,7 +82,7 @@ def overlap_pairs(left: DataFrame, right: DataFrame, lo: str, hi: str, keys: Seq
         there = d.select("*", F.explode(at).alias("at"))
         wide = F.pow(F.lit(2.0), F.col("at"))
         # the last point inside may be past the upper bound's bucket's begin by nothing: a bucket too many is no harm
-        return there.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / wide), F.floor(F.col("hi") / wide))))
+        return there.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / wide), F.floor(F.col("hi") / wide)))).drop("level")
 
     def met(x: DataFrame, y: DataFrame) -> DataFrame:
         x, y = x.alias("x"), y.alias("y")
@@ -71,7 +90,8 @@ def overlap_pairs(left: DataFrame, right: DataFrame, lo: str, hi: str, keys: Seq
         inside = (F.col("x.lo") < F.col("y.hi")) & (F.col("y.lo") < F.col("x.hi")) & (F.floor(later / F.pow(F.lit(2.0), F.col("x.at"))) == F.col("x.bucket"))
         return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.at") == F.col("y.at")) & (F.col("x.bucket") == F.col("y.bucket")) & inside).select("left", "right")
 
-    return met(put(a, True), put(b, True)).union(met(put(a, True), put(b, False))).union(met(put(a, False), put(b, True)))
+    own = met(put(a, True), put(b, True))
+    return own if len(levels) < 2 else own.union(met(put(a, True), put(b, False))).union(met(put(a, False), put(b, True)))
 
 
 def reach(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:

@@ -41,6 +41,13 @@ def test_similar_rows(spark):
     assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan and "Python" not in plan
 
 
+def test_similar_rows_are_not_broadcast(spark):
+    """Rows, found pairs and prefixes are merged, however small Spark takes them to be."""
+    left, right = spark.createDataFrame([(1, "postgres")], "i int, a string"), spark.createDataFrame([(7, "postgresql")], "j int, b string")
+    plan = similarity.similar_join(left, right, "a", "b", 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3
+
+
 # authorization models
 def evaluate(model, tuples):
     """Facts by trying all rules until nothing is new; a difference only over what is settled."""
@@ -214,6 +221,21 @@ def test_intervals(spark):
     assert intervals.overlap_pairs(none, none, "lo", "hi").count() == 0 and intervals.conflicting(df, none, "lo", "hi").count() == 0 and intervals.overlapping(none, "lo", "hi").count() == 0
 
 
+def test_levels_are_joined():
+    """Lengths that differ little are put at one level; a few long intervals leave many short ones where they are."""
+    assert intervals.joined_levels({32: 1, 33: 1, 34: 2, 35: 5, 36: 10, 37: 11}) == dict.fromkeys(range(32, 38), 37)
+    assert intervals.joined_levels({3: 1_000_000, 20: 10}) == {3: 3, 20: 20}
+    assert intervals.joined_levels({}) == {}
+
+
+def test_intervals_of_like_lengths_are_exchanged_once(spark):
+    d = spark.range(60).select("id", F.col("id").alias("lo"), (F.col("id") + 1 + F.col("id") % 30).alias("hi"))
+    found = intervals.overlap_pairs(d, d, "lo", "hi")
+    assert "Union" not in found._jdf.queryExecution().toString()
+    rows = [(i, i, i + 1 + i % 30) for i in range(60)]
+    assert Counter((x["left"].id, x["right"].id) for x in found.collect()) == Counter((a[0], b[0]) for a in rows for b in rows if a[1] < b[2] and b[1] < a[2])
+
+
 def test_intervals_of_doubles(spark):
     rows = [(1, 0.25, 0.5), (2, 0.4, None), (3, None, 0.3), (4, 0.5, 0.5), (5, -1e9, 1e9), (6, 2.0, 2.0000001)]
     d = spark.createDataFrame(rows, "i int, lo double, hi double")

@@ -1,17 +1,19 @@
-"""A text index: postings of lexemes, built once; queries are answered from them and read no text.
+"""A text index: postings of tokens, built once; queries are answered from them and read no text.
 
-Texts are cut into tokens in the JVM, each distinct token becomes its lexeme once, and the postings table has a row for each
-lexeme and document: (segment, lexeme, row, key, places). It is written in ranges of lexemes, each range sorted, so a lookup reads
-few row groups, and a lexeme that most documents have is spread over many files by row. Each document also has a row of the
-empty lexeme with its number of places, which queries of what documents lack start from. Documents that are added later are
-segments of their own.
+Texts are cut into tokens in the JVM, in one pass. Each task writes the postings of its own documents, a row for each token and
+place: (segment, token, row, key, place), sorted by token. No posting is exchanged, a lookup reads few pages of each file, and a token
+that most documents have is spread over all files. Each distinct token becomes its lexeme once: the words table, sorted by lexeme,
+has (segment, token, lexeme), and a query looks up the tokens of its lexemes first. Stop words are in neither. Each document also has
+a row of the empty token with its number of places, which queries of what documents lack start from. Documents that are added later
+are segments of their own.
 
-A null text is an empty one; documents without lexemes have their row of the empty lexeme only; keys may repeat or be null, rows
+A null text is an empty one; documents without lexemes have their row of the empty token only; keys may repeat or be null, rows
 are told apart by numbers of the index.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -51,16 +53,13 @@ def dictionary(words: DataFrame) -> DataFrame:
     return words.distinct().repartition(parts).select("token", lexeme.asNondeterministic()("token").alias("lexeme")).where("lexeme IS NOT NULL")
 
 
-def _postings(docs: DataFrame, key: str, text: str, segment: int) -> DataFrame:
+def _postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(token, row, key, place) of the places of all documents but those of stop words, sorted within each task."""
     texts = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.concat(tokens.indexed_tokens(texts), F.array(F.lit(""))).alias("tokens"))
-    placed = d.select("row", "key", F.posexplode("tokens").alias("place", "token"))
-    known = dictionary(placed.select("token").where("token <> ''"))
-    known = known.union(docs.sparkSession.createDataFrame([("", "")], known.schema))
-    by = placed.join(known, "token").groupBy("lexeme", "row", "key").agg(F.array_sort(F.collect_list((F.col("place") + 1).cast("int"))).alias("places"))
-    # the end's place is one past the last
-    places = F.when(F.col("lexeme") == "", F.transform("places", lambda p: p - 1)).otherwise(F.col("places"))
-    return by.select(F.lit(segment).alias("segment"), "lexeme", "row", "key", places.alias("places"))
+    placed = d.select("row", "key", F.posexplode("tokens").alias("n", "token")).where(~F.col("token").isin(sorted(fts.STOP)))
+    # the empty token stands at the end: what is before it are all places
+    return placed.select("token", "row", "key", F.when(F.col("token") == "", F.col("n")).otherwise(F.col("n") + 1).alias("place")).sortWithinPartitions("token", "row", "place")
 
 
 @dataclass(frozen=True)
@@ -77,27 +76,43 @@ class TextIndex:
         return index
 
     def _write(self, docs: DataFrame, key: str, text: str, segment: int) -> None:
+        """The segment's words are those of its postings as written, which are seen once both are there."""
         ship(self.spark)
-        found = _postings(docs, key, text, segment)
-        found.repartitionByRange("lexeme", "row").sortWithinPartitions("lexeme", "row").write.mode("append").parquet(self.folder)
+        staged, final = f"{self.folder}/staged-{uuid.uuid4().hex}", f"{self.folder}/postings/segment={segment}"
+        _postings(docs, key, text).write.parquet(staged)
+        words = dictionary(self.spark.read.parquet(staged).select("token").where("token <> ''"))
+        words.sortWithinPartitions("lexeme").write.mode("overwrite").parquet(f"{self.folder}/words/segment={segment}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = path(final).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.mkdirs(path(final).getParent())
+        if not files.rename(path(staged), path(final)):
+            raise OSError(f"{staged} cannot become {final}")
 
     def add(self, docs: DataFrame, key: str, text: str) -> None:
         """Index more documents, as a segment. What is found afterwards includes them."""
-        last = self.postings.where("lexeme = ''").agg(F.max("segment")).first()[0]
+        last = self.documents().agg(F.max("segment")).first()[0]
         self._write(docs, key, text, 0 if last is None else last + 1)
 
     @property
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(self.folder)
+        return self.spark.read.parquet(f"{self.folder}/postings")
 
     def documents(self) -> DataFrame:
         """(segment, row, key, n_places) of every document."""
-        return self.postings.where("lexeme = ''").select("segment", "row", "key", F.get("places", F.lit(0)).alias("n_places"))
+        return self.postings.where("token = ''").select("segment", "row", "key", F.col("place").alias("n_places"))
+
+    def forms(self, words: list[str]) -> DataFrame:
+        """(token, lexeme) of the indexed tokens whose lexemes are among ``words``."""
+        found = self.spark.read.parquet(f"{self.folder}/words").where(F.col("lexeme").isin(words))
+        return found.select("token", "lexeme").distinct()  # segments have tokens in common
 
     def vectors(self, words: list[str]) -> DataFrame:
         """(segment, row, key, v) of the documents that have any of the lexemes, v mapping those that they have to places."""
-        some = self.postings.where(F.col("lexeme").isin(words))
-        return some.groupBy("segment", "row").agg(F.first("key").alias("key"), F.map_from_entries(F.collect_list(F.struct("lexeme", "places"))).alias("v"))
+        forms = self.forms(words)
+        # known beforehand, so that the lookup is pushed down to the sorted files
+        some = self.postings.where(F.col("token").isin([r.token for r in forms.collect()])).join(F.broadcast(forms), "token")
+        by = some.groupBy("segment", "row", "lexeme").agg(F.first("key").alias("key"), F.array_sort(F.collect_list("place")).alias("places"))
+        return by.groupBy("segment", "row").agg(F.first("key").alias("key"), F.map_from_entries(F.collect_list(F.struct("lexeme", "places"))).alias("v"))
 
     def find(self, q: fts.Query) -> DataFrame:
         """(segment, row, key, v) of the documents that match."""

@@ -150,3 +150,22 @@ def test_index_of_a_table_is_built_once(spark, articles, tmp_path):
     articles.limit(3).write.mode("overwrite").parquet(folder)
     spark.catalog.refreshByPath(folder)
     assert textindex.of_table(spark.read.parquet(folder), "id", "body").documents().count() == 3
+
+
+def exchanged(spark):
+    """Rows that this application's shuffles have written so far."""
+    sc, jvm = spark.sparkContext, spark._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_index_exchanges_words_and_not_places(spark):
+    """What is exchanged to build an index grows with the distinct words of each task and not with documents or places."""
+    docs = spark.range(3000, numPartitions=4).select("id", F.lit("dead tuples and an index of dead tuple scans").alias("body"))
+    before = exchanged(spark)
+    index = textindex.TextIndex.build(docs, "id", "body")
+    assert 0 < exchanged(spark) - before < 500
+    assert index.documents().agg(F.sum("n_places")).first()[0] == 27000
+    assert sorted((r.token, r.lexeme) for r in index.forms(["dead", "tupl", "the"]).collect()) == [("dead", "dead"), ("tuple", "tupl"), ("tuples", "tupl")]
+    assert {(r.v["tupl"] == [2, 8], r.v["dead"] == [1, 7]) for r in index.vectors(["dead", "tupl"]).collect()} == {(True, True)}

@@ -1,8 +1,8 @@
 """A text index: postings of tokens, built once; queries are answered from them and read no text.
 
 Texts are cut into tokens in the JVM, in one pass. Each task writes the postings of its own documents, a row for each token and
-place: (segment, token, row, key, place), sorted by token. No posting is exchanged, a lookup reads few pages of each file, and a token
-that most documents have is spread over all files. Each distinct token becomes its lexeme once: the words table, sorted by lexeme,
+place: (segment, token, row, key, place), sorted by token. No posting is exchanged (texts are, once, if the table's files leave few tasks
+with most of them), a lookup reads few pages of each file, and a token that most documents have is spread over all files. Each distinct token becomes its lexeme once: the words table, sorted by lexeme,
 has (segment, token, lexeme), and a query looks up the tokens of its lexemes first. Stop words are in neither. Each document also has
 a row of the empty token with its number of places, which queries of what documents lack start from. Documents that are added later
 are segments of their own.
@@ -53,6 +53,18 @@ def dictionary(words: DataFrame) -> DataFrame:
     return words.distinct().repartition(parts).select("token", lexeme.asNondeterministic()("token").alias("lexeme")).where("lexeme IS NOT NULL")
 
 
+#: Bytes of text that a task sorts the postings of in memory, and those that a task of its own is worth.
+MOST, LEAST = 1 << 26, 1 << 20
+
+
+def _dealt(docs: DataFrame, text: str) -> DataFrame:
+    """The documents, dealt out anew where the files leave a task more than twice its share: a table may be one row group."""
+    each = docs.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("n"))
+    largest, total = (x or 0 for x in each.agg(F.max("n"), F.sum("n")).first())
+    parts = max(min(docs.sparkSession.sparkContext.defaultParallelism, total // LEAST), -(-total // MOST), 1)
+    return docs.repartition(parts) if largest * parts > 2 * total else docs
+
+
 def _postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(token, row, key, place) of the places of all documents but those of stop words, sorted within each task."""
     texts = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -79,7 +91,7 @@ class TextIndex:
         """The segment's words are those of its postings as written, which are seen once both are there."""
         ship(self.spark)
         staged, final = f"{self.folder}/staged-{uuid.uuid4().hex}", f"{self.folder}/postings/segment={segment}"
-        _postings(docs, key, text).write.parquet(staged)
+        _postings(_dealt(docs, text), key, text).write.parquet(staged)
         words = dictionary(self.spark.read.parquet(staged).select("token").where("token <> ''"))
         words.sortWithinPartitions("lexeme").write.mode("overwrite").parquet(f"{self.folder}/words/segment={segment}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path

@@ -169,3 +169,14 @@ def test_index_exchanges_words_and_not_places(spark):
     assert index.documents().agg(F.sum("n_places")).first()[0] == 27000
     assert sorted((r.token, r.lexeme) for r in index.forms(["dead", "tupl", "the"]).collect()) == [("dead", "dead"), ("tuple", "tupl"), ("tuples", "tupl")]
     assert {(r.v["tupl"] == [2, 8], r.v["dead"] == [1, 7]) for r in index.vectors(["dead", "tupl"]).collect()} == {(True, True)}
+
+
+def test_index_of_one_large_file_is_built_by_several_tasks(spark, tmp_path):
+    """However the documents lie in files, each task has its share of the text; small tables stay as they are."""
+    for n, some in ((40000, range(3, 8)), (400, range(1, 2))):
+        folder = str(tmp_path / f"d{n}.parquet")
+        spark.range(n, numPartitions=1).selectExpr("id", "repeat('scan of an index, ', 10) AS body").write.parquet(folder)
+        index = textindex.TextIndex.build(spark.read.parquet(folder), "id", "body")
+        assert len(index.postings.inputFiles()) in some
+        assert index.documents().agg(F.count("key"), F.count_distinct("row"), F.sum("n_places")).first()[:] == (n, n, 40 * n)
+        assert index.search(fts.phraseto_tsquery("index scan")).count() == n

@@ -6,6 +6,10 @@ the level of its longer interval, in few buckets, and is taken in the one where
 interval has a few rows a level; buckets where many intervals meet are split, as both sides are exchanged for the join. Levels are
 put together where that makes at most three times as many candidates, by the counts of intervals: fewer rows are exchanged.
 
+``overlap_twos``: each two rows of one table, once. Rows stand in order of their begin, and those that a row overlaps of the later ones
+are the next ones: a range of places, which the count of begins before its end gives. So no candidate is made that is no pair: a row is
+joined with the blocks of its range, arrays of at most ``BLOCK`` rows, and opened to what lies in it.
+
 ``reach``: of the intervals that begin before a point, the latest end. With it, whether an interval conflicts with any of a set
 takes no pairs at all: it is a running maximum by time, whose buckets hold about as many rows each, and what earlier buckets reach
 is one row a bucket. An interval that overlaps many is found as fast as one that overlaps none.
@@ -21,9 +25,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.session import durable
+
 #: Buckets of a running maximum.
 BUCKETS = 128
 
+#: Rows of a block, at most and at least; in between, so many that small tables have blocks for all tasks.
+BLOCK, SMALL_BLOCK, BLOCKS = 4096, 32, 512
+
 
 #: Bounds past all others, of whole numbers and of doubles.
 FAR, FAR_DOUBLE = 1 << 62, 1e300
@@ -94,6 +103,45 @@ def overlap_pairs(left: DataFrame, right: DataFrame, lo: str, hi: str, keys: Seq
     return own if len(levels) < 2 else own.union(met(put(a, True), put(b, False))).union(met(put(a, False), put(b, True)))
 
 
+def begun(points: DataFrame, asked: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
+    """points, asked: (key, t). Returned: (key, t, before) of every t of both, before being how many points of its key have a lesser
+    t; and the number of points."""
+    marks = points.select("key", "t", F.lit(1).alias("n")).union(asked.select("key", "t", F.lit(0).alias("n")))
+    one = durable(marks.groupBy("key", "t").agg(F.sum("n").alias("n")))
+    # bounds: so many numbers, whatever the size
+    cuts, total = one.agg(F.percentile_approx("t", [i / buckets for i in range(1, buckets)], 10_000), F.coalesce(F.sum("n"), F.lit(0))).first()
+    one = one.withColumn("bucket", sum((F.when(F.col("t") >= c, 1).otherwise(0) for c in sorted(set(cuts or []))), F.lit(0)))
+    earlier = lambda *by: Window.partitionBy("key", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    tops = one.groupBy("key", "bucket").agg(F.sum("n").alias("n")).select(F.col("key").alias("k"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(earlier("bucket")), F.lit(0)).alias("carried"))
+    near = one.withColumn("near", F.coalesce(F.sum("n").over(earlier("bucket", "t")), F.lit(0)))
+    joined = near.join(tops, (F.col("key") == F.col("k")) & (F.col("bucket") == F.col("b")))
+    return durable(joined.select("key", "t", (F.col("near") + F.col("carried")).alias("before"))), total
+
+
+def overlap_twos(df: DataFrame, row: Column, lo: str, hi: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(first, second), values of ``row``, for each two rows that overlap (and whose keys are equal), once; first begins no later."""
+    d = _closed(_timed(df.withColumn("__row", row), lo, hi, keys, "side")).select("key", "lo", "hi", F.col("side.__row").alias("row"))
+    at, total = begun(d.select("key", F.col("lo").alias("t")), d.select("key", F.col("hi").alias("t")))
+    size = min(BLOCK, max(SMALL_BLOCK, total // BLOCKS))
+    of = lambda end, name: at.select(F.col("key").alias("k"), F.col("t"), F.col("before").alias(name))
+    met = lambda x, end, name: x.join(of(end, name), (F.col("key") == F.col("k")) & (F.col(end) == F.col("t"))).drop("k", "t")
+    # those that begin together stand in any order, but always in the same one
+    place = F.row_number().over(Window.partitionBy("key", "lo").orderBy("hi")) - 1
+    placed = durable(met(met(d, "lo", "before"), "hi", "end").withColumn("place", F.col("before") + place).select("key", "row", "place", "end"))
+    block = lambda c: F.floor(c / size)
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("place", "row"))), lambda x: x["row"]).alias("rows")
+    blocks = placed.groupBy(F.col("key").alias("k"), block(F.col("place")).alias("b")).agg(rows)
+    begin = F.col("place") + 1
+    spans = placed.where(begin < F.col("end")).withColumn("block", F.explode(F.sequence(block(begin), block(F.col("end") - 1))))
+    start = F.col("block") * size
+    inside = spans.select("key", "block", F.col("row").alias("first"), F.greatest(begin - start, F.lit(0)).cast("int").alias("i"), F.least(F.col("end") - start, F.lit(size)).cast("int").alias("j"))
+    # a row of either side is opened to many: as many tasks as are set, however small they are
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inside, blocks = inside.repartition(tasks, "key", "block"), blocks.repartition(tasks, "k", "b")
+    found = inside.join(blocks.hint("merge"), (F.col("key") == F.col("k")) & (F.col("block") == F.col("b")))
+    return found.select("first", F.explode(F.slice("rows", F.col("i") + 1, F.col("j") - F.col("i"))).alias("second"))
+
+
 def reach(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """events: (key, t, hi); hi is null for a point that asks. Returned: (key, t, reach) of the points that ask, reach being the
     greatest hi of the events of its key before t."""

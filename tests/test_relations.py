@@ -1,6 +1,7 @@
 """Similarity joins, authorization models, intervals, walks, table functions, gates, data sources, processors, query texts: against
 brute force on small made-up rows."""
 
+import datetime
 import json
 import random
 from collections import Counter, defaultdict
@@ -236,6 +237,35 @@ def test_intervals_of_like_lengths_are_exchanged_once(spark):
     assert Counter((x["left"].id, x["right"].id) for x in found.collect()) == Counter((a[0], b[0]) for a in rows for b in rows if a[1] < b[2] and b[1] < a[2])
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_twos_are_made_without_other_candidates(spark, monkeypatch, block):
+    """Each two rows that overlap, once; blocks of any size, rows alike, open and empty ones, keys."""
+    monkeypatch.setattr(intervals, "BLOCK", block)
+    monkeypatch.setattr(intervals, "SMALL_BLOCK", min(block, intervals.SMALL_BLOCK))
+    r = random.Random(block)
+    far = 10**9
+    rows = [(i, r.choice("ab") if i % 9 else None, None if i % 23 == 0 else (lo := r.randrange(60)), None if i % 19 == 0 else lo + r.choice([0, 1, 2, 3, 30])) for i in range(1, 130)]
+    df = spark.createDataFrame(rows, "i int, k string, lo int, hi int")
+    close = [(i, k, -far if lo is None else lo, far if hi is None else hi) for i, k, lo, hi in rows]
+    for keys in ((), ("k",)):
+        want = Counter((a[0], b[0]) for a in close for b in close if a[0] < b[0] and a[2] < a[3] and b[2] < b[3] and a[2] < b[3] and b[2] < a[3] and (not keys or a[1] is not None and a[1] == b[1]))
+        got = intervals.overlap_twos(df, F.struct("i", "lo"), "lo", "hi", keys)
+        assert Counter((min(x[0].i, x[1].i), max(x[0].i, x[1].i)) for x in got.collect()) == want
+        assert all((x[0].lo is None) or x[1].lo is not None and x[0].lo <= x[1].lo for x in got.collect())
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert intervals.overlap_twos(df.limit(0), F.col("i"), "lo", "hi").count() == 0
+
+
+def test_overlapping_orders_without_a_time(spark, tmp_path):
+    """In SQL, a row without a time overlaps none."""
+    day = datetime.datetime(1995, 1, 1)
+    rows = [(1, 1, day), (2, 1, day), (3, 1, None), (None, 1, day), (29, 1, day + datetime.timedelta(hours=1)), (4, 1, day + datetime.timedelta(hours=3)), (5, 1, day + datetime.timedelta(days=3))]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted(map(tuple, registry.QUERIES["overlapping_orders"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 2), (1, 29), (2, 29), (4, 29)]
+
+
 def test_intervals_of_doubles(spark):
     rows = [(1, 0.25, 0.5), (2, 0.4, None), (3, None, 0.3), (4, 0.5, 0.5), (5, -1e9, 1e9), (6, 2.0, 2.0000001)]
     d = spark.createDataFrame(rows, "i int, lo double, hi double")

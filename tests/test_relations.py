@@ -42,6 +42,19 @@ def test_similar_rows(spark):
     assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan and "Python" not in plan
 
 
+def test_members_of_one_side_and_sizes_that_are_missing_shorten_prefixes(spark):
+    """Words of all names of one side, numbers of both: few first members are exchanged, and every similar pair is found."""
+    assert similarity.needed(18, [19], 0.27) == 8 and similarity.needed(18, [5, 19], 0.27) == 5 and similarity.needed(18, [2, 90], 0.27) == 0 and similarity.needed(3, [], 0.5) == 0
+    r = random.Random(5)
+    a, b = ([f"{word}#{i:09d}" for i in r.sample(range(120), 60)] + more for word, more in (("Supplier", ["a b", "x"]), ("Customer", ["b a c", "word " * 3 + " ".join(f"w{i}" for i in range(80))])))
+    left, right = (spark.createDataFrame([(x,) for x in v], "value string") for v in (a, b))
+    sets = {x: frozenset(values.trigrams_of(x)) for x in {*a, *b}}
+    want = {(x, y): s for x in a for y in b if (s := len(sets[x] & sets[y]) / len(sets[x] | sets[y])) >= 0.27}
+    found = similarity.pairs(left, right, 0.27)
+    got = {(x["left"], x["right"]): x.similarity for x in found.collect()}
+    assert got == pytest.approx(want) and len(want) > 30
+
+
 def test_similar_rows_are_not_broadcast(spark):
     """Rows, found pairs and prefixes are merged, however small Spark takes them to be."""
     left, right = spark.createDataFrame([(1, "postgres")], "i int, a string"), spark.createDataFrame([(7, "postgresql")], "j int, b string")

@@ -182,6 +182,34 @@ def test_models_make_no_row_for_each_permission(spark, monkeypatch, name, most):
     assert rows and max(rows) < most  # of 1,500 orders, 200 parts and 150 customers
 
 
+@pytest.mark.parametrize(("few", "block"), [(1, 2), (1000, 4096)])
+def test_all_objects_are_checked_with_all_users(spark, monkeypatch, few, block):
+    """As the join's questions one by one: users of their own, everyone, classes, objects as users, folders that are no leaves, rows twice, nulls."""
+    monkeypatch.setattr(authzmodel, "FEW", few)
+    monkeypatch.setattr(authzmodel, "BLOCK", block)
+    text = "type user\ntype group\n relations\n define member: [user, group#member]\ntype folder\n relations\n define owner: [user, group#member]\ntype doc\n relations\n define parent: [folder]\n define blocked: [user]\n define reader: ([user, user:*, group#member] or owner from parent) but not blocked\n define open: [user, user:*, folder]"
+    model = authzmodel.Model.parse(text.replace("[user, user:*, group#member]", "[user, group#member]"))
+    r = random.Random(few)
+    u, g, d = (lambda: f"u{r.randrange(12)}"), (lambda: f"g{r.randrange(4)}"), (lambda: f"d{r.randrange(8)}")
+    make = [lambda: ("group", g(), "member", "user", u()), lambda: ("group", g(), "member", "group", g() + "#member"), lambda: ("folder", "f1", "owner", "group", g() + "#member"), lambda: ("doc", d(), "parent", "folder", "f1"), lambda: ("doc", d(), "blocked", "user", u()), lambda: ("doc", d(), "reader", "user", u()), lambda: ("doc", d(), "reader", "group", g() + "#member"), lambda: ("doc", d(), "open", r.choice(["user", "folder"]), r.choice(["f1", "*", u()]))]
+    tuples = spark.createDataFrame(sorted({r.choice(make)() for _ in range(60)}), "object_type string, object_id string, relation string, subject_type string, subject_id string")
+    asked = [("doc", f"d{i}", x, i % 2 if i else None) for i in range(9) for x in ("reader", "open", "blocked")] + [("folder", "f1", "owner", 1), ("doc", "d1", "reader", 1)]
+    objects = spark.createDataFrame(asked, "object_type string, object_id string, relation string, r int")
+    users = spark.createDataFrame([("user", f"u{i}", i % 2) for i in range(14)] + [("folder", "f1", 0), ("user", "u3", 1)], "user_type string, user_id string, r int")
+    q = objects.join(users, "r").select(*authzmodel.FACT)
+    want = Counter(map(tuple, model.check(q, tuples).collect()))
+    assert Counter(map(tuple, model.check_all(tuples, objects, users, ["r"]).collect())) == want
+    assert {x[-1] for x in want} == {True, False} and max(want.values()) > 1
+
+
+def test_checks_are_not_joined_one_by_one(spark):
+    """No step of the query exchanges a row for each question."""
+    df = registry.QUERIES["model_checks"](spark, "/root/testdata/sf0.01")
+    n = df.count()
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert n == 3000 and plan.index("Generate explode(ids") < plan.index("Join")
+
+
 def test_model_of_the_survey(spark):
     """The demonstrated model and tuples, from text and in their text form."""
     rows = [("user:alice", "owner", "document:readme"), ("user:bob", "owner", "document:design"), ("user:carol", "editor", "document:design"), ("user:carol", "member", "team:platform"), ("user:dave", "member", "team:platform"), ("team:platform#member", "viewer", "document:readme")]
